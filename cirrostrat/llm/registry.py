@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, exact_dedup
 
 QUERIES = {
+    "op4_exact_dedup": exact_dedup.query,
     "op10_decontaminate": decontaminate.query,
 }
 
 ORACLE_SQL = {
+    "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
 }
