@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, warc
+from . import decontaminate, exact_dedup, licenses, warc
 
 QUERIES = {
+    "op3_licenses": licenses.query,
     "op6_warc": warc.query,
     "op4_exact_dedup": exact_dedup.query,
     "op10_decontaminate": decontaminate.query,
 }
 
 ORACLE_SQL = {
+    "op3_licenses": licenses.ORACLE_SQL,
     "op6_warc": warc.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
