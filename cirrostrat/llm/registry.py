@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, licenses, warc
+from . import decontaminate, exact_dedup, language_id, licenses, warc
 
 QUERIES = {
+    "op7_language_id": language_id.query,
     "op3_licenses": licenses.query,
     "op6_warc": warc.query,
     "op4_exact_dedup": exact_dedup.query,
