@@ -65,3 +65,11 @@ def filesystem(path: str):
 def in_fold(column: str, folds: int, remainder: int):
     """True where crc32 of the id as text leaves that remainder; false for null ids."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds == remainder, F.lit(False))
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Puts a finished folder in place."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(at, jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"{path} can't be renamed to {to}")

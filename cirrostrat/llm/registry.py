@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, licenses, quality, toxicity, warc
+from . import decontaminate, exact_dedup, language_id, licenses, quality, toxicity, warc, wavelet
 
 QUERIES = {
+    "op8_token_files": wavelet.query,
     "op2_quality": quality.query,
     "op1_toxicity": toxicity.query,
     "op7_language_id": language_id.query,

@@ -161,10 +161,7 @@ def write_warc(records: DataFrame, folder: str, *, ident: str = "id", url: str =
     roles = roles.select("ordered", "sha1", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(b"").alias("payload"), F.when(known, F.col("best.ordered")).alias("refers_to"), F.col("best.url").alias("refers_url"))
     dealt = sharding.in_shards(pages.unionByName(roles), bounds, "ordered", "sha1", "kind", "url")
     dealt.mapInArrow(lambda it: _write(it, folder, file_bytes, level, date), MANIFEST).write.parquet(f"{folder}/_manifest.writing")
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{folder}/_manifest.writing")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(at, jvm.org.apache.hadoop.fs.Path(f"{folder}/_manifest")):
-        raise OSError(f"{folder}: the manifest can't be put in place")
+    common.rename(spark, f"{folder}/_manifest.writing", f"{folder}/_manifest")
     return folder
 
 
