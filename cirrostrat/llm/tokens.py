@@ -158,6 +158,11 @@ class Shared:
             self.source = f.read()
         self.kinds = classes()
 
+    def most_id(self) -> int:
+        from tokenizers import Tokenizer
+
+        return max(Tokenizer.from_str(self.source).get_vocab().values(), default=0)
+
     def coder(self) -> Coder:
         """One for a worker process: tasks after the first find the pieces already known."""
         held = sys.modules.setdefault("_cirrostrat_worker", types.ModuleType("_cirrostrat_worker")).__dict__
