@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, licenses, packing, quality, toxicity, warc, wavelet
+from . import decontaminate, exact_dedup, jaccard, language_id, licenses, packing, quality, toxicity, warc, wavelet
 
 QUERIES = {
+    "op9_jaccard": jaccard.query,
     "op5_packing": packing.query,
     "op8_token_files": wavelet.query,
     "op2_quality": quality.query,
