@@ -1 +1 @@
-"""Queries composed from the operators."""
+"""Queries composed from the operators, on the driver's tables."""
