@@ -46,4 +46,4 @@ def shard_of(bounds: np.ndarray):
 def in_shards(df: DataFrame, bounds: np.ndarray, ident: str, *order: str) -> DataFrame:
     """df with the column shard, each shard in one task and sorted by the identifier and order."""
     n = len(bounds) + 1
-    return df.withColumn("shard", shard_of(bounds)(F.col(ident))).repartitionByRange(n, "shard").sortWithinPartitions("shard", ident, *order)
+    return df.withColumn("shard", shard_of(bounds)(F.col(ident))).repartitionById(n, "shard").sortWithinPartitions("shard", ident, *order)

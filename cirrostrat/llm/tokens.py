@@ -25,7 +25,7 @@ import regex
 from . import words
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-PIECES = 1_000_000
+PIECES = 300_000
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
 
@@ -93,6 +93,10 @@ class Coder:
         own = rule.get("pre_tokenizer") or {}
         self.whole = bool(rule.get("normalizer")) or own.get("type") != "ByteLevel" or own.get("add_prefix_space") or not own.get("use_regex", True)
         self.kinds, self.powers = kinds, words.Powers()
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.ones(max(vocabulary.values(), default=0) + 1, np.int64)  # byte-level: a character of an entry is a byte
+        for entry, i in vocabulary.items():
+            self.bytes_of[i] = len(entry)
         self.forget()
 
     def forget(self) -> None:
@@ -102,17 +106,37 @@ class Coder:
         self.length = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, keys: list[int], texts: list[str]) -> None:
-        for key, e in zip(keys, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            got, at = e.ids, len(self.known)
-            if self.used + len(got) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(got)), np.uint32)))
-            if at == len(self.start):
-                self.start, self.length = (np.concatenate((x, np.zeros(len(x), np.int64))) for x in (self.start, self.length))
-            self.ids[self.used : self.used + len(got)] = got
-            self.start[at], self.length[at] = self.used, len(got)
-            self.used += len(got)
-            self.known[key] = at
+    def _each(self, texts: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Ids of all pieces one after the other, their numbers, and the pieces' order in that.
+        plain: pieces of a blank and letters; they are encoded in rows, as the pre-tokenizer cuts rows of
+        them where they meet, and told apart by the bytes that each id stands for."""
+        ids, counts, order = [], [], np.flatnonzero(plain).tolist()
+        groups = [order[i : i + 256] for i in range(0, len(order), 256)]
+        coded = self.tokenizer.encode_batch_fast(["".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, coded, strict=True):
+            own = np.array(e.ids, np.uint32)
+            ends = np.cumsum(self.bytes_of[own])
+            cuts = np.searchsorted(ends, np.cumsum([len(texts[i].encode()) for i in group]), side="left") + 1
+            ids.append(own)
+            counts.append(np.diff(cuts, prepend=0))
+        rest = np.flatnonzero(~plain).tolist()
+        for e in self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False):
+            ids.append(np.array(e.ids, np.uint32))
+            counts.append(np.array([len(e.ids)]))
+        return np.concatenate(ids), np.concatenate(counts), order + rest
+
+    def _learn(self, keys: list[int], texts: list[str], plain: np.ndarray) -> None:
+        ids, counts, order = self._each(texts, plain)
+        at = len(self.known)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.uint32)))
+        while at + len(keys) > len(self.start):
+            self.start, self.length = (np.concatenate((x, np.zeros(len(x), np.int64))) for x in (self.start, self.length))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[at : at + len(keys)] = self.used + np.cumsum(counts) - counts
+        self.length[at : at + len(keys)] = counts
+        self.used += len(ids)
+        self.known.update(zip([keys[i] for i in order], range(at, at + len(keys)), strict=True))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's begin (and the end)."""
@@ -133,14 +157,21 @@ class Coder:
         total = np.zeros(len(code) + 1, np.uint64)
         np.cumsum((code + np.uint64(1)) * up[: len(code)], out=total[1:])
         h = words.mix((total[end] - total[at]) * down[at] + (end - at).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        some, where, back = np.unique(h, return_index=True, return_inverse=True)
+        order = np.argsort(h)
+        ordered = h[order]
+        fresh = np.r_[True, ordered[1:] != ordered[:-1]]
+        some, where = ordered[fresh], order[fresh]
+        back = np.empty(len(h), np.int64)
+        back[order] = np.cumsum(fresh) - 1
         if len(self.known) + len(some) > max(PIECES, len(some)):
             self.forget()
         keys = some.tolist()
         index = list(map(self.known.get, keys))
         new = [i for i, x in enumerate(index) if x is None]
         if new:
-            self._learn([keys[i] for i in new], [all_text[at[w] : end[w]] for w in where[new].tolist()])
+            lo, hi = at[where[new]], end[where[new]]
+            plain = (code[lo] == 32) & (hi - lo > 1) & (self.kinds[code[np.minimum(lo + 1, len(code) - 1)]] == LETTER)
+            self._learn([keys[i] for i in new], [all_text[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], plain)
             for i in new:
                 index[i] = self.known[keys[i]]
         piece = np.array(index, np.int64)[back]

@@ -2,8 +2,9 @@
 
 Documents are dealt to shards by ranges of their identifier, encoded, and each
 shard's ids are written as a wavelet matrix: one bit-plane for each bit of the
-ids' codes, most significant first, each plane ordered by the bits above it. A
-plane is kept in compressed blocks with the number of ones before each block,
+ids' codes, most significant first, each plane ordered by the bits above it. The 256
+most frequent ids have a matrix of 8 planes and the others one of their own; a
+first plane tells which matrix a token is in. A plane is kept in compressed blocks with the number of ones before each block,
 so access to a token, counting one in a range and finding its occurrences
 decompress a block or two for each plane. Codes number the ids that the shard
 has, which keeps planes few.
@@ -40,68 +41,63 @@ BLOCK = 1 << 16
 #: Text of a large shard; a task holds about 8 times as much.
 SHARD_BYTES = 48 << 20
 END = 0
+#: Ids in the matrix of the most frequent ones.
+FREQUENT = 256
 
 MANIFEST = "file string, shard int, docs long, tokens long, bytes long"
 
 
-def _pack(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def _unpack(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
-def encode(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> bytes:
-    """The file of a shard. starts: where each document's ids begin, and the end."""
-    n = len(ids)
-    alphabet = np.flatnonzero(np.bincount(ids)) if n else np.zeros(0, np.int64)
-    code = np.zeros(int(alphabet[-1]) + 1 if n else 0, np.uint16 if len(alphabet) < 1 << 16 else np.uint32)
-    code[alphabet] = np.arange(len(alphabet))
-    a = code[ids]
-    levels = max(1, int(len(alphabet) - 1).bit_length()) if n else 0
-    sections = [_pack(alphabet.astype("<u4").tobytes()), _pack(doc_ids.astype("<i8").tobytes()), _pack(np.diff(starts).astype("<u4").tobytes())]
-    zeros, blocks, ones = [], [], []
-    for level in reversed(range(levels)):
-        bit = ((a >> a.dtype.type(level)) & a.dtype.type(1)).view(bool) if a.dtype == np.uint8 else ((a >> a.dtype.type(level)) & a.dtype.type(1)).astype(bool)
+def _planes(code: np.ndarray, kinds: int, pack) -> tuple[dict, list[bytes]]:
+    """A wavelet matrix of codes below kinds: its part of the header and its compressed blocks."""
+    n = len(code)
+    zeros, blocks, ones, sections = [], [], [], []
+    for level in reversed(range(max(1, int(kinds - 1).bit_length()) if n else 0)):
+        bit = (code & code.dtype.type(1 << level)) != 0
         one = np.flatnonzero(bit)
         plane = np.packbits(bit, bitorder="little").tobytes()
-        own = [_pack(plane[i : i + BLOCK // 8]) for i in range(0, len(plane), BLOCK // 8)]
+        own = [pack(plane[i : i + BLOCK // 8]) for i in range(0, len(plane), BLOCK // 8)]
         blocks.append([len(x) for x in own])
         sections += own
         ones.append(np.searchsorted(one, np.arange(0, n, BLOCK)).tolist())
         zeros.append(n - len(one))
-        a = np.concatenate((a[np.flatnonzero(~bit)], a[one]))
-    head = json.dumps({"tokens": n, "docs": len(doc_ids), "zeros": zeros, "sizes": [len(x) for x in sections[:3]], "blocks": blocks, "ones": ones}).encode()
-    return MAGIC + len(head).to_bytes(8, "little") + head + b"".join(sections)
+        if level:
+            code = np.concatenate((code[np.flatnonzero(~bit)], code[one]))
+    return {"n": n, "zeros": zeros, "blocks": blocks, "ones": ones}, sections
 
 
-class TokenFile:
-    """A shard's file: token access, counting and occurrence lookup. stream: seekable."""
+def encode(ids: np.ndarray, doc_ids: np.ndarray, starts: np.ndarray) -> bytes:
+    """The file of a shard. starts: where each document's ids begin, and the end."""
+    pack = _codec()[0].compress
+    n = len(ids)
+    often = np.bincount(ids) if n else np.zeros(0, np.int64)
+    alphabet = np.flatnonzero(often)
+    alphabet = alphabet[np.lexsort((alphabet, -often[alphabet]))]
+    code = np.zeros(len(often), np.uint16 if len(alphabet) < 1 << 16 else np.uint32)
+    code[alphabet] = np.arange(len(alphabet))
+    code = code[ids]
+    rare = code >= FREQUENT
+    parts = [_planes(rare.astype(np.uint8), 2, pack), _planes(code[np.flatnonzero(~rare)].astype(np.uint8), FREQUENT, pack), _planes(code[np.flatnonzero(rare)] - code.dtype.type(FREQUENT), len(alphabet) - FREQUENT, pack)]
+    lists = [pack(alphabet.astype("<u4").tobytes()), pack(doc_ids.astype("<i8").tobytes()), pack(np.diff(starts).astype("<u4").tobytes())]
+    head = json.dumps({"tokens": n, "docs": len(doc_ids), "sizes": [len(x) for x in lists], "matrices": [h for h, _ in parts]}).encode()
+    return MAGIC + len(head).to_bytes(8, "little") + head + b"".join(lists) + b"".join(x for _, own in parts for x in own)
 
-    def __init__(self, stream) -> None:
-        self.stream = stream
-        stream.seek(0)
-        if stream.read(len(MAGIC)) != MAGIC:
-            raise ValueError("not a token file")
-        size = int.from_bytes(stream.read(8), "little")
-        self.head = json.loads(stream.read(size))
-        at = len(MAGIC) + 8 + size
-        parts = []
-        for s in self.head["sizes"]:
-            stream.seek(at)
-            parts.append(_unpack(stream.read(s)))
-            at += s
-        self.alphabet = np.frombuffer(parts[0], "<u4").astype(np.uint32)
-        self.doc_ids = np.frombuffer(parts[1], "<i8")
-        self.starts = np.concatenate(([0], np.cumsum(np.frombuffer(parts[2], "<u4"), dtype=np.int64)))
-        self.n, self.zeros = self.head["tokens"], self.head["zeros"]
+
+class Matrix:
+    """One wavelet matrix in a file: access, counting and occurrence lookup of codes."""
+
+    def __init__(self, stream, head: dict, at: int) -> None:
+        self.stream, self.n, self.zeros = stream, head["n"], head["zeros"]
+        self.unpack = _codec()[1].decompress
+        self.ones = [np.array(x, np.int64) for x in head["ones"]]
         self.at: list[np.ndarray] = []
-        for own in self.head["blocks"]:
-            edges = at + np.concatenate(([0], np.cumsum(own, dtype=np.int64)))
-            self.at.append(edges)
-            at = int(edges[-1])
-        self.ones = [np.array(x, np.int64) for x in self.head["ones"]]
+        for own in head["blocks"]:
+            self.at.append(at + np.concatenate(([0], np.cumsum(own, dtype=np.int64))))
+            at = int(self.at[-1][-1])
+        self.end = at
         self._held: dict[tuple[int, int], np.ndarray] = {}
 
     def _block(self, level: int, block: int) -> np.ndarray:
@@ -111,14 +107,16 @@ class TokenFile:
                 self._held.clear()
             lo, hi = self.at[level][block : block + 2]
             self.stream.seek(int(lo))
-            self._held[level, block] = np.unpackbits(np.frombuffer(_unpack(self.stream.read(int(hi - lo))), np.uint8), count=min(BLOCK, self.n - block * BLOCK), bitorder="little")
+            self._held[level, block] = np.unpackbits(np.frombuffer(self.unpack(self.stream.read(int(hi - lo))), np.uint8), count=min(BLOCK, self.n - block * BLOCK), bitorder="little")
         return self._held[level, block]
 
-    def rank1(self, level: int, i: int) -> int:
-        """Ones in the first i bits of a plane."""
+    def rank(self, level: int, bit: int, i: int) -> int:
+        """Such bits among the first i of a plane."""
         if i >= self.n:
-            return self.n - self.zeros[level]
-        return int(self.ones[level][i // BLOCK]) + int(self._block(level, i // BLOCK)[: i % BLOCK].sum())
+            one, i = self.n - self.zeros[level], self.n
+        else:
+            one = int(self.ones[level][i // BLOCK]) + int(self._block(level, i // BLOCK)[: i % BLOCK].sum())
+        return one if bit else i - one
 
     def select(self, level: int, bit: int, k: int) -> int:
         """Where the k-th (from 0) such bit of a plane is."""
@@ -126,59 +124,123 @@ class TokenFile:
         block = int(np.searchsorted(before, k, side="right")) - 1
         return block * BLOCK + int(np.flatnonzero(self._block(level, block) == bit)[k - before[block]])
 
+    def _down(self, level: int, bit: int, i: int) -> int:
+        return self.rank(level, bit, i) + (self.zeros[level] if bit else 0)
+
     def access(self, i: int) -> int:
-        """The i-th token."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
         code = 0
-        for level, zeros in enumerate(self.zeros):
+        for level in range(len(self.zeros)):
             bit = int(self._block(level, i // BLOCK)[i % BLOCK])
-            one = self.rank1(level, i)
-            i = zeros + one if bit else i - one
+            i = self._down(level, bit, i)
             code = code << 1 | bit
-        return int(self.alphabet[code])
-
-    def _range(self, token: int, lo: int, hi: int) -> tuple[int, int] | None:
-        """Where the token's occurrences in [lo, hi) are below the last plane."""
-        code = int(np.searchsorted(self.alphabet, token))
-        if code == len(self.alphabet) or self.alphabet[code] != token:
-            return None
-        for level, zeros in enumerate(self.zeros):
-            a, b = self.rank1(level, lo), self.rank1(level, hi)
-            lo, hi = (zeros + a, zeros + b) if code >> (len(self.zeros) - 1 - level) & 1 else (lo - a, hi - b)
-        return lo, hi
+        return code
 
-    def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
-        """How often the token is in [lo, hi)."""
-        found = self._range(token, lo, self.n if hi is None else hi)
-        return found[1] - found[0] if found else 0
+    def _bits(self, code: int) -> list[int]:
+        return [code >> s & 1 for s in reversed(range(len(self.zeros)))]
 
-    def locate(self, token: int, k: int) -> int:
-        """Where the k-th (from 0) occurrence of the token is; -1 if there are fewer."""
-        found = self._range(token, 0, self.n)
-        if not found or k >= found[1] - found[0]:
+    def range(self, code: int, lo: int, hi: int) -> tuple[int, int]:
+        """Where the code's occurrences in [lo, hi) are below the last plane."""
+        for level, bit in enumerate(self._bits(code)):
+            lo, hi = self._down(level, bit, lo), self._down(level, bit, hi)
+        return lo, hi
+
+    def locate(self, code: int, k: int) -> int:
+        """Where the k-th (from 0) occurrence is; -1 if there are fewer."""
+        lo, hi = self.range(code, 0, self.n)
+        if k >= hi - lo:
             return -1
-        i, code = found[0] + k, int(np.searchsorted(self.alphabet, token))
-        for level in reversed(range(len(self.zeros))):
-            bit = code >> (len(self.zeros) - 1 - level) & 1
-            i = self.select(level, bit, i - self.zeros[level] if bit else i)
+        i = lo + k
+        for level, bit in reversed([*enumerate(self._bits(code))]):
+            i = self.select(level, bit, i - (self.zeros[level] if bit else 0))
         return i
 
-    def decode(self) -> np.ndarray:
-        """All tokens."""
-        code = np.zeros(self.n, np.uint16 if len(self.alphabet) < 1 << 16 else np.uint32)
-        kind = code.dtype.type
+    def decode(self, kind: type) -> np.ndarray:
+        """All codes."""
+        code = np.zeros(self.n, kind)
         for level in reversed(range(len(self.zeros))):
             edges = self.at[level]
             self.stream.seek(int(edges[0]))
             data = self.stream.read(int(edges[-1] - edges[0]))
-            plane = b"".join(_unpack(data[a:b]) for a, b in zip((edges[:-1] - edges[0]).tolist(), (edges[1:] - edges[0]).tolist(), strict=True))
-            bit = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.n, bitorder="little").view(bool)
-            out = np.empty(self.n, code.dtype)
+            edges = (edges - edges[0]).tolist()
+            plane = b"".join([self.unpack(data[a:b]) for a, b in zip(edges, edges[1:], strict=False)])
+            bit = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.n, bitorder="little")
+            last = level == len(self.zeros) - 1
+            if last:  # below it all codes are 0
+                code = bit.astype(kind, copy=False)
+                continue
+            bit = bit.view(bool)
+            out = np.empty(self.n, kind)
             out[np.flatnonzero(~bit)] = code[: self.zeros[level]]
             out[np.flatnonzero(bit)] = code[self.zeros[level] :] | kind(1 << (len(self.zeros) - 1 - level))
             code = out
-        return self.alphabet[code] if self.n else np.zeros(0, np.uint32)
+        return code
+
+
+class TokenFile:
+    """A shard's file: token access, counting and occurrence lookup. stream: seekable.
+
+    The most frequent ids have a matrix of fewer planes of their own; a plane tells which of the two
+    matrices a token is in."""
+
+    def __init__(self, stream) -> None:
+        stream.seek(0)
+        if stream.read(len(MAGIC)) != MAGIC:
+            raise ValueError("not a token file")
+        size = int.from_bytes(stream.read(8), "little")
+        head = json.loads(stream.read(size))
+        at, unpack, parts = len(MAGIC) + 8 + size, _codec()[1].decompress, []
+        for s in head["sizes"]:
+            stream.seek(at)
+            parts.append(unpack(stream.read(s)))
+            at += s
+        self.n = head["tokens"]
+        self.alphabet = np.frombuffer(parts[0], "<u4").astype(np.uint32)
+        self.code = {int(t): c for c, t in enumerate(self.alphabet.tolist())}
+        self.doc_ids = np.frombuffer(parts[1], "<i8")
+        self.starts = np.concatenate(([0], np.cumsum(np.frombuffer(parts[2], "<u4"), dtype=np.int64)))
+        matrices = []
+        for h in head["matrices"]:
+            matrices.append(Matrix(stream, h, at))
+            at = matrices[-1].end
+        self.which, self.parts = matrices[0], matrices[1:]
+
+    def access(self, i: int) -> int:
+        """The i-th token."""
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        rare = self.which.access(i)
+        return int(self.alphabet[self.parts[rare].access(self.which.rank(0, rare, i)) + FREQUENT * rare])
+
+    def _part(self, token: int) -> tuple[int, int] | None:
+        """Which matrix a token is in, and its code there."""
+        code = self.code.get(token)
+        return None if code is None else (int(code >= FREQUENT), code % FREQUENT if code < FREQUENT else code - FREQUENT)
+
+    def count(self, token: int, lo: int = 0, hi: int | None = None) -> int:
+        """How often the token is in [lo, hi)."""
+        part = self._part(token)
+        if part is None:
+            return 0
+        rare, code = part
+        a, b = self.parts[rare].range(code, self.which.rank(0, rare, lo), self.which.rank(0, rare, self.n if hi is None else hi))
+        return b - a
+
+    def locate(self, token: int, k: int) -> int:
+        """Where the k-th (from 0) occurrence of the token is; -1 if there are fewer."""
+        part = self._part(token)
+        at = -1 if part is None else self.parts[part[0]].locate(part[1], k)
+        return at if at < 0 else self.which.select(0, part[0], at)
+
+    def decode(self) -> np.ndarray:
+        """All tokens."""
+        if not self.n:
+            return np.zeros(0, np.uint32)
+        rare = self.which.decode(np.uint8).view(bool)
+        out = np.empty(self.n, np.uint32)
+        out[np.flatnonzero(~rare)] = self.alphabet[:FREQUENT][self.parts[0].decode(np.uint8)]
+        if self.parts[1].n:
+            out[np.flatnonzero(rare)] = self.alphabet[FREQUENT:][self.parts[1].decode(np.uint16 if len(self.alphabet) < 1 << 16 else np.uint32)]
+        return out
 
 
 def _write(batches: Iterator[pa.RecordBatch], shared, folder: str) -> Iterator[pa.RecordBatch]:
