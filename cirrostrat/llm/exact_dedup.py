@@ -81,11 +81,13 @@ class DigestIndex:
         if keep not in ("smallest", "largest"):
             raise ValueError("keep: smallest or largest")
         self.spark, self.path, self.keep, self.bits, self.memtable = spark, path, keep, bits, memtable
-        self.runs = 0
+        self.written = 0
+        self.runs: list[str] = []
         self.level1: str | None = None
 
-    def _write(self, df: DataFrame, name: str) -> str:
-        at = f"{self.path}/{name}"
+    def _write(self, df: DataFrame, level: int) -> str:
+        at = f"{self.path}/level{level}-{self.written}"
+        self.written += 1
         df.write.option("parquet.bloom.filter.enabled#key", "true").option("compression", "zstd").parquet(at)
         return at
 
@@ -93,19 +95,17 @@ class DigestIndex:
         """Flushes the digests of docs as level-0 runs."""
         keep, memtable = self.keep, self.memtable
         pairs = docs.select(digest(_text(text), self.bits).alias("key"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("id"))
-        self._write(pairs.mapInArrow(lambda it: _flushed(it, keep, memtable), "key long, best long, n long"), f"level0-{self.runs}")
-        self.runs += 1
+        self.runs.append(self._write(pairs.mapInArrow(lambda it: _flushed(it, keep, memtable), "key long, best long, n long"), 0))
 
     def compact(self) -> None:
         """Merges level 1 and all level-0 runs to a new level 1."""
-        old = [f"{self.path}/level0-{i}" for i in range(self.runs)] + [x for x in (self.level1,) if x]
+        old = self.runs + [x for x in (self.level1,) if x]
         best = F.max("best") if self.keep == "largest" else F.min("best")
         merged = self.spark.read.schema("key long, best long, n long").parquet(*old).groupBy("key").agg(best.alias("best"), F.sum("n").alias("n"))
-        name = f"level1-{self.runs}"
-        self.level1 = self._write(merged.sortWithinPartitions("key"), name)
+        self.level1 = self._write(merged.sortWithinPartitions("key"), 1)
         for x in old:
             common.delete_folder(self.spark, x)
-        self.runs = 0
+        self.runs = []
 
     def entries(self) -> DataFrame:
         """key, best identifier, rows; compacted."""
@@ -123,35 +123,37 @@ def exact_groups(docs: DataFrame, *, keep: str = "smallest", doc_id: str = "doc_
     several = index.entries().where("n > 1")
     may_hold = filters.may_hold(spark, filters.filter_of(several, "key", most_bits=filter_bits))
 
+    # Columns of docs travel in a struct, so that no name of theirs meets a name of ours.
+    others = F.struct(F.lit(0), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text))
     ident = F.col(doc_id).cast("long")
-    one = docs.where(~may_hold(digest(_text(text), bits))).select("*", ident.alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    rows = docs.select(others.alias("doc"), F.col(text).alias("raw"), ident.alias("id"), digest(_text(text), bits).alias("key"))
+    body = F.coalesce(F.col("raw"), F.lit(""))
+
+    def out(df: DataFrame, best, n, kept) -> DataFrame:
+        own = [(F.col("raw") if c == text else F.col(f"doc.c{i}")).alias(c) for i, c in enumerate(docs.columns)]
+        return df.select(*own, F.when(best != LOWEST, best).alias("keep_id"), n.cast("long").alias("group_size"), kept.alias("kept"))
+
+    ordered = F.coalesce("id", F.lit(LOWEST))
+    one = out(rows.where(~may_hold("key")), ordered, F.lit(1), F.lit(True))
     # Verification needs the texts; those of rows that may have company only.
-    key, row = "__key", "__row"
-    some = docs.withColumn(key, digest(_text(text), bits)).where(may_hold(F.col(key))).withColumn(row, F.monotonically_increasing_id())
-    some = common.stored(some, "dedup-hits")
-    ordered = F.coalesce(ident, F.lit(LOWEST))
-    hits = some.join(several.withColumnRenamed("key", key), key, "left")
-    stays = hits.where(ordered == F.col("best"))
-    chosen = stays.groupBy(key).agg(F.min(row).alias("__first"))
-    originals = stays.select(key, row, _text(text).alias("__text")).join(chosen.withColumnRenamed("__first", row), [key, row]).select(key, "__text")
-    differ = hits.where("n > 1").join(originals, key).where(_text(text) != F.col("__text")).select(key).distinct()
-    mixed = common.stored(differ, "dedup-collisions")
-
-    names = docs.columns
-    none = F.col("best") == LOWEST
-    hits = hits.join(chosen, key, "left")
-    out = lambda best, n, first: [F.when(F.coalesce(none, F.lit(False)), F.lit(None)).otherwise(F.coalesce(best, ident)).alias("keep_id"), F.coalesce(n, F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col(row) == first, F.lit(True)).alias("kept")]
+    some = common.stored(rows.where(may_hold("key")).select("*", ordered.alias("ordered"), F.monotonically_increasing_id().alias("row")), "dedup-hits")
+    stays = some.join(several.withColumnRenamed("best", "ordered"), ["key", "ordered"])
+    first = stays.groupBy("key").agg(F.min("row").alias("row"))
+    originals = stays.select("key", "row", "n", F.col("ordered").alias("best"), body.alias("original")).join(first, ["key", "row"]).withColumnRenamed("row", "first")
+    crowded = several.where(F.col("n") > filters.HOT)
+    hits = filters.spread_join(some, originals, "key", ("row",), crowded, "left", most_bits=filter_bits)
+    hits = hits.withColumn("same", body == F.coalesce("original", body)).drop("original")
+    mixed = common.stored(hits.where(~F.col("same")).select("key").distinct(), "dedup-collisions")
+    found = lambda df: out(df, F.coalesce("best", "ordered"), F.coalesce("n", F.lit(1)), F.coalesce(F.col("row") == F.col("first"), F.lit(True)))
     if mixed.isEmpty():
-        return one.unionByName(hits.select(*names, *out(F.col("best"), F.col("n"), F.col("__first"))))
-    clean = hits.join(mixed, key, "left_anti").select(*names, *out(F.col("best"), F.col("n"), F.col("__first")))
+        return one.unionByName(found(hits))
     # Different texts under one digest: grouped by the texts.
-    extreme = F.max("__o") if keep == "largest" else F.min("__o")
-    rest = some.join(mixed, key, "left_semi").withColumn("__t", _text(text)).withColumn("__o", ordered)
-    best = rest.groupBy(key, "__t").agg(extreme.alias("best"), F.count(F.lit(1)).alias("n"))
-    rest = rest.join(best, [key, "__t"])
-    first = rest.where(F.col("__o") == F.col("best")).groupBy(key, "__t").agg(F.min(row).alias("__first"))
-    rest = rest.join(first, [key, "__t"]).select(*names, *out(F.col("best"), F.col("n"), F.col("__first")))
-    return one.unionByName(clean).unionByName(rest)
+    rest = some.join(mixed, "key", "left_semi").withColumn("body", body)
+    extreme = F.max("ordered") if keep == "largest" else F.min("ordered")
+    best = rest.groupBy("key", "body").agg(extreme.alias("best"), F.count(F.lit(1)).alias("n"))
+    rest = rest.join(best, ["key", "body"])
+    first = rest.where(F.col("ordered") == F.col("best")).groupBy("key", "body").agg(F.min("row").alias("first"))
+    return one.unionByName(found(hits.join(mixed, "key", "left_anti"))).unionByName(found(rest.join(first, ["key", "body"])))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:

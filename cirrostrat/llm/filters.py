@@ -75,3 +75,21 @@ def may_hold(spark, found: KeyFilter):
         return pd.Series(out)
 
     return test
+
+
+#: A key of more rows is dealt to SALTS tasks.
+HOT, SALTS = 512, 32
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: tuple[str, ...], crowded: DataFrame, how: str = "inner", *, most_bits: int = MOST_BITS) -> DataFrame:
+    """left joined to right, which has one row for a key. crowded: the keys that very many rows of left have;
+    these rows are dealt to several tasks by a hash of the columns ``by`` (so a task that is run again deals them
+    the same), with a copy of the key's row of right for each."""
+    crowded = crowded.select(key)
+    if not crowded.limit(1).count():
+        return left.join(right, key, how)
+    is_hot = may_hold(left.sparkSession, filter_of(crowded, key, most_bits=most_bits))
+    salt = "__salt"
+    left = left.withColumn(salt, F.when(is_hot(key), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0).cast("int"))
+    right = right.withColumn(salt, F.explode(F.when(is_hot(key), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, salt], how).drop(salt)
