@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import physics, stats, tempering
 from ..operators import combos as combo_ops
-from ..operators import ensemble, multi_obs, neighbours, single_obs, verification
+from ..operators import ensemble, multi_obs, neighbours, single_obs, slices, verification
 from ..schema import POINT, VARIABLES
 from . import fixtures as fx
 from . import oracle as o
@@ -457,3 +457,49 @@ def missing_snapshots(spark, sf_dir):
     lattice = hours.select(F.col("valid_time").alias("ts_hour")).crossJoin(F.broadcast(rows.select("event_type").distinct()))
     out = lattice.join(rows, ["ts_hour", "event_type"], "left")
     return out.select(F.date_format("ts_hour", "yyyy-MM-dd HH").alias("hour"), "event_type", "total", F.col("total").isNull().alias("missing"))
+
+
+# Slices and comparisons
+
+
+@query(f"WITH {o.STATE}, {_Y} SELECT k, {_r('avg(y) FILTER (WHERE m <> 3) AS mean', 'stddev_pop(y) FILTER (WHERE m <> 3) AS std', 'min(y) FILTER (WHERE m <> 3) AS least', 'max(y) FILTER (WHERE m <> 3) AS most', 'max(y) FILTER (WHERE m = 3) AS truth')} FROM y WHERE i = 1 AND j = 2 GROUP BY k")
+def column_profile(spark, sf_dir):
+    y = ensemble.with_reflectivity(fx.state(spark, sf_dir))
+    return slices.column_profile(y.where(F.col("m") != fx.TRUTH), ensemble.truth_of(y, fx.TRUTH), "y", 1, 2)
+
+
+@query(f"WITH {o.STATE}, {_Y} SELECT i, j, {_r('CASE WHEN y >= 38 THEN y END AS y', 'qr * 1000 AS qr')} FROM y WHERE m = 3 AND k = (SELECT k FROM (SELECT k, row_number() OVER (ORDER BY k) AS n FROM (SELECT DISTINCT k FROM y)) WHERE n = 2)")
+def cross_section(spark, sf_dir):
+    y = ensemble.truth_of(ensemble.with_reflectivity(fx.state(spark, sf_dir)), fx.TRUTH)
+    level = slices.scaled(slices.nth_level(y, "k", 1), {"qr": 1000.0})
+    return level.select("i", "j", slices.masked_below(F.col("y"), 38.0).alias("y"), "qr")
+
+
+@query(f"WITH {_D}, e AS (SELECT event_type, min(d) AS lo, max(d) AS hi FROM d GROUP BY 1) SELECT event_type, least(CAST(floor((d - lo) / ((hi - lo) / 60)) AS INT), 59) AS bin, count(*) AS n FROM d JOIN e USING (event_type) GROUP BY 1, 2")
+def departure_range_histogram(spark, sf_dir):
+    return slices.range_histogram(fx.departures(spark, sf_dir), "d", 60, "event_type")
+
+
+@query(f"WITH {o.STATE} SELECT k, count(*) AS n, {_r('avg(t) AS t')} FROM state WHERE k <> 1 GROUP BY k")
+def live_levels(spark, sf_dir):
+    state = fx.state(spark, sf_dir)
+    dead = state.withColumn("t", F.when(F.col("k") == 1, F.lit(float("nan"))).otherwise(F.col("t")))
+    return ensemble.live_levels(dead, "t").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.avg("t").alias("t"))
+
+
+@query(f"WITH {o.STATE}, {_Y} SELECT i, j, {_r('avg(y) FILTER (WHERE m <> 0) AS mean', 'max(y) FILTER (WHERE m <> 0) AS most')}, count(*) FILTER (WHERE m <> 0) AS n FROM y GROUP BY i, j")
+def number_skipping_stats(spark, sf_dir):
+    y = ensemble.with_reflectivity(fx.state(spark, sf_dir)).withColumn("y", F.when(F.col("m") == 0, F.lit(float("nan"))).otherwise(F.col("y")))
+    return y.groupBy("i", "j").agg(*(c.alias(n) for n, c in slices.skipping("y").items()))
+
+
+@query(f"WITH {_LATLON}, s AS (SELECT * FROM (VALUES ('low', -34.95e0, -59.9e0), ('high', -34.8e0, -59.6e0)) t(name, tlat, tlon)), b AS (SELECT name, j, i FROM g, s QUALIFY row_number() OVER (PARTITION BY name ORDER BY pow(lat - tlat, 2) + pow(lon - tlon, 2), j, i) = 1) SELECT max(j) FILTER (WHERE name = 'low') AS j0, max(j + 1) FILTER (WHERE name = 'high') AS j1, max(i) FILTER (WHERE name = 'low') AS i0, max(i + 1) FILTER (WHERE name = 'high') AS i1 FROM b")
+def bounding_box(spark, sf_dir):
+    return neighbours.bounding_box(fx.latlon(spark, sf_dir), -34.95, -59.9, -34.8, -59.6)
+
+
+@query(f"WITH {_sql_analysed(_MANY[:2], 2, 2)}, {_sql_metrics('a2').replace('SELECT obs_id, combo_id', 'SELECT obs_id, combo_id', 1).replace(' SELECT obs_id, combo_id, any_value(method)', ', r AS (SELECT obs_id, combo_id, any_value(method)', 1)}) SELECT obs_id, var, any_value(rmse_a) FILTER (WHERE ntemp = 1) AS \"1\", any_value(rmse_a) FILTER (WHERE ntemp = 2) AS \"2\" FROM r GROUP BY obs_id, var")
+def experiment_comparison(spark, sf_dir):
+    obs, truth, prior = _obs(spark, sf_dir, 2)
+    rows = single_obs.sweep(obs, _combos(spark, _MANY[:2]), fx.grid(spark), prior, truth, steps=2)
+    return slices.pivoted(rows, ["obs_id", "var"], "ntemp", [1, 2], "rmse_a")
