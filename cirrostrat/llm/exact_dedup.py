@@ -140,8 +140,8 @@ def exact_groups(docs: DataFrame, *, keep: str = "smallest", doc_id: str = "doc_
     stays = some.join(several.withColumnRenamed("best", "ordered"), ["key", "ordered"])
     first = stays.groupBy("key").agg(F.min("row").alias("row"))
     originals = stays.select("key", "row", "n", F.col("ordered").alias("best"), body.alias("original")).join(first, ["key", "row"]).withColumnRenamed("row", "first")
-    crowded = several.where(F.col("n") > filters.HOT)
-    hits = filters.spread_join(some, originals, "key", ("row",), crowded, "left", most_bits=filter_bits)
+    crowded = filters.crowded_filter(several.where(F.col("n") > filters.HOT), "key", most_bits=filter_bits)
+    hits = filters.spread_join(some, originals, "key", ("row",), crowded, "left")
     hits = hits.withColumn("same", body == F.coalesce("original", body)).drop("original")
     mixed = common.stored(hits.where(~F.col("same")).select("key").distinct(), "dedup-collisions")
     found = lambda df: out(df, F.coalesce("best", "ordered"), F.coalesce("n", F.lit(1)), F.coalesce(F.col("row") == F.col("first"), F.lit(True)))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,17 @@ from . import words
 
 #: The largest filter: 2**26 bits are 8 MB. A full filter passes everything, which costs work, never rows.
 MOST_BITS = 26
-_BLOCK = 1 << 16  # bytes
+#: Tasks that put tables of tasks together, before the driver does so with theirs.
+MERGES = 8
+
+
+def packed(table: np.ndarray) -> pa.RecordBatch:
+    """A table as a row; compressed, as a task with few rows has mostly zeros."""
+    return pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor(level=1).compress(table.tobytes())], pa.binary())], ["data"])
+
+
+def unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
 class KeyFilter:
@@ -49,17 +60,20 @@ def filter_of(keys: DataFrame, key: str, *, most_bits: int = MOST_BITS) -> KeyFi
                 own.add(b.column(0).to_numpy(zero_copy_only=False))
                 some = True
         if some:
-            blocks = [own.data[i : i + _BLOCK].tobytes() for i in range(0, len(own.data), _BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["block", "data"])
+            yield packed(own.data)
 
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["data"]])
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "data": [out.tobytes()]})
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                total = unpacked(x, np.uint8) if total is None else total | unpacked(x, np.uint8)
+        if total is not None:
+            yield packed(total)
 
     out = KeyFilter(bits)
-    schema = "block int, data binary"
-    for r in keys.select(F.col(key).cast("long")).where(F.col(key).isNotNull()).mapInArrow(part, schema).groupBy("block").applyInPandas(merged, schema).toLocalIterator():
-        out.data[r.block * _BLOCK : r.block * _BLOCK + len(r.data)] = np.frombuffer(bytes(r.data), np.uint8)
+    rows = keys.select(F.col(key).cast("long")).where(F.col(key).isNotNull()).mapInArrow(part, "data binary")
+    for r in rows.repartition(MERGES).mapInArrow(merged, "data binary").toLocalIterator():
+        out.data |= unpacked(bytes(r.data), np.uint8)
     return out
 
 
@@ -81,14 +95,18 @@ def may_hold(spark, found: KeyFilter):
 HOT, SALTS = 512, 32
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, by: tuple[str, ...], crowded: DataFrame, how: str = "inner", *, most_bits: int = MOST_BITS) -> DataFrame:
+def crowded_filter(crowded: DataFrame, key: str, *, most_bits: int = MOST_BITS) -> KeyFilter | None:
+    """The filter of keys that very many rows have; None without any."""
+    return filter_of(crowded, key, most_bits=most_bits) if crowded.limit(1).count() else None
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: tuple[str, ...], crowded: KeyFilter | None, how: str = "inner") -> DataFrame:
     """left joined to right, which has one row for a key. crowded: the keys that very many rows of left have;
     these rows are dealt to several tasks by a hash of the columns ``by`` (so a task that is run again deals them
     the same), with a copy of the key's row of right for each."""
-    crowded = crowded.select(key)
-    if not crowded.limit(1).count():
+    if crowded is None:
         return left.join(right, key, how)
-    is_hot = may_hold(left.sparkSession, filter_of(crowded, key, most_bits=most_bits))
+    is_hot = may_hold(left.sparkSession, crowded)
     salt = "__salt"
     left = left.withColumn(salt, F.when(is_hot(key), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0).cast("int"))
     right = right.withColumn(salt, F.explode(F.when(is_hot(key), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))

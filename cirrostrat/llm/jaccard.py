@@ -32,7 +32,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +43,6 @@ COUNT_BITS = 20
 BIG = 128
 CELLS = 32
 HIGHEST = 2**63 - 1
-_BLOCK = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -96,20 +94,26 @@ def _counted(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[p
             cells += np.bincount((g & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
             some = True
     if some:
-        blocks = [cells[i : i + _BLOCK].tobytes() for i in range(0, len(cells), _BLOCK)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["block", "data"])
+        yield filters.packed(cells)
 
 
-def counts(docs: DataFrame, n: int, bits: int = COUNT_BITS) -> np.ndarray:
-    """n-grams of all documents by the low bits of their hash."""
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            cells = filters.unpacked(x, np.int64)
+            total = cells.copy() if total is None else np.add(total, cells, out=total)
+    if total is not None:
+        yield filters.packed(total)
 
-    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "data": [np.sum([np.frombuffer(x, np.int64) for x in pdf["data"]], axis=0).tobytes()]})
 
+def counts(docs: DataFrame, n: int, bits: int = COUNT_BITS) -> np.ndarray:
+    """n-grams of all documents by the low bits of their hash. A task's table is a row; a few tasks add
+    the rows up, and the driver adds theirs."""
     out = np.zeros(1 << bits, np.int64)
-    schema = "block int, data binary"
-    for r in docs.select("text").mapInArrow(lambda it: _counted(it, n, bits), schema).groupBy("block").applyInPandas(summed, schema).toLocalIterator():
-        out[r.block * _BLOCK : r.block * _BLOCK + len(r.data) // 8] = np.frombuffer(bytes(r.data), np.int64)
+    rows = docs.select("text").mapInArrow(lambda it: _counted(it, n, bits), "data binary")
+    for r in rows.repartition(filters.MERGES).mapInArrow(_summed, "data binary").toLocalIterator():
+        out += filters.unpacked(bytes(r.data), np.int64)
     return out
 
 
@@ -184,11 +188,13 @@ class Join:
         """The pairs of classes (a < b) that are similar enough, with their intersection and union."""
         how = self.how
         pairs = common.stored(pairs, "jaccard-pairs")
+        # A class of a large group may be in very many pairs.
+        some = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").count(), "jaccard-degrees")
+        crowded = filters.crowded_filter(some.where(F.col("count") > filters.HOT), "h")
         # Suffix filter, before any text is fetched.
-        some = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-        parts = self.sets.join(some, "h").dropDuplicates(["h"]).select("h", "n", "parts")
+        parts = self.sets.join(some.select("h"), "h").dropDuplicates(["h"]).select("h", "n", "parts")
         for side in ("a", "b"):
-            pairs = pairs.join(parts.select(F.col("h").alias(side), F.col("n").alias(f"{side}_n"), F.col("parts").alias(f"{side}_parts")), side)
+            pairs = filters.spread_join(pairs, parts.select(F.col("h").alias(side), F.col("n").alias(f"{side}_n"), F.col("parts").alias(f"{side}_parts")), side, ("a", "b"), crowded)
         most = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
         pairs = common.stored(pairs.where(most >= how.overlap(F.col("a_n"), F.col("b_n"))).select("a", "b"), "jaccard-candidates")
         wanted = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "jaccard-wanted")
@@ -196,7 +202,7 @@ class Join:
         texts = self.docs.withColumn("h", row_hash()).where(may_hold("h")).join(wanted, "h").select("h", "text").dropDuplicates(["h"])
         texts = common.stored(texts, "jaccard-texts")
         for side in ("a", "b"):
-            pairs = pairs.join(texts.select(F.col("h").alias(side), F.col("text").alias(f"{side}_text")), side)
+            pairs = filters.spread_join(pairs, texts.select(F.col("h").alias(side), F.col("text").alias(f"{side}_text")), side, ("a", "b"), crowded)
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             powers = words.Powers()
