@@ -88,6 +88,34 @@ def test_language_identification(spark):
     assert len(small.seen[language_id.ORDER].keys) <= 20
 
 
+def test_tables_in_parts_are_those_of_all_rows(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, s, 60), lang) for i, (lang, s) in enumerate([("xx", ["ka", "to", "mi"]), ("yy", ["sch", "en", "to"])] * 20)] + [(99, "ый", "rare")]
+    letters = language_id.letter_table()
+    langs, by = ["rare", "xx", "yy"], {}
+    for _, t, lang in rows:
+        for g in language_id.grams([t], letters)[0].tolist():
+            by[langs.index(lang), g] = by.get((langs.index(lang), g), 0) + 1
+    lang, gram = (np.array(x) for x in zip(*by, strict=True))
+    whole = language_id.Models(langs, lang, gram.astype(np.uint64), np.array([*by.values()]))
+    monkeypatch.setattr(language_id, "PART_VALUES", 40)
+    parted = language_id.train(docs(spark, rows))
+    assert parted.seen[language_id.ORDER].parts > 5 and parted.langs == langs
+    some = np.concatenate((gram.astype(np.uint64), language_id.grams(["kasch zz ый q"], letters)[0]))
+    for k in range(1, language_id.ORDER + 1):
+        assert (parted.probability(some, k) == whole.probability(some, k)).all()
+
+
+def test_rare_languages_stay_among_millions_of_grams(spark):
+    rng = np.random.default_rng(5)
+    big = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 2_100_000)))  # nearly as many 4-grams, each twice below
+    rows = [(1, big, "zh"), (2, big, "zh"), (3, "lorem ipsum dolor", "la")]
+    models = language_id.train(docs(spark, rows))
+    assert models.langs == ["la", "zh"] and len(models.seen[language_id.ORDER].keys) > 2_000_000
+    texts = ["ipsum dolor", big[1000:1100]]
+    assert models.predict(texts, language_id.letter_table())[0] == ["la", "zh"]
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     bad = ["grumblefoo", "snarkwibble", "blorptastic"]
