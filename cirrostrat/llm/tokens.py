@@ -7,7 +7,9 @@ does, at several times the speed. Pieces are cut with the pre-tokenizer's rule:
 
     's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
 
-A tokenizer file whose pre-tokenizer is another one is encoded text by text.
+A tokenizer file whose pre-tokenizer is another one is encoded text by text, and
+so are texts that hold an added token such as ``<|endoftext|>`` literally: the
+library looks for those before it cuts pieces.
 Pieces met are remembered by a worker, up to ``PIECES``.
 """
 
@@ -88,10 +90,10 @@ class Coder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(source)
-        self.tokenizer.encode_special_tokens = True
         rule = json.loads(source)
         own = rule.get("pre_tokenizer") or {}
         self.whole = bool(rule.get("normalizer")) or own.get("type") != "ByteLevel" or own.get("add_prefix_space") or not own.get("use_regex", True)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.kinds, self.powers = kinds, words.Powers()
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.ones(max(vocabulary.values(), default=0) + 1, np.int64)  # byte-level: a character of an entry is a byte
@@ -111,6 +113,9 @@ class Coder:
         plain: pieces of a blank and letters; they are encoded in rows, as the pre-tokenizer cuts rows of
         them where they meet, and told apart by the bytes that each id stands for."""
         ids, counts, order = [], [], np.flatnonzero(plain).tolist()
+        if any(" " in a[1:] for a in self.added):  # one could arise where pieces meet
+            order = []
+            plain = np.zeros(len(texts), bool)
         groups = [order[i : i + 256] for i in range(0, len(order), 256)]
         coded = self.tokenizer.encode_batch_fast(["".join([texts[i] for i in g]) for g in groups], add_special_tokens=False)
         for group, e in zip(groups, coded, strict=True):
@@ -138,13 +143,35 @@ class Coder:
         self.used += len(ids)
         self.known.update(zip([keys[i] for i in order], range(at, at + len(keys)), strict=True))
 
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum([len(x) for x in ids], out=out[1:])
+        return np.fromiter((i for x in ids for i in x), np.uint32, out[-1]), out
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's begin (and the end)."""
-        out = np.zeros(len(texts) + 1, np.int64)
         if self.whole:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            np.cumsum([len(x) for x in ids], out=out[1:])
-            return np.fromiter((i for x in ids for i in x), np.uint32, out[-1]), out
+            return self._whole(texts)
+        special = np.array([any(a in t for a in self.added) for t in texts], bool)
+        if not special.any():
+            return self._pieced(texts)
+        parts = [(np.flatnonzero(special), self._whole), (np.flatnonzero(~special), self._pieced)]
+        n = np.zeros(len(texts), np.int64)
+        coded = []
+        for rows, encoder in parts:
+            ids, at = encoder([texts[i] for i in rows])
+            n[rows] = np.diff(at)
+            coded.append((rows, ids))
+        out = np.concatenate(([0], np.cumsum(n)))
+        all_ids = np.zeros(out[-1], np.uint32)
+        for rows, ids in coded:
+            own = n[rows]
+            all_ids[np.arange(len(ids)) + np.repeat(out[rows] - (np.cumsum(own) - own), own)] = ids
+        return all_ids, out
+
+    def _pieced(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out = np.zeros(len(texts) + 1, np.int64)
         all_text = "".join(texts)
         code = np.frombuffer(all_text.encode("utf-32-le"), np.uint32)
         begin = np.zeros(len(texts) + 1, np.int64)

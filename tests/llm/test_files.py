@@ -37,6 +37,25 @@ def test_pieces_give_the_ids_of_whole_texts(texts):
         assert ids[at[i] : at[i + 1]].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_texts_are_those_of_the_library(spark, shared):
+    t = Tokenizer.from_file(tokens.TOKENIZER)  # unmodified
+    special = next(iter(t.get_added_tokens_decoder().values())).content
+    texts = ["plain text", f"end. {special} next", "", special, f"{special}{special} a  ", special[:-1], "plain text", f"x{special}\n\n y's"]
+    coder = tokens.Coder(shared.source, shared.kinds)
+    for _ in range(2):
+        ids, at = coder.encode(texts)
+        for i, text in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == t.encode(text, add_special_tokens=False).ids
+    assert t.token_to_id(special) in ids
+    rows = [*enumerate(texts)]
+    folder = wavelet.write_tokens(docs(spark, rows), common.new_folder(spark, "t"))
+    got = {r.doc_id: bytes(r.ids) for r in wavelet.read_tokens(spark, folder).collect()}
+    pieces = packing.pack(docs(spark, rows), length=16).collect()
+    for i, text in rows:
+        assert got[i] == expected(t, text).tobytes()
+        assert b"".join(bytes(p.ids) for p in sorted((p for p in pieces if p.doc_id == i), key=lambda p: p.start)) == got[i]
+
+
 @pytest.fixture(autouse=True, scope="module")
 def _state(shared, tokenizer):
     test_pieces_give_the_ids_of_whole_texts.state = tokens.Coder(shared.source, shared.kinds), tokenizer
