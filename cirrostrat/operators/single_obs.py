@@ -53,9 +53,15 @@ def _step(rows: DataFrame, step: int) -> DataFrame:
     return rows.withColumns({x: F.when(active, F.col(x) + F.col(f"c_{x}") * factor).otherwise(F.col(x)) for x in VARIABLES}).withColumn(f"err_{step}", F.col("r_step"))
 
 
+def own_steps(rows: DataFrame) -> int:
+    """The most steps that ATEnKF needs for an observation in rows of with_members (runs a job)."""
+    most = _step(rows.repartition(*KEYS), 1).where(F.col("method") == "ATEnKF").agg(F.max("own_ntemp")).first()[0]
+    return int(most or 1)
+
+
 def analyse(rows: DataFrame, steps: int) -> DataFrame:
     """rows of with_members after that many steps; a method that needs fewer is left alone in the others.
-    ATEnKF needs up to 20."""
+    ATEnKF needs own_steps, which are up to 20."""
     rows = rows.repartition(*KEYS)
     return reduce(lambda r, s: _step(r, s), range(1, steps + 1), rows)
 

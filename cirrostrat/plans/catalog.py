@@ -188,7 +188,10 @@ def localization_weights(spark, sf_dir):
 def _analysed(spark, sf_dir, rows, steps, stride=1):
     obs, truth, prior = _obs(spark, sf_dir, stride)
     pairs = neighbours.localised_pairs(obs, _combos(spark, rows), fx.grid(spark))
-    return single_obs.analyse(single_obs.with_members(pairs, prior), steps), truth
+    members = single_obs.with_members(pairs, prior)
+    if any(r[0] == "ATEnKF" for r in rows):  # the SQL unrolls a fixed number; observations may need more
+        steps = max(steps, single_obs.own_steps(members))
+    return single_obs.analyse(members, steps), truth
 
 
 def _sql_analysed(rows, steps, stride=1):

@@ -71,7 +71,8 @@ def sanity_report(spark: SparkSession, obs: DataFrame, grid: DataFrame, prior: D
     """Each method at given observations: departure and spread before and after, and whether it is worse."""
     rows = [(m, n, alpha_s, scale, scale, scale) for m, n in (("LETKF", 1), ("TEnKF", ntemp), ("AOEI", 1), ("ATEnKF", 1), ("TAOEI", ntemp))]
     table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], combo_ops.COMBOS)
-    done = single_obs.analyse(single_obs.with_members(neighbours.localised_pairs(obs, table, grid), prior), max(ntemp, 6)).where("at_obs")
+    members = single_obs.with_members(neighbours.localised_pairs(obs, table, grid), prior)
+    done = single_obs.analyse(members, max(ntemp, single_obs.own_steps(members))).where("at_obs")
     cells = single_obs.moments(done)
     before, after = F.col("yo") - F.col("mf_ref"), F.col("yo") - F.col("ma_ref")
     return cells.select("obs_id", "method", before.alias("dep_b"), after.alias("dep_a"), F.col("sf_ref").alias("spread_b"), F.col("sa_ref").alias("spread_a"), (F.abs(after) > F.abs(before)).alias("worse"))

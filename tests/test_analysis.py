@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cirrostrat.functions import physics
 from cirrostrat.operators import multi_obs, neighbours, single_obs
-from cirrostrat.plans import runner
+from cirrostrat.plans import catalog, fixtures, runner
 from cirrostrat.schema import COMBOS, VARIABLES
 from tests.test_physics import reflectivity
 
@@ -155,3 +155,29 @@ def test_runner_modes_and_report(spark, domain):
         runner.run(spark, config | {"mode": "other"}, state, grid)
     report = runner.sanity_report(spark, make_obs(spark, domain, [(2, 2, 1)]), grid, state.where(F.col("m") < NE))
     assert {r.method for r in report.collect()} == {"LETKF", "TEnKF", "AOEI", "ATEnKF", "TAOEI"}
+
+
+def test_atenkf_query_runs_every_step_observations_need(spark):
+    rows, sf_dir = [("ATEnKF", 1, 1.0, 2.0, 2.0, 2.0)], "/root/testdata/sf0.01"
+    obs, _, prior = catalog._obs(spark, sf_dir, 2)
+    members = single_obs.with_members(neighbours.localised_pairs(obs, catalog._combos(spark, rows), fixtures.grid(spark)), prior)
+    assert single_obs.own_steps(members) == 5
+    key = ("obs_id", "gi", "gj", "gk")
+    mean = lambda steps: {tuple(r[:4]): r.mean_t for r in single_obs.analyse(members, steps).groupBy(*key).agg(F.avg("t").alias("mean_t")).collect()}
+    got = {tuple(r[k] for k in key): r.mean_t for r in catalog.QUERIES["atenkf_single"](spark, sf_dir).collect()}
+    cut, whole = mean(4), mean(6)
+    assert got == pytest.approx(whole, abs=1e-3) and got != pytest.approx(cut, abs=1e-3)
+
+
+def test_sanity_report_runs_every_step(spark, domain):
+    _, state, grid = domain
+    prior = state.where(F.col("m") < NE)
+    obs = make_obs(spark, domain, [(2, 2, 1)]).withColumn("yo", F.lit(100.0))
+    first = runner.sanity_report(spark, obs, grid, prior, ntemp=1, alpha_s=0.0).where("method = 'LETKF'").first()
+    obs = obs.withColumn("r0", F.lit((first.dep_b**2 - first.spread_b**2) / 7.5))  # equal weights: 8 steps
+    got = runner.sanity_report(spark, obs, grid, prior, ntemp=1, alpha_s=0.0).where("method = 'ATEnKF'").first()
+    table = spark.createDataFrame([(0, "ATEnKF", 1, 0.0, 5.0, 5.0, 5.0)], COMBOS)
+    members = single_obs.with_members(neighbours.localised_pairs(obs, table, grid), prior)
+    dep = lambda steps: single_obs.moments(single_obs.analyse(members, steps).where("at_obs")).select(F.col("yo") - F.col("ma_ref")).first()[0]
+    assert single_obs.own_steps(members) == 8
+    assert got.dep_a == pytest.approx(dep(9)) and got.dep_a != pytest.approx(dep(6))
