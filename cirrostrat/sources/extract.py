@@ -1,7 +1,7 @@
 """Ensemble extraction: paths, times, members and files to a state table.
 
 Member files are described by a table of (valid time, member, path); tasks read
-them. Native model files need a netCDF library, which is taken if there is one;
+them. Native model (wrfout) files are not read. Post-processed files need a netCDF library, which is taken if there is one;
 ``.npz`` members are read with numpy alone."""
 
 from __future__ import annotations
