@@ -8,18 +8,36 @@ they cut lineage, so a lost executor costs the reading of a file, not a replay.
 from __future__ import annotations
 
 import os
+import pickle
+import re
 import sys
 import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Functions sent to executors travel by value: executors need not have this package installed.
+# Functions sent to executors travel by value, and so does what Shared broadcasts: executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
 
 
+class Shared:
+    """A broadcast value. Broadcasts alone would pickle its classes by reference, and the workers would have
+    to import them; here it travels as bytes that hold its classes, and a worker process reads them once."""
+
+    def __init__(self, spark: SparkSession, value) -> None:
+        self._sent = spark.sparkContext.broadcast(cloudpickle.dumps(value, protocol=pickle.HIGHEST_PROTOCOL))
+
+    @property
+    def value(self):
+        sent = self._sent.__dict__
+        if "_own" not in sent:
+            sent["_own"] = pickle.loads(self._sent.value)
+            sent.pop("_value", None)
+        return sent["_own"]
+
+
 #: Rows of an Arrow batch between the engine and Python, unless the session has a number of its own: rows hold whole texts.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -30,18 +48,30 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, BATCH_ROWS)
 
 
+def renamed(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str], list[Column]]:
+    """For operators that give back rows as they were: docs with columns c0, c1 and so on, which meet no name of
+    the operator's own; how the given columns are called there; and the columns that undo it."""
+    columns = docs.columns
+    inner = docs.toDF(*(f"c{i}" for i in range(len(columns))))
+    return inner, [f"c{columns.index(n)}" for n in names], [F.col(f"c{i}").alias(c) for i, c in enumerate(columns)]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset (tests, local runs) one of our own."""
+    """The folder of ``spark.checkpoint.dir``, with its file system's scheme. Where it is unset, a session that
+    runs in one process (tests, local runs) gets one of its own; on a cluster that's an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cirrostrat-")
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -54,7 +84,15 @@ def stored(df: DataFrame, label: str, *, codec: str = "zstd") -> DataFrame:
     """df written as Parquet to the shared folder and read again."""
     path = new_folder(df.sparkSession, label)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote and that nothing reads any more."""
+    for t in tables:
+        delete_folder(t.sparkSession, t._stored_at)
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:

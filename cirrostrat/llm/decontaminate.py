@@ -11,8 +11,10 @@ of text is taken in several blocks of items, one pass of the documents each.
 
 Defined cases: null or wordless texts have no hit; null item texts have no
 window; null item ids count as one item named ''; repeated rows are judged
-each by itself; an empty benchmark hits nothing; columns of the documents that
-have the names of the result's columns are replaced by these.
+each by itself; an empty benchmark hits nothing; very long texts are scanned
+whole, one at a time. ``scan`` reports: its columns replace ones of the same
+name. ``decontaminate`` gives back all columns of its rows as they were (but the
+text it cuts spans from), whatever their names.
 """
 
 from __future__ import annotations
@@ -123,7 +125,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, n: int = NGRAM, text: str = "
     out = out.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in REPORT))
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        windows = docs.sparkSession.sparkContext.broadcast(WindowSet([(r.name, r.text) for r in block.toLocalIterator()], n))
+        windows = common.Shared(docs.sparkSession, WindowSet([(r.name, r.text) for r in block.toLocalIterator()], n))
         if b:
             out = common.stored(out, "decontaminate")  # so that one task holds one block at a time
         schema = out.schema
@@ -153,12 +155,13 @@ def _without(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Record
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", share: int = SHARE, text: str = "text", **options) -> DataFrame:
     """docs without what the benchmark holds: remove 'documents' that are contaminated, or the hit 'spans'."""
-    found = scan(docs, benchmark, text=text, **options)
-    if remove == "documents":
-        return found.where(~contaminated(share)).select(docs.columns)
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError("remove: documents or spans")
-    return found.mapInArrow(lambda it: _without(it, text), found.schema).select(docs.columns)
+    rows, (body,), back = common.renamed(docs, text)
+    found = scan(rows, benchmark, text=body, **options)
+    if remove == "documents":
+        return found.where(~contaminated(share)).select(back)
+    return found.mapInArrow(lambda it: _without(it, body), found.schema).select(back)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -268,7 +268,7 @@ def pack(docs: DataFrame, *, length: int = LENGTH, doc_id: str = "doc_id", text:
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian unsigned 32-bit)."""
     spark = docs.sparkSession
     known = tokens.Shared(tokenizer)
-    shared = spark.sparkContext.broadcast(known)
+    shared = common.Shared(spark, known)
     width = "<u2" if known.most_id() < 1 << 16 else "<u4"
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
@@ -285,7 +285,7 @@ def pack(docs: DataFrame, *, length: int = LENGTH, doc_id: str = "doc_id", text:
     folder = common.new_folder(spark, "packing-offsets")
     offsets = counts.select("part", "rest", F.coalesce(before, F.lit(0)).alias("before"), F.floor(F.col("part") / 64).alias("bucket"))
     offsets.repartition("bucket").sortWithinPartitions("bucket", "part").write.partitionBy("bucket").parquet(folder)
-    placed = spark.sparkContext.broadcast((plan(demand, length, rounds=rounds, waste=waste), wholes))
+    placed = common.Shared(spark, (plan(demand, length, rounds=rounds, waste=waste), wholes))
     return encoded.mapInArrow(lambda it: _pieces(it, placed, folder, width), f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 

@@ -255,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 def score(docs: DataFrame, model: Additive, *, text: str = "text") -> DataFrame:
     """docs with score."""
     docs = docs.drop("score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = common.Shared(docs.sparkSession, model)
     names = docs.columns
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,8 +269,9 @@ def score(docs: DataFrame, model: Additive, *, text: str = "text") -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Additive, *, cutoff: float = CUTOFF, text: str = "text") -> DataFrame:
-    """The rows of docs that the model doesn't reject."""
-    return score(docs, model, text=text).where(F.col("score") >= cutoff).select(docs.columns)
+    """The rows of docs that the model doesn't reject, as they were."""
+    rows, (body,), back = common.renamed(docs, text)
+    return score(rows, model, text=body).where(F.col("score") >= cutoff).select(back)
 
 
 def model_of(spark, docs: DataFrame, sf_dir: str) -> Additive:

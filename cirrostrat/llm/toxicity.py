@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     total = sum(share.values())
     ids = labelled.sample_ids(rest, "label", {1: calibration // 2, 0: calibration // 2}, salt=1)
     both = labelled.texts_of(docs, ids, doc_id=doc_id, text=text)
-    shared = docs.sparkSession.sparkContext.broadcast(distance)
+    shared = common.Shared(docs.sparkSession, distance)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain, tox = shared.value.compressors()
@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 def score(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
     """docs with score, windows and toxic_windows."""
     docs = docs.drop("score", "windows", "toxic_windows")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = common.Shared(docs.sparkSession, model)
     names = docs.columns
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -285,7 +285,7 @@ def write_tokens(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text:
     spark = docs.sparkSession
     own = docs.select(sharding.ordered_id(doc_id).alias("ordered"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     bounds = sharding.shard_bounds(own, "ordered", F.octet_length("text") + 1, largest=SHARD_BYTES)
-    shared = spark.sparkContext.broadcast(tokens.Shared(tokenizer))
+    shared = common.Shared(spark, tokens.Shared(tokenizer))
     sharding.in_shards(own, bounds, "ordered", "text").mapInArrow(lambda it: _write(it, shared, folder), MANIFEST).write.parquet(f"{folder}/_manifest.writing")
     common.rename(spark, f"{folder}/_manifest.writing", f"{folder}/_manifest")
     return folder
