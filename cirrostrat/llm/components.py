@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Nodes of which a task keeps links while it folds them.
+#: Links that a task holds while it folds them.
 FOREST = 1_000_000
 
 
@@ -23,36 +24,44 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of a task as stars: each node it meets with the smallest one it is linked to there."""
-    root: dict[int, int] = {}
+def _folded(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links as stars: each node with the smallest one it is linked to here."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for end in (a, b):
+            np.minimum.at(new, end, low)
+            np.minimum.at(new, label[end], low)  # the root of the larger side is linked as well
+        while True:
+            short = new[new]
+            if (short == new).all():
+                break
+            new = short
+        if (new == label).all():
+            break
+        label = new
+    away = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[away], nodes[label[away]]
 
-    def find(v: int) -> int:
-        at = v
-        while root[at] != at:
-            at = root[at]
-        while root[v] != at:
-            root[v], v = at, root[v]
-        return at
 
-    for b in batches:
-        for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
-            root.setdefault(u, u)
-            root.setdefault(v, v)
-            a, c = find(u), find(v)
-            if a != c:
-                root[max(a, c)] = min(a, c)
-        if len(root) >= FOREST:
-            yield _stars(root, find)
-            root.clear()
-    if root:
-        yield _stars(root, find)
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a task as stars, for up to FOREST links at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def flush() -> pa.RecordBatch:
+        stars = _folded(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in stars], ["u", "v"])
 
-def _stars(root: dict[int, int], find) -> pa.RecordBatch:
-    pairs = [(v, find(v)) for v in root]
-    pairs = [(v, r) for v, r in pairs if v != r]
-    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["u", "v"])
+    for b in batches:
+        held.append((b.column("u").to_numpy(), b.column("v").to_numpy()))
+        if sum(len(u) for u, _ in held) >= FOREST:
+            yield flush()
+    if held:
+        yield flush()
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -68,7 +77,8 @@ def connected(links: DataFrame) -> DataFrame:
         # Small star: smaller neighbours and the node itself move to the least smaller one.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = common.stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "components")
+        old, edges = edges, common.stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "components")
+        common.release(old)
         new = _state(edges)
         if new == state:
             break

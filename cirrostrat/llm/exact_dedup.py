@@ -13,7 +13,9 @@ resolved by grouping on the texts themselves.
 
 Defined cases: null texts count as empty; null identifiers order below all
 others; of repeated rows with the extreme identifier one stays; an empty table
-gives no rows; columns that the operator adds replace ones of the same name.
+gives no rows; very long texts are hashed and compared whole. ``exact_groups``
+reports: its columns replace ones of the same name. ``deduplicate`` gives back
+all columns of its rows as they were, whatever their names.
 """
 
 from __future__ import annotations
@@ -141,7 +143,7 @@ def exact_groups(docs: DataFrame, *, keep: str = "smallest", doc_id: str = "doc_
     first = stays.groupBy("key").agg(F.min("row").alias("row"))
     originals = stays.select("key", "row", "n", F.col("ordered").alias("best"), body.alias("original")).join(first, ["key", "row"]).withColumnRenamed("row", "first")
     crowded = filters.crowded_filter(several.where(F.col("n") > filters.HOT), "key", most_bits=filter_bits)
-    hits = filters.spread_join(some, originals, "key", ("row",), crowded, "left")
+    hits = filters.spread_join(some, originals, ("key",), ("row",), crowded, "left")
     hits = hits.withColumn("same", body == F.coalesce("original", body)).drop("original")
     mixed = common.stored(hits.where(~F.col("same")).select("key").distinct(), "dedup-collisions")
     found = lambda df: out(df, F.coalesce("best", "ordered"), F.coalesce("n", F.lit(1)), F.coalesce(F.col("row") == F.col("first"), F.lit(True)))
@@ -156,9 +158,10 @@ def exact_groups(docs: DataFrame, *, keep: str = "smallest", doc_id: str = "doc_
     return one.unionByName(found(hits.join(mixed, "key", "left_anti"))).unionByName(found(rest.join(first, ["key", "body"])))
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay."""
-    return exact_groups(docs, **options).where("kept").select(docs.columns)
+def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay, as they were."""
+    rows, (ident, body), back = common.renamed(docs, doc_id, text)
+    return exact_groups(rows, doc_id=ident, text=body, **options).where("kept").select(back)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words
+from . import common, words
 
 #: The largest filter: 2**26 bits are 8 MB. A full filter passes everything, which costs work, never rows.
 MOST_BITS = 26
@@ -79,7 +79,7 @@ def filter_of(keys: DataFrame, key: str, *, most_bits: int = MOST_BITS) -> KeyFi
 
 def may_hold(spark, found: KeyFilter):
     """A column function: whether the filter may hold a long key; false for null."""
-    shared = spark.sparkContext.broadcast(found)
+    shared = common.Shared(spark, found)
 
     @F.pandas_udf("boolean")
     def test(keys: pd.Series) -> pd.Series:
@@ -100,14 +100,14 @@ def crowded_filter(crowded: DataFrame, key: str, *, most_bits: int = MOST_BITS)
     return filter_of(crowded, key, most_bits=most_bits) if crowded.limit(1).count() else None
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, by: tuple[str, ...], crowded: KeyFilter | None, how: str = "inner") -> DataFrame:
-    """left joined to right, which has one row for a key. crowded: the keys that very many rows of left have;
-    these rows are dealt to several tasks by a hash of the columns ``by`` (so a task that is run again deals them
-    the same), with a copy of the key's row of right for each."""
+def spread_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...], by: tuple[str, ...], crowded: KeyFilter | None, how: str = "inner") -> DataFrame:
+    """left joined to right, which has one row for its keys. crowded: the first keys (longs) that very many rows of
+    left have; these rows are dealt to several tasks by a hash of the columns ``by`` (so a task that is run again
+    deals them the same), with a copy of the key's row of right for each."""
     if crowded is None:
-        return left.join(right, key, how)
+        return left.join(right, [*keys], how)
     is_hot = may_hold(left.sparkSession, crowded)
     salt = "__salt"
-    left = left.withColumn(salt, F.when(is_hot(key), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0).cast("int"))
-    right = right.withColumn(salt, F.explode(F.when(is_hot(key), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [key, salt], how).drop(salt)
+    left = left.withColumn(salt, F.when(is_hot(keys[0]), F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0).cast("int"))
+    right = right.withColumn(salt, F.explode(F.when(is_hot(keys[0]), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [*keys, salt], how).drop(salt)

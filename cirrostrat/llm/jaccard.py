@@ -1,18 +1,22 @@
 """N-gram Jaccard join with rare-first prefix filtering.
 
-A text's set holds its distinct word n-grams (64-bit hashes). Texts with equal
-sets are one class. n-grams are ordered rarest first by a table of counts over
-all documents with a fixed number of cells (the order of n-grams that share a
-cell is by hash, so any number of cells gives the same links). Two sets that
-are similar enough share an n-gram of their prefixes, so classes are joined on
-prefix n-grams, and pairs go through
+A text's set holds its distinct word n-grams (64-bit hashes; two n-grams of a
+pair with one hash are beyond what can be expected of any number of pairs).
+Texts with equal sets (128 bits of digest) are one class. n-grams are ordered
+rarest first by a table of counts over all documents whose number of cells
+grows with the text up to a bound (the order of n-grams that share a cell is by
+hash, so any number of cells gives the same links). Two sets that are similar
+enough share an n-gram of their prefixes, so classes are joined on prefix
+n-grams, and pairs go through
 
 - the length filter: the smaller set has the threshold's part of the larger;
 - the positional filter: what can follow the shared n-gram in both is enough;
 - the suffix filter: sets are cut into ``CELLS`` parts by hash, and the sum of
-  the smaller parts bounds what both share;
+  the smaller parts bounds what both share. It cuts the whole sets, not what
+  follows the shared n-gram, so that a class has one row of parts and not one
+  for each n-gram of its prefix;
 
-then each pair left is verified once, on the sets of the texts themselves.
+then each pair left is verified once, on the whole sets of the two texts.
 
 For components a prefix n-gram that more than ``BIG`` classes share is not
 joined with itself. Its classes are first verified against one of them, the one
@@ -23,7 +27,9 @@ connect anything, and a large group of copies costs a row for each member.
 Defined cases: a text with fewer words than n has its whole sequence as one
 n-gram; texts without words and nulls have empty sets and are linked with
 nothing; null identifiers order above all others; repeated rows have equal
-sets; an empty table gives no rows; only identifier and text are read.
+sets; very long texts are whole, one at a time; an empty table gives no rows.
+Only identifier and text are read, and ``keep_one`` gives back all columns of
+its rows as they were, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,8 +44,8 @@ from pyspark.sql import functions as F
 
 from . import common, components, filters, words
 
-#: Cells of the table of counts: 2**20 cells of 8 bytes.
-COUNT_BITS = 20
+#: Cells of the table of counts: one for about CELL_BYTES of text, between 2**FEWEST_BITS and 2**MOST_BITS cells of 8 bytes.
+CELL_BYTES, FEWEST_BITS, MOST_BITS = 512, 16, 24
 BIG = 128
 CELLS = 32
 HIGHEST = 2**63 - 1
@@ -82,10 +88,6 @@ def shingles(column: pa.LargeStringArray, n: int, powers: words.Powers) -> tuple
     return np.concatenate(parts), np.concatenate(docs)
 
 
-def distinct_shingles(text: str, n: int, powers: words.Powers) -> np.ndarray:
-    return np.unique(shingles(words.utf8(pa.array([text], pa.string())), n, powers)[0])
-
-
 def _counted(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa.RecordBatch]:
     powers, cells, some = words.Powers(), np.zeros(1 << bits, np.int64), False
     for batch in batches:
@@ -107,7 +109,13 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield filters.packed(total)
 
 
-def counts(docs: DataFrame, n: int, bits: int = COUNT_BITS) -> np.ndarray:
+def count_cells(docs: DataFrame) -> int:
+    """Bits of the number of a cell, by the size of the texts."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BITS, max(FEWEST_BITS, int(size // CELL_BYTES).bit_length()))
+
+
+def counts(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     """n-grams of all documents by the low bits of their hash. A task's table is a row; a few tasks add
     the rows up, and the driver adds theirs."""
     out = np.zeros(1 << bits, np.int64)
@@ -117,6 +125,20 @@ def counts(docs: DataFrame, n: int, bits: int = COUNT_BITS) -> np.ndarray:
     return out
 
 
+def _list(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+
+
+def _edges(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column without nulls, and where each list begins (and the end)."""
+    at = column.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]], at - at[0]
+
+
 def _sets(batches: Iterator[pa.RecordBatch], how: Similarity, shared) -> Iterator[pa.RecordBatch]:
     powers = words.Powers()
     cells = shared.value
@@ -131,50 +153,104 @@ def _sets(batches: Iterator[pa.RecordBatch], how: Similarity, shared) -> Iterato
             g, doc = g[new], doc[new]
             n_docs = rows.num_rows
             size = np.bincount(doc, minlength=n_docs)
-            edge = np.concatenate(([0], np.cumsum(size)))
+            edge = _edges(size)
             total = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(words.mix(g * np.uint64(m) + np.uint64(1))))) for m in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)]
             d1, d2 = (pa.array((t[edge[1:]] - t[edge[:-1]]).view(np.int64)) for t in total)
             parts = np.bincount(doc * CELLS + (g >> np.uint64(64 - 5)).astype(np.int64), minlength=n_docs * CELLS).astype(np.int32)
             p = how.prefix(size)
             at = np.arange(len(g)) - edge[doc]
             head = g[at < p[doc]].view(np.int64)
-            lists = lambda values, offsets: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), rows.column("h"), pa.array(size), d1, d2, lists(head, np.concatenate(([0], np.cumsum(p)))), lists(parts, np.arange(n_docs + 1) * CELLS)],
-                ["doc_id", "h", "n", "d1", "d2", "prefix", "parts"],
+                [*(rows.column(c) for c in ("doc_id", "h", "h2")), pa.array(size), d1, d2, _list(head, _edges(p)), _list(parts, np.arange(n_docs + 1) * CELLS)],
+                ["doc_id", "h", "h2", "n", "d1", "d2", "prefix", "parts"],
             )
 
 
-def row_hash(doc_id: str = "doc_id", text: str = "text") -> Column:
-    return F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
+def _entries(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Prefix n-grams that the filter doesn't rule out, with the row, the size of its set and the place in it."""
+    for b in batches:
+        values, edge = _flat(b.column("prefix"))
+        at = np.flatnonzero(shared.value.may_hold(values)) if len(values) else np.zeros(0, np.int64)
+        doc = np.searchsorted(edge, at, side="right") - 1
+        arrays = [pa.array(values[at]), b.column("row").take(pa.array(doc)), b.column("n").take(pa.array(doc)).cast(pa.int32()), pa.array((at - edge[doc]).astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(arrays, ["token", "c", "n", "pos"])
+
+
+def _arrays(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The whole set of each text, as sorted hashes."""
+    powers = words.Powers()
+    for batch in batches:
+        for rows, column in words.slices(batch):
+            g, doc = shingles(column, n, powers)
+            order = np.lexsort((g, doc))
+            g, doc = g[order], doc[order]
+            new = np.r_[True, (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])] if len(g) else np.zeros(0, bool)
+            size = np.bincount(doc[new], minlength=rows.num_rows)
+            yield pa.RecordBatch.from_arrays([rows.column("c"), _list(g[new].view(np.int64), _edges(size))], ["c", "hashes"])
+
+
+#: Hashes of so many set members are compared at once; a larger pair goes alone.
+COMPARED = 1 << 20
+
+
+def _verified(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        (x, at), (y, to) = (_flat(b.column(f"{side}_hashes")) for side in ("a", "b"))
+        ends = at[1:] + to[1:]
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, at[lo] + to[lo] + COMPARED, side="right")))
+            n, m = np.diff(at[lo : hi + 1]), np.diff(to[lo : hi + 1])
+            pair = np.concatenate((np.repeat(np.arange(hi - lo), n), np.repeat(np.arange(hi - lo), m)))
+            both = np.concatenate((x[at[lo] : at[hi]], y[to[lo] : to[hi]]))
+            order = np.lexsort((both, pair))
+            both, pair = both[order], pair[order]
+            same = (both[1:] == both[:-1]) & (pair[1:] == pair[:-1])  # sets hold no member twice
+            shared = np.bincount(pair[1:][same], minlength=hi - lo)
+            union = n + m - shared
+            good = np.flatnonzero(shared * how.den >= union * how.num)
+            if len(good):
+                rows = b.slice(lo, hi - lo).take(pa.array(good))
+                yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(shared[good]), pa.array(union[good])], ["a", "b", "both", "either"])
+            lo = hi
+
+
+def row_hashes(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
+    """128 bits that tell rows apart by identifier and text."""
+    ident, body = F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit(""))
+    return F.xxhash64(ident, body), F.xxhash64(F.lit(1), body, ident)
 
 
 class Join:
-    """Sets, classes and links of some documents."""
+    """Sets, classes and links of some documents. A class goes by the number of its representative's row,
+    which is given once, when the table of sets is written."""
 
-    def __init__(self, docs: DataFrame, how: Similarity, *, doc_id: str = "doc_id", text: str = "text", count_bits: int = COUNT_BITS, big: int = BIG) -> None:
+    def __init__(self, docs: DataFrame, how: Similarity, *, doc_id: str = "doc_id", text: str = "text", count_bits: int | None = None, big: int = BIG) -> None:
         self.how, self.big = how, big
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-        shared = self.spark.sparkContext.broadcast(counts(self.docs, how.n, count_bits))
-        schema = "doc_id long, h long, n long, d1 long, d2 long, prefix array<long>, parts array<int>"
-        rows = self.docs.select("doc_id", row_hash().alias("h"), "text").mapInArrow(lambda it: _sets(it, how, shared), schema)
-        self.sets = common.stored(rows, "jaccard-sets")
-        # A class goes by the row hash of its document with the smallest identifier.
+        shared = common.Shared(self.spark, counts(self.docs, how.n, count_bits or count_cells(self.docs)))
+        schema = "doc_id long, h long, h2 long, n long, d1 long, d2 long, prefix array<long>, parts array<int>"
+        h, h2 = row_hashes()
+        rows = self.docs.select("doc_id", h.alias("h"), h2.alias("h2"), "text").mapInArrow(lambda it: _sets(it, how, shared), schema)
+        self.sets = common.stored(rows.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
+        # A class goes by its document with the smallest identifier.
         ordered = F.coalesce("doc_id", F.lit(HIGHEST))
-        classes = self.sets.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct(ordered.alias("first"), "h")).alias("r"), F.count(F.lit(1)).alias("docs"))
-        self.classes = common.stored(classes.select("d1", "d2", F.col("r.first").alias("first"), F.col("r.h").alias("c"), "docs"), "jaccard-classes")
-        # Rows with the class's own hash are equal in all columns.
-        reps = self.sets.join(self.classes.select(F.col("c").alias("h"), "d1", "d2"), ["h", "d1", "d2"])
-        entries = reps.select(F.col("h").alias("c"), "n", F.posexplode("prefix").alias("pos", "token"))
-        if self.sets.groupBy("h").count().where("count > 1").limit(1).count():
-            entries = entries.distinct()
-        shared_tokens = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        self.entries = common.stored(entries.join(shared_tokens, "token"), "jaccard-prefixes")
+        classes = self.sets.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct(ordered.alias("first"), "row")).alias("r"), F.count(F.lit(1)).alias("docs"))
+        self.classes = common.stored(classes.select("d1", "d2", F.col("r.first").alias("first"), F.col("r.row").alias("c"), "docs"), "jaccard-classes")
+        reps = self.classes.select(F.col("c").alias("row"))
+        tokens = self.sets.where("n > 0").select("row", "prefix").join(reps, "row").select(F.explode("prefix").alias("token"))
+        shared_tokens = common.stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "jaccard-tokens")
+        # Only n-grams that several classes have (and a few more that the filter lets pass) leave their task.
+        wanted = common.Shared(self.spark, filters.filter_of(shared_tokens, "token"))
+        entries = self.sets.select("row", "n", "prefix").mapInArrow(lambda it: _entries(it, wanted), "token long, c long, n int, pos int")
+        entries = entries.join(reps.select(F.col("row").alias("c")), "c", "left_semi").join(shared_tokens, "token")
+        self.entries = common.stored(entries, "jaccard-prefixes")
+        common.release(shared_tokens)
 
     def _may_match(self, b: str = "b_") -> Column:
         """Length and positional filter on columns n, pos and b_n, b_pos."""
-        a, c = F.col("n"), F.col(f"{b}n")
+        a, c = F.col("n").cast("long"), F.col(f"{b}n").cast("long")
         return self.how.lengths(a, c) & (F.least(a - F.col("pos"), c - F.col(f"{b}pos")) >= self.how.overlap(a, c))
 
     def _pairs(self, left: DataFrame, right: DataFrame, *extra: Column) -> DataFrame:
@@ -187,46 +263,30 @@ class Join:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs of classes (a < b) that are similar enough, with their intersection and union."""
         how = self.how
-        pairs = common.stored(pairs, "jaccard-pairs")
+        found = common.stored(pairs, "jaccard-pairs")
         # A class of a large group may be in very many pairs.
-        some = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").count(), "jaccard-degrees")
-        crowded = filters.crowded_filter(some.where(F.col("count") > filters.HOT), "h")
+        some = common.stored(found.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").count(), "jaccard-degrees")
+        crowded = filters.crowded_filter(some.where(F.col("count") > filters.HOT), "row")
         # Suffix filter, before any text is fetched.
-        parts = self.sets.join(some.select("h"), "h").dropDuplicates(["h"]).select("h", "n", "parts")
+        parts = self.sets.select("row", "n", "parts").join(some.select("row"), "row")
+        pairs = found
         for side in ("a", "b"):
-            pairs = filters.spread_join(pairs, parts.select(F.col("h").alias(side), F.col("n").alias(f"{side}_n"), F.col("parts").alias(f"{side}_parts")), side, ("a", "b"), crowded)
+            pairs = filters.spread_join(pairs, parts.select(F.col("row").alias(side), F.col("n").alias(f"{side}_n"), F.col("parts").alias(f"{side}_parts")), (side,), ("a", "b"), crowded)
         most = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-        pairs = common.stored(pairs.where(most >= how.overlap(F.col("a_n"), F.col("b_n"))).select("a", "b"), "jaccard-candidates")
-        wanted = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "jaccard-wanted")
+        candidates = common.stored(pairs.where(most >= how.overlap(F.col("a_n"), F.col("b_n"))).select("a", "b"), "jaccard-candidates")
+        classes = candidates.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+        wanted = common.stored(self.sets.select("row", "h", "h2").join(classes, "row"), "jaccard-wanted")
         may_hold = filters.may_hold(self.spark, filters.filter_of(wanted, "h"))
-        texts = self.docs.withColumn("h", row_hash()).where(may_hold("h")).join(wanted, "h").select("h", "text").dropDuplicates(["h"])
-        texts = common.stored(texts, "jaccard-texts")
+        h, h2 = row_hashes()
+        texts = self.docs.select("text", h.alias("h"), h2.alias("h2")).where(may_hold("h")).join(wanted, ["h", "h2"])
+        # Rows equal to the representative have its hashes, and its set.
+        arrays = common.stored(texts.select(F.col("row").alias("c"), "text").dropDuplicates(["c"]).mapInArrow(lambda it: _arrays(it, how.n), "c long, hashes array<long>"), "jaccard-arrays")
+        pairs = candidates
         for side in ("a", "b"):
-            pairs = filters.spread_join(pairs, texts.select(F.col("h").alias(side), F.col("text").alias(f"{side}_text")), side, ("a", "b"), crowded)
-
-        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            powers = words.Powers()
-            held: dict[int, np.ndarray] = {}
-
-            def own(h: int, text: str) -> np.ndarray:
-                if h not in held:
-                    if len(held) > 64:
-                        held.clear()
-                    held[h] = distinct_shingles(text, how.n, powers)
-                return held[h]
-
-            for batch in batches:
-                out = []
-                for a, b, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "a_text", "b_text")), strict=True):
-                    x, y = own(a, s), own(b, t)
-                    common_ = len(np.intersect1d(x, y, assume_unique=True))
-                    union = len(x) + len(y) - common_
-                    if common_ * how.den >= union * how.num:
-                        out.append((a, b, common_, union))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "both", "either"])
-
-        return common.stored(pairs.mapInArrow(verify, "a long, b long, both long, either long"), "jaccard-links")
+            pairs = filters.spread_join(pairs, arrays.select(F.col("c").alias(side), F.col("hashes").alias(f"{side}_hashes")), (side,), ("a", "b"), crowded)
+        links = common.stored(pairs.mapInArrow(lambda it: _verified(it, how), "a long, b long, both long, either long"), "jaccard-links")
+        common.release(found, some, candidates, wanted, arrays)
+        return links
 
     def links(self) -> DataFrame:
         """All links between classes: a, b, both, either. The number of rows is that of similar pairs of different sets."""
@@ -253,29 +313,32 @@ class Join:
         return known.select(F.col("v").alias("c"), "root")
 
     def groups(self) -> DataFrame:
-        """One row a document: doc_id, h, n_shingles, component_id, members (documents of its component) and first (whether it is the document that stays, or a row equal to it)."""
+        """One row a document: doc_id, h, h2, n_shingles, component_id, members (documents of its component) and first (whether it is the document that stays, or a row equal to it)."""
         found = self.components()
         named = self.classes.join(found, "c", "left").withColumn("root", F.coalesce("root", "c"))
         best = named.groupBy("root").agg(F.min(F.struct("first", "c")).alias("f"), F.sum("docs").alias("members"))
         named = named.join(best, "root").select("d1", "d2", F.col("f.first").alias("component"), F.col("f.c").alias("stays"), "members")
-        out = self.sets.select("doc_id", "h", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
+        # A class may have very many documents: copies of one text.
+        crowded = filters.crowded_filter(self.classes.where(F.col("docs") > filters.HOT), "d1")
+        own = self.sets.select("doc_id", "row", "h", "h2", "n", "d1", "d2")
+        out = filters.spread_join(own, named, ("d1", "d2"), ("row",), crowded, "left")
         alone = F.col("n") == 0
         component = F.when(alone, F.col("doc_id")).otherwise(F.when(F.col("component") < HIGHEST, F.col("component")))
-        return out.select("doc_id", "h", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(alone, 1).otherwise(F.col("members")).alias("members"), F.when(alone, True).otherwise(F.col("h") == F.col("stays")).alias("first"))
+        return out.select("doc_id", "h", "h2", F.col("n").alias("n_shingles"), component.alias("component_id"), F.when(alone, 1).otherwise(F.col("members")).alias("members"), F.when(alone, True).otherwise(F.col("row") == F.col("stays")).alias("first"))
 
 
 def keep_one(docs: DataFrame, how: Similarity | None = None, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with one document of each component: the one with the smallest identifier. Repeated rows of one stay once.
-    Only rows with company are joined; the others pass as they are read."""
+    Only rows with company are joined; the others pass as they are read. Columns of any name pass unchanged."""
     own = Join(docs, how or Similarity(), doc_id=doc_id, text=text, **options)
-    several = common.stored(own.groups().where("members > 1").select("h", "first"), "jaccard-groups")
+    several = common.stored(own.groups().where("members > 1").groupBy("h", "h2").agg(F.max("first").alias("first")), "jaccard-groups")
     may_hold = filters.may_hold(docs.sparkSession, filters.filter_of(several, "h"))
-    h = "__h"
-    rows = docs.withColumn(h, F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text), F.lit(""))))
-    known = several.groupBy(F.col("h").alias(h)).agg(F.max("first").alias("__first"))
-    some = rows.where(may_hold(h)).join(known, h, "left").where(F.coalesce("__first", F.lit(True)))
-    stays = some.where("__first").dropDuplicates([h]).unionByName(some.where("__first is null"))
-    return rows.where(~may_hold(h)).drop(h).unionByName(stays.drop(h, "__first"))
+    rows, own_names, back = common.renamed(docs, doc_id, text)
+    h, h2 = row_hashes(*own_names)
+    rows = rows.select("*", h.alias("h"), h2.alias("h2"))
+    some = rows.where(may_hold("h")).join(several, ["h", "h2"], "left")
+    stays = some.where("first").dropDuplicates(["h", "h2"]).unionByName(some.where("first is null"))
+    return rows.where(~may_hold("h")).select(back).unionByName(stays.select(back))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
