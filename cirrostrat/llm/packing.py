@@ -3,22 +3,26 @@
 A document's ids fill as many whole sequences as they can; what remains (fewer
 ids than a sequence has) is an item of a cutting-stock problem. The histogram
 of remainder lengths, which has fewer entries than a sequence has ids, goes to
-a linear program over patterns: multisets of lengths that fit a sequence. New
-patterns are priced by a knapsack dynamic program on the program's duals, until
-none improves it or a number of rounds is spent. Pattern counts are rounded
-down; patterns that would leave more than ``waste`` ids of padding are not used.
+a linear program over patterns: multisets of lengths that fit a sequence. It
+starts from first-fit-decreasing patterns; new ones are priced by a knapsack
+dynamic program on the program's duals, until sequences and bound are ``gap``
+apart. Pattern counts are rounded down, and what rounding leaves gets patterns
+of its own, first-fit-decreasing with whole counts.
 
 Documents are ranked within their remainder length, and ranks are dealt to the
 patterns' places by arithmetic on a table that is as small as the program.
-Remainders beyond the rounded patterns follow each other and are cut where a
-sequence is full; the ids left at the very end are cut into powers of two,
-which need no padding.
+A pattern's free ids are filled: some of the patterns with the most of them
+give up their remainders, which are cut into what is free elsewhere. What is
+left of those at the end is cut into whole sequences and powers of two, so that
+nothing is padded.
 
 Ids are written once to the shared folder and not shuffled: a rank is its
 offset among the files' counts, which each task reads for its own file.
 
 Defined cases: a null text is empty and has the end id only; repeated rows are
-documents of their own; an empty table gives no pieces.
+documents of their own; very long texts are encoded whole and fill sequences
+alone; an empty table gives no pieces. Only identifier and text are read, so
+other columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -36,11 +40,12 @@ from . import common, tokens, words
 
 LENGTH = 1024
 END = 0
-ROUNDS = 600
-#: Ids of padding that a used pattern may leave.
-WASTE = 0
-#: The linear program is good enough when its bound is so near.
-GAP = 1e-3
+#: The linear program is good enough when its bound is so near, as a share of its sequences.
+GAP = 5e-3
+#: Demand is shifted by up to so many pieces of a length (so many millionths where there are millions).
+SHIFT = 1e-6
+#: Pricing rounds for each remainder length, at most.
+ROUNDS = 4
 
 
 def knapsack(value: np.ndarray, length: int) -> tuple[float, np.ndarray]:
@@ -67,32 +72,118 @@ def knapsack(value: np.ndarray, length: int) -> tuple[float, np.ndarray]:
     return float(best[length]), out
 
 
-def patterns(demand: np.ndarray, length: int = LENGTH, *, rounds: int = ROUNDS, gap: float = GAP) -> list[tuple[np.ndarray, float]]:
-    """Patterns and how often the linear program uses each. demand: pieces of length 1 + i, i < length - 1."""
+def _fill(left: np.ndarray, length: int, whole: bool) -> np.ndarray:
+    """A pattern of lengths of which some are left: the largest first, closed by one or two lengths that fill
+    the sequence exactly where there are such. left[r]: pieces of length r; whole: they are whole numbers."""
+    pattern = np.zeros(len(left), np.int64)
+    free = length
+    while free > 0:
+        room = left - pattern if whole else left
+        have = room >= 1 if whole else room > 0
+        have[0] = False
+        top = min(free, len(left) - 1)
+        some = np.flatnonzero(have[: top + 1])
+        if not len(some):
+            break
+        if pattern.any():
+            if free < len(left) and have[free]:
+                pattern[free] += 1
+                break
+            a = some[some < free]
+            b = free - a
+            fits = (b < len(left)) & have[np.minimum(b, len(left) - 1)]
+            if whole:
+                fits &= (a != b) | (room[a] >= 2)
+            if fits.any():
+                a, b = a[fits], b[fits]
+                k = int(np.minimum(room[a], room[b]).argmax())
+                pattern[a[k]] += 1
+                pattern[b[k]] += 1
+                break
+        pattern[some[-1]] += 1
+        free -= int(some[-1])
+    return pattern
+
+
+def filled(demand: np.ndarray, length: int, whole: bool) -> list[tuple[np.ndarray, float, int]]:
+    """Patterns that use the demand up, one after the other, how often each is used, and a length that it uses
+    up (0: none). A pattern has no length that one before it used up. demand[r]: pieces of length r."""
+    left = demand.astype(np.int64 if whole else np.float64)
+    left[0] = 0
+    out = []
+    while left.any():
+        pattern = _fill(left, length, whole)
+        here = np.flatnonzero(pattern)
+        if whole:
+            times = int((left[here] // pattern[here]).min())
+            left[here] -= times * pattern[here]
+            out.append((pattern, times, 0))
+            continue
+        each = left[here] / pattern[here]
+        times = float(each.min())
+        left[here] -= times * pattern[here]
+        gone = here[left[here] <= 1e-9 + 1e-13 * demand[here]]
+        left[gone] = 0
+        out.append((pattern, times, int(gone[0])))
+        for r in gone[1:]:  # used up by the same pattern: a column of its own that is not used
+            alone = np.zeros(len(left), np.int64)
+            alone[r] = length // r
+            out.append((alone, 0.0, int(r)))
+    return out
+
+
+@dataclass
+class Program:
+    """The solved linear program: patterns, how often each is used, a bound from below on the sequences, and pricing rounds."""
+
+    patterns: list[tuple[np.ndarray, float]]
+    bound: float
+    rounds: int
+
+    def sequences(self) -> float:
+        return sum(times for _, times in self.patterns)
+
+
+def program(demand: np.ndarray, length: int = LENGTH, *, gap: float = GAP, rounds: int = ROUNDS) -> Program:
+    """The linear program over patterns, by column generation. demand[r]: pieces of length r < length.
+
+    The simplex method starts from first-fit-decreasing patterns, of which each uses up a length (so their matrix
+    is triangular), prices by the knapsack program and ends when sequences and bound are ``gap`` apart; at the
+    latest after ``rounds`` pricing rounds for each length there is."""
     kinds = np.flatnonzero(demand)
+    kinds = kinds[kinds > 0]
     m = len(kinds)
     if not m:
-        return []
-    columns = np.zeros((m, m), np.int64)
-    each = length // (kinds + 1)
-    columns[np.arange(m), np.arange(m)] = each
-    inverse = np.diag(1.0 / each)
-    used = demand[kinds] / each
-    need = demand[kinds].astype(float)
-    for _ in range(rounds):
-        dual = inverse.sum(axis=0)
-        value = np.zeros(len(demand))
-        value[kinds] = np.maximum(dual, 0)
+        return Program([], 0.0, 0)
+    # Demand is shifted a little, each length's differently, so that no two lengths are used up at once: the simplex
+    # method would go in circles there.
+    shifted = demand * 1.0
+    shifted[kinds] += SHIFT * max(1.0, demand[kinds].max() / 1e6) * np.modf(kinds * 0.6180339887)[0]
+    need = shifted[kinds]
+    start = filled(shifted, length, whole=False)
+    columns = np.array([p[kinds] for p, _, _ in start], np.float64).T
+    used = np.array([t for _, t, _ in start])
+    inverse = np.linalg.inv(columns)
+    bound = float(need @ kinds) / length  # lengths as prices
+    done = 0
+    for done in range(rounds * m + 1):
+        if used.sum() - bound <= gap * used.sum() or done == rounds * m:
+            break
+        dual = np.maximum(inverse.sum(axis=0), 0)
+        value = np.zeros(length - 1)
+        value[kinds - 1] = dual
         most, pattern = knapsack(value, length)
-        if most <= 1 + 1e-9 or used.sum() - need @ np.maximum(dual, 0) / most <= gap * used.sum():
+        bound = max(bound, float(need @ dual) / most)
+        if most <= 1 + 1e-9:
             break
-        entering = pattern[kinds]
+        entering = pattern[kinds - 1].astype(float)
         along = inverse @ entering
-        ratio = np.where(along > 1e-10, used / np.where(along > 1e-10, along, 1), np.inf)
-        out = int(ratio.argmin())
-        if not np.isfinite(ratio[out]):
+        up = along > 1e-9
+        if not up.any():
             break
-        step = ratio[out]
+        ratio = np.where(up, used / np.where(up, along, 1), np.inf)
+        out = int(ratio.argmin())
+        step = float(ratio[out])
         used = np.maximum(used - step * along, 0)
         used[out] = step
         row = inverse[out] / along[out]
@@ -100,11 +191,11 @@ def patterns(demand: np.ndarray, length: int = LENGTH, *, rounds: int = ROUNDS,
         inverse[out] = row
         columns[:, out] = entering
     found = []
-    for j in range(m):
+    for j in np.flatnonzero(used > 0):
         full = np.zeros(len(demand), np.int64)
-        full[kinds] = columns[:, j]
+        full[kinds] = columns[:, j].astype(np.int64)
         found.append((full, float(used[j])))
-    return found
+    return Program(found, bound, done)
 
 
 @dataclass
@@ -119,13 +210,21 @@ class Plan:
     placed: np.ndarray  # ranks that patterns place
     stream: np.ndarray  # where the rest of each length begins in the stream of what is cut
     total: int  # ids in that stream
-    base: int  # its first sequence
+    hole_edge: np.ndarray  # where in the stream each used pattern's free ids begin, and the end of them all
+    hole_size: np.ndarray  # free ids of each sequence of the pattern
+    hole_sequence: np.ndarray  # its first sequence
+    base: int  # the first sequence of the stream's own
     whole: int  # the first sequence of those that a document fills alone
+    by_program: int  # ids that rounded patterns of the linear program place
+    by_rest: int  # ids that patterns of what rounding left place
+    bound: float  # sequences of remainders, from below
+    used: float  # by the linear program
 
     def tail(self) -> np.ndarray:
-        """Ends of the last sequences of the stream: powers of two."""
-        left = self.total % self.length
-        at, out = self.total - left, [self.total - left]
+        """Ends of the last sequences of the stream's own part: powers of two."""
+        own = self.total - int(self.hole_edge[-1])
+        left = own % self.length
+        at, out = own - left, [own - left]
         for bit in reversed(range(left.bit_length())):
             if left >> bit & 1:
                 at += 1 << bit
@@ -133,45 +232,80 @@ class Plan:
         return np.array(out)
 
     def stream_sequence(self, position: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sequence, its first position and its end, for positions of the stream."""
-        edges = self.tail()
-        k = position // self.length
-        lo, hi = k * self.length, (k + 1) * self.length
-        late = position >= edges[0]
-        if late.any():
-            at = np.searchsorted(edges, position[late], side="right")
-            k[late] = edges[0] // self.length + at - 1
-            lo[late], hi[late] = edges[at - 1], edges[at]
-        return self.base + k, lo, hi
-
-
-def plan(demand: np.ndarray, length: int = LENGTH, *, rounds: int = ROUNDS, waste: int = WASTE) -> Plan:
+        """Sequence, offset there, and ids until that place ends, for positions of the stream."""
+        sequence, offset, room = (np.zeros(len(position), np.int64) for _ in range(3))
+        filled_holes = int(self.hole_edge[-1])
+        own = np.flatnonzero(position < filled_holes)
+        if len(own):
+            j = np.searchsorted(self.hole_edge, position[own], side="right") - 1
+            k, at = np.divmod(position[own] - self.hole_edge[j], self.hole_size[j])
+            sequence[own], offset[own], room[own] = self.hole_sequence[j] + k, self.length - self.hole_size[j] + at, self.hole_size[j] - at
+        own = np.flatnonzero(position >= filled_holes)
+        if len(own):
+            at = position[own] - filled_holes
+            edges = self.tail()
+            k = at // self.length
+            lo, hi = k * self.length, (k + 1) * self.length
+            late = at >= edges[0]
+            if late.any():
+                i = np.searchsorted(edges, at[late], side="right")
+                k[late] = edges[0] // self.length + i - 1
+                lo[late], hi[late] = edges[i - 1], edges[i]
+            sequence[own], offset[own], room[own] = self.base + k, at - lo, hi - at
+        return sequence, offset, room
+
+
+def plan(demand: np.ndarray, length: int = LENGTH, *, gap: float = GAP) -> Plan:
     """demand[r]: documents with a remainder of r ids, r from 0."""
-    left = demand.copy()
+    solved = program(demand, length, gap=gap)
+    sizes = np.arange(length)
+    left = demand.astype(np.int64)
+    left[0] = 0
+    chosen: list[tuple[np.ndarray, int, bool]] = []
+    for pattern, times in solved.patterns:
+        here = np.flatnonzero(pattern)
+        n = min(int(times + 1e-3), int((left[here] // pattern[here]).min()))
+        if n:
+            chosen.append((pattern, n, True))
+            left -= n * pattern
+    chosen += [(pattern, int(n), False) for pattern, n, _ in filled(left, length, whole=True)]
+    # A pattern's free ids are filled from the stream of what no pattern places; patterns with the most free ids
+    # give their lengths to the stream until it has ids for all that stay free.
+    chosen.sort(key=lambda c: length - int(c[0] @ sizes))
+    left[:] = 0
+    free = sum(n * (length - int(p @ sizes)) for p, n, _ in chosen)
+    total = 0
+    while free > total:
+        pattern, n, of_program = chosen.pop()
+        size = int(pattern @ sizes)
+        k = min(n, -(-(free - total) // length))  # each that goes takes its free ids away and adds its own to the stream
+        if k < n:
+            chosen.append((pattern, n - k, of_program))
+        left += k * pattern
+        free -= k * (length - size)
+        total += k * size
     rows: list[list[tuple[int, int, int, int]]] = [[] for _ in range(length)]
     taken = np.zeros(length, np.int64)
-    sequence = 0
-    for pattern, times in patterns(demand[1:], length, rounds=rounds):
-        n = int(times + 1e-6)
-        size = int((pattern * np.arange(1, length)).sum())
-        here = np.flatnonzero(pattern) + 1
-        if n and length - size <= waste and len(here):
-            n = min(n, int((left[here] // pattern[here - 1]).min()))
-            at = 0
-            for r in here[::-1].tolist():
-                c = int(pattern[r - 1])
-                rows[r].append((int(taken[r]), c, sequence, at))
-                taken[r] += c * n
-                left[r] -= c * n
-                at += c * r
-            sequence += n
-    lengths = np.arange(length) * left
-    lengths[0] = 0
+    holes, sequence, placed = [], 0, [0, 0]
+    for pattern, n, of_program in chosen:
+        at = 0
+        for r in np.flatnonzero(pattern)[::-1].tolist():
+            c = int(pattern[r])
+            rows[r].append((int(taken[r]), c, sequence, at))
+            taken[r] += c * n
+            at += c * r
+        if at < length:
+            holes.append((n * (length - at), length - at, sequence))
+        placed[not of_program] += n * at
+        sequence += n
+    lengths = sizes * left
     stream = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    total = int(lengths.sum())
-    cut = total // length + bin(total % length).count("1")
-    column = lambda i: [np.array([x[i] for x in own], np.int64) for own in rows]
-    return Plan(length, column(0), column(1), column(2), column(3), taken, stream, total, sequence, sequence + cut)
+    edges = np.concatenate(([0], np.cumsum([h[0] for h in holes]))).astype(np.int64)
+    own = total - int(edges[-1])
+    cut = own // length + bin(own % length).count("1")
+    column = lambda i: [np.array([x[i] for x in r], np.int64) for r in rows]
+    size, first = (np.array([h[i] for h in holes], np.int64) for i in (1, 2))
+    return Plan(length, column(0), column(1), column(2), column(3), taken, stream, total, edges, size, first, sequence, sequence + cut, placed[0], placed[1], solved.bound, solved.sequences())
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], shared, length: int, width: str) -> Iterator[pa.RecordBatch]:
@@ -203,18 +337,18 @@ def _encoded(batches: Iterator[pa.RecordBatch], shared, length: int, width: str)
 
 
 def _offsets(folder: str, part: int, length: int) -> np.ndarray:
-    """Documents of each remainder length in the parts before this one."""
+    """Documents of each remainder length in the parts before this one, and at the end the whole sequences there."""
     import pyarrow.parquet as pq
 
     fs, top = common.filesystem(f"{folder}/bucket={part // 64}")
-    out = np.zeros(length, np.int64)
+    out = np.zeros(length + 1, np.int64)
     for row in pq.read_table(top, filesystem=fs, filters=[("part", "=", part)], partitioning=None).to_pylist():
         out[row["rest"]] = row["before"]
     return out
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], shared, folder: str, width: str) -> Iterator[pa.RecordBatch]:
-    p, wholes = shared.value
+    p = shared.value
     L = p.length
     held: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -231,7 +365,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], shared, folder: str, width: str)
                     held[k] = _offsets(folder, k, L)
             rest, full = n % L, n // L
             rank = rank + np.array([held[k][r] for k, r in zip(part.tolist(), rest.tolist(), strict=True)], np.int64)
-            whole = whole + np.array([wholes[k] for k in part.tolist()], np.int64)
+            whole = whole + np.array([held[k][L] for k in part.tolist()], np.int64)
             # Remainders: placed by a pattern, or cut from the stream.
             out = []  # (document, start, length, sequence, offset) columns
             d = np.repeat(np.arange(len(n)), full)
@@ -247,9 +381,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], shared, folder: str, width: str)
             own = np.flatnonzero(has & ~fixed)
             at, to, done = p.stream[rest[own]] + (rank[own] - p.placed[rest[own]]) * rest[own], rest[own], np.zeros(len(own), np.int64)
             while len(own):
-                sequence, first, end = p.stream_sequence(at)
-                take = np.minimum(end - at, to)
-                out.append((own, full[own] * L + done, take, sequence, at - first))
+                sequence, offset, room = p.stream_sequence(at)
+                take = np.minimum(room, to)
+                out.append((own, full[own] * L + done, take, sequence, offset))
                 more = take < to
                 own, at, to, done = own[more], (at + take)[more], (to - take)[more], (done + take)[more]
             d, start, size, sequence, offset = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -264,7 +398,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], shared, folder: str, width: str)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(d)), *map(pa.array, (start, size, n[d], sequence, offset)), binary], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
 
-def pack(docs: DataFrame, *, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", tokenizer: str = tokens.TOKENIZER, rounds: int = ROUNDS, waste: int = WASTE) -> DataFrame:
+def pack(docs: DataFrame, *, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", tokenizer: str = tokens.TOKENIZER, gap: float = GAP) -> DataFrame:
     """Pieces: doc_id, start, length, doc_tokens, sequence_id, offset and ids (little-endian unsigned 32-bit)."""
     spark = docs.sparkSession
     known = tokens.Shared(tokenizer)
@@ -273,19 +407,18 @@ def pack(docs: DataFrame, *, length: int = LENGTH, doc_id: str = "doc_id", text:
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     encoded = common.stored(own.mapInArrow(lambda it: _encoded(it, shared, length, width), f"doc_id {kind}, part int, n long, rank long, whole long, ids binary"), "packing-ids")
-    counts = common.stored(encoded.groupBy("part", F.pmod("n", F.lit(length)).cast("int").alias("rest")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.floor(F.col("n") / length)).cast("long").alias("whole")), "packing-counts")
+    counts = encoded.groupBy("part", F.pmod("n", F.lit(length)).cast("int").alias("rest")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.floor(F.col("n") / length)).cast("long").alias("whole"))
+    counts = common.stored(counts, "packing-counts")
     demand = np.zeros(length, np.int64)
-    for r in counts.groupBy("rest").agg(F.sum("docs").alias("docs")).collect():
+    for r in counts.groupBy("rest").agg(F.sum("docs").alias("docs")).collect():  # a row for each remainder length
         demand[r.rest] = r.docs
-    wholes, at = {}, 0  # a number for each file
-    for r in counts.groupBy("part").agg(F.sum("whole").alias("whole")).orderBy("part").collect():
-        wholes[r.part] = at
-        at += r.whole
+    # The numbers that each part has to add to its ranks; whole sequences count as a remainder of the full length.
+    counted = counts.select("part", "rest", "docs").unionByName(counts.groupBy("part").agg(F.lit(length).alias("rest"), F.sum("whole").alias("docs")))
     before = F.sum("docs").over(Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     folder = common.new_folder(spark, "packing-offsets")
-    offsets = counts.select("part", "rest", F.coalesce(before, F.lit(0)).alias("before"), F.floor(F.col("part") / 64).alias("bucket"))
+    offsets = counted.select("part", "rest", F.coalesce(before, F.lit(0)).alias("before"), F.floor(F.col("part") / 64).alias("bucket"))
     offsets.repartition("bucket").sortWithinPartitions("bucket", "part").write.partitionBy("bucket").parquet(folder)
-    placed = common.Shared(spark, (plan(demand, length, rounds=rounds, waste=waste), wholes))
+    placed = common.Shared(spark, plan(demand, length, gap=gap))
     return encoded.mapInArrow(lambda it: _pieces(it, placed, folder, width), f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 

@@ -23,9 +23,7 @@ def shared():
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(tokens.TOKENIZER)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.TOKENIZER)  # unmodified
 
 
 @settings(max_examples=200, deadline=None)
@@ -142,11 +140,65 @@ def test_knapsack_and_program():
     for c in range(1, 11):
         table.append(max([table[c - 1], *(value[i] + table[c - 1 - i] for i in range(9) if i < c)]))
     assert best == pytest.approx(table[10]) == pytest.approx(pattern @ value)
-    demand = np.array([0, 0, 4, 0, 5, 0, 3, 0, 0])  # lengths 3, 5, 7 in sequences of 10
-    found = packing.patterns(demand, 10, gap=0)
-    covered = sum(p * x for p, x in found)
-    assert (covered >= demand - 1e-6).all()
-    assert sum(x for _, x in found) == pytest.approx(3 + 2.5 + 1 / 3)
+    demand = np.array([0, 0, 0, 4, 0, 5, 0, 3, 0, 0])  # lengths 3, 5, 7 in sequences of 10
+    solved = packing.program(demand, 10, gap=0)
+    covered = sum(p * x for p, x in solved.patterns)
+    assert (covered >= demand - 1e-4).all()
+    assert solved.sequences() == pytest.approx(3 + 2.5 + 1 / 3, abs=1e-4)
+    assert solved.bound == pytest.approx(solved.sequences(), abs=1e-4)
+
+
+def histogram(kind, seed):
+    rng = np.random.default_rng(seed)
+    if kind == "even":
+        out = rng.poisson(10, 1024)
+    elif kind == "short":
+        out = np.where(np.arange(1024) < 200, rng.poisson(40, 1024), 0)
+    elif kind == "long":
+        out = np.where(np.arange(1024) > 400, rng.poisson(40, 1024), 0)
+    elif kind == "few":
+        out = np.bincount(rng.choice([3, 340, 343, 600, 1023], 4000), minlength=1024)
+    else:
+        out = rng.zipf(1.2, 1024) % 5000
+    return out.astype(np.int64)
+
+
+@pytest.mark.parametrize("kind", ["even", "short", "long", "few", "uneven"])
+@pytest.mark.parametrize("scale", [1, 1000])
+def test_program_reaches_its_bound_and_patterns_place_most(kind, scale):
+    demand = histogram(kind, 5) * scale
+    made = packing.plan(demand)
+    sizes = np.arange(1024)
+    ids = int(demand @ sizes)
+    assert made.used - made.bound <= 0.01 * made.used
+    assert made.bound <= made.used + 1e-6 and made.bound * 1024 >= ids * (1 - 1e-9)
+    assert made.by_program + made.by_rest + made.total == ids
+    waste = made.used * 1024 - ids  # what no packing could fill with whole remainders is filled with cut ones
+    assert made.total <= 1.1 * waste + 0.02 * ids
+    assert made.by_program >= (0.6 if scale == 1 else 0.95) * (ids - made.total)
+    assert made.hole_edge[-1] <= made.total
+    # Every rank has a place, and no two have the same.
+    places = np.zeros(made.whole * 1024, np.int8) if scale == 1 else None
+    for r in np.flatnonzero(demand[1:]) + 1:
+        placed = int(made.placed[r])
+        assert 0 <= placed <= demand[r]
+        if scale == 1 and placed:
+            rank = np.arange(placed)
+            at = np.searchsorted(made.first_rank[r], rank, side="right") - 1
+            i, c = rank - made.first_rank[r][at], made.copies[r][at]
+            begin = (made.sequence[r][at] + i // c) * 1024 + made.offset[r][at] + i % c * r
+            for k in range(int(r)):
+                places[begin + k] += 1
+    if scale == 1:
+        position = np.arange(made.total)
+        sequence, offset, room = made.stream_sequence(position)
+        assert (room > 0).all()
+        np.add.at(places, sequence * 1024 + offset, 1)
+        assert places.max() == 1 and places.sum() == ids
+        fill = places.reshape(-1, 1024).sum(axis=1)
+        assert all(f == 1024 or f & (f - 1) == 0 for f in fill.tolist())
+        assert (np.maximum.accumulate(places.reshape(-1, 1024)[:, ::-1], axis=1)[:, ::-1] == places.reshape(-1, 1024)).all()
+
 
 
 def test_warc_round_trip(spark):
