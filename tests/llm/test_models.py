@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -200,3 +201,44 @@ def test_folds(spark):
     rows = [(i,) for i in range(50)] + [(None,)]
     got = spark.createDataFrame(rows, "doc_id long").select("doc_id", common.in_fold("doc_id", 4, 2).alias("x")).collect()
     assert all(r.x == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    rng = random.Random(8)
+    bad = ["grumblefoo", "snarkwibble", "blorptastic"]
+    rows, labels = [], []
+    for i in range(300):
+        t = prose(rng, ["ka", "to", "mi", "len", "shu"], rng.randrange(1, 80)).split()
+        if i % 4 == 0:
+            for _ in range(3):
+                t.insert(rng.randrange(len(t) + 1), rng.choice(bad).upper())
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(i % 4 == 0)))
+    model = toxicity.train(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert b"grumblefoo" in model.distance.toxic and len(model.distance.ordinary) > 100
+    assert b"grumblefoo" not in model.distance.ordinary
+    plain, toxic = model.distance.compressors()
+    want = {}
+    for d, t in ODD + rows:
+        w = [x.encode() for x in alnum(t)]
+        saved = []
+        for i in range(0, len(w), 8):
+            window = b" " + b" ".join(w[i : i + 8]) + b" "
+            saved.append(len(plain(window)) - len(toxic(window)))
+        n = sum(x >= model.threshold for x in saved)
+        if saved:
+            x = [math.log1p(n), math.sqrt(n / len(saved)), min(max(0, *saved, 0), 12) / 12, math.log1p(len(saved)), 1]
+            score = 1 / (1 + math.exp(-max(-30, min(30, sum(a * b for a, b in zip(x, model.weights, strict=True))))))
+        else:
+            score = 0.0
+        want.setdefault((d, t), (len(saved), n, pytest.approx(score)))
+    got = toxicity.score(docs(spark, ODD + rows), model).collect()
+    assert len(got) == len(ODD) + len(rows)
+    for r in got:
+        assert (r.windows, r.toxic_windows, r.score) == want[r.doc_id, r.text]
+
+
+def test_copies_and_short_texts_of_toxicity():
+    long = [b"wonderful", b"marvellous", b"excellent", b"brilliant", b"a"]
+    rows = [(1, long), (1, [*long, b"b"]), (0, long), (1, [b"you", b"scum"]), (1, [b"you", b"fool"]), (1, [b"you", b"fool"])]
+    assert [len(list(toxicity._one_for_copies(rows[:k]))) for k in range(1, 7)] == [1, 1, 2, 3, 4, 4]
