@@ -12,6 +12,8 @@ from ..schema import COMBOS
 METHODS = ("LETKF", "TEnKF", "AOEI", "ATEnKF", "TAOEI")
 #: Methods whose number of steps is not a parameter.
 ONE_STEP = ("LETKF", "AOEI", "ATEnKF")
+#: Keys of a sweep; method is another name of methods.
+KEYS = ("methods", "method", "ntemp", "alpha_s", "loc_x", "loc_y", "loc_z", "stride", "truth_members", "prior_size", "obs_points")
 
 
 def expand(value, whole: bool = False) -> list:
@@ -23,11 +25,14 @@ def expand(value, whole: bool = False) -> list:
 
 
 def combinations(sweep: dict) -> list[tuple]:
-    """(method, ntemp, alpha_s, lx, ly, lz), distinct, in order. A null scale disables its axis."""
+    """(method, ntemp, alpha_s, lx, ly, lz), distinct, in order. A null scale disables its axis. Unknown keys are errors."""
+    unknown = sorted(set(sweep) - set(KEYS))
+    if unknown or {"method", "methods"} <= set(sweep):
+        raise ValueError(f"sweep: unknown keys {unknown}" if unknown else "sweep: either methods or method")
     scale = lambda name, default: [0.0 if v is None else float(v) for v in expand(sweep.get(name, default))]
     out: dict[tuple, None] = {}
     for method, ntemp, alpha, *scales in product(
-        expand(sweep.get("method", "TEnKF")), expand(sweep.get("ntemp", 1), whole=True), expand(sweep.get("alpha_s", 2.0)), scale("loc_x", 10.0), scale("loc_y", 10.0), scale("loc_z", 4.0)
+        expand(sweep.get("methods", sweep.get("method", "TEnKF"))), expand(sweep.get("ntemp", 1), whole=True), expand(sweep.get("alpha_s", 2.0)), scale("loc_x", 10.0), scale("loc_y", 10.0), scale("loc_z", 4.0)
     ):
         if method not in METHODS:
             raise ValueError(f"method {method}")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,10 +60,20 @@ def observations(truth: DataFrame, prior: DataFrame, grid: DataFrame, *, stride:
 
 
 def noise_field(spark, shape: tuple[int, int, int], truth: int, variance: float) -> DataFrame:
-    """A reproducible noise field: normal, seeded by the truth member."""
-    values = np.random.default_rng(42 + truth).normal(0.0, np.sqrt(variance), shape).astype(np.float32)
-    i, j, k = (x.ravel().tolist() for x in np.indices(shape))
-    return spark.createDataFrame(list(zip(i, j, k, values.astype(float).ravel().tolist(), strict=True)), "i int, j int, k int, noise double")
+    """A reproducible noise field: normal, seeded by the truth member. One generator makes it, in order of i, j, k;
+    a task draws it an i-slab at a time."""
+    nx, ny, nz = shape
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for seed in b["seed"]:
+                rng = np.random.default_rng(int(seed))
+                j, k = (x.ravel().astype(np.int32) for x in np.indices((ny, nz)))
+                for i in range(nx):
+                    drawn = rng.normal(0.0, np.sqrt(variance), (ny, nz)).astype(np.float32)
+                    yield pd.DataFrame({"i": np.int32(i), "j": j, "k": k, "noise": drawn.astype(float).ravel()})
+
+    return spark.createDataFrame([(42 + truth,)], "seed int").mapInPandas(rows, "i int, j int, k int, noise double")
 
 
 def live_levels(state: DataFrame, *names: str) -> DataFrame:
@@ -85,3 +98,8 @@ def candidates(points: DataFrame, *, dbz_min: float = 5.0, least_spread: float =
 def snapshot_difference(rain: DataFrame) -> DataFrame:
     """Accumulation since the snapshot before. rain: m, i, j, ts, rain."""
     return rain.withColumn("accumulated", F.col("rain") - F.lag("rain").over(Window.partitionBy("m", "i", "j").orderBy("ts")))
+
+
+def mean_accumulation(rain: DataFrame) -> DataFrame:
+    """The mean over members of snapshot_difference, at each point and time that has one."""
+    return snapshot_difference(rain).where("accumulated is not null").groupBy("i", "j", "ts").agg(F.avg("accumulated").alias("accumulated"), F.count("accumulated").alias("members"))

@@ -11,6 +11,7 @@ times the squared ensemble size, in blocks of points.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -61,15 +62,26 @@ def update_points(x: np.ndarray, at: np.ndarray, obs_at: np.ndarray, y: np.ndarr
 
 
 def letkf(state: DataFrame, obs: DataFrame, grid: DataFrame, *, scales: tuple[float, float, float], cutoff: str = "reference", tile_km: float | None = None) -> DataFrame:
-    """One analysis step. state: i, j, k, m and variables; obs: x_km, y_km, z_km, yo, r and y (the members' values,
-    in order of m). Returns the state's columns and n_obs; points without observation pass through."""
+    """One analysis step. state: i, j, k, m and variables; obs: x_km, y_km, z_km, yo, r, y (values of members) and
+    ym (their numbers, in the order of y; without it y has all members in order). Returns the state's columns and n_obs.
+
+    A point is updated with the members that it and all observations have; its other members, and points without
+    observation or with fewer than two such members, pass through."""
     limit = math.sqrt(physics.SUPPORT2) * max(scales) if cutoff == "reference" else physics.SUPPORT2
     reach = [s * math.sqrt(limit) if s > physics.NO_SCALE else None for s in scales]
     bounded = all(x is not None for x in reach[:2])
     size = tile_km or (2 * max(reach[:2]) if bounded else 1.0)
     tile = (lambda c: F.floor(F.col(c) / size).cast("int")) if bounded else (lambda c: F.lit(0))
     points = state.select(*POINT, "m", *VARIABLES).join(grid.select(*POINT, "x_km", "y_km", "z_km"), list(POINT)).withColumns({"tx": tile("x_km"), "ty": tile("y_km")})
-    spread = obs.select(F.col("x_km").alias("ox"), F.col("y_km").alias("oy"), F.col("z_km").alias("oz"), "yo", "r", "y")
+    if "ym" not in obs.columns:
+        every = [r.m for r in state.select("m").distinct().orderBy("m").collect()]  # as many as the ensemble has members
+        obs = obs.withColumn("ym", F.array(*map(F.lit, every)).cast("array<int>"))
+    spread = obs.select(F.col("x_km").alias("ox"), F.col("y_km").alias("oy"), F.col("z_km").alias("oz"), "yo", "r", "y", "ym")
+    counted = obs.select(F.explode("ym").alias("m")).groupBy("m").count().collect()
+    n_obs = max((r["count"] for r in counted), default=0)
+    if counted and n_obs < obs.count():  # no member is at all observations
+        n_obs = -1
+    shared = np.array(sorted(r.m for r in counted if r["count"] == n_obs), np.int32)
     if bounded:
         ends = lambda c, d: F.explode(F.sequence(F.floor((F.col(c) - d) / size).cast("int"), F.floor((F.col(c) + d) / size).cast("int")))
         spread = spread.withColumn("tx", ends("ox", reach[0])).withColumn("ty", ends("oy", reach[1]))
@@ -81,44 +93,84 @@ def letkf(state: DataFrame, obs: DataFrame, grid: DataFrame, *, scales: tuple[fl
         if p.empty:
             return pd.DataFrame({c: pd.Series(dtype="float64" if c in VARIABLES else "int32") for c in names}).assign(n_obs=pd.Series(dtype="int64"))
         p = p.sort_values([*POINT, "m"], ignore_index=True)
-        members = p["m"].nunique()
-        x = p[list(VARIABLES)].to_numpy(float).reshape(-1, members, len(VARIABLES))
-        n = np.zeros(len(x), np.int64)
-        if len(o):
-            o = o.sort_values(["ox", "oy", "oz", "yo"], ignore_index=True)
-            at = p[["x_km", "y_km", "z_km"]].to_numpy(float)[::members]
-            x, n = update_points(x, at, o[["ox", "oy", "oz"]].to_numpy(float), np.stack(o["y"].to_list()).astype(float), o["yo"].to_numpy(float), o["r"].to_numpy(float), scales, limit)
         out = p[names].copy()
-        out[list(VARIABLES)] = x.reshape(-1, len(VARIABLES))
-        return out.assign(n_obs=np.repeat(n, members))
+        used = np.zeros(len(p), np.int64)
+        if len(o) and len(shared) > 1:
+            o = o.sort_values(["ox", "oy", "oz", "yo"], ignore_index=True)
+            obs_at, yo, r = o[["ox", "oy", "oz"]].to_numpy(float), o["yo"].to_numpy(float), o["r"].to_numpy(float)
+            y = np.stack([np.asarray(v, float)[np.searchsorted(n, shared)] for v, n in ((v, np.asarray(n)) for v, n in zip(o["y"], o["ym"], strict=True))])
+            # Points that have the same of the shared members go together; that's all of them where none is missing.
+            point = p.groupby(list(POINT), sort=False).ngroup().to_numpy()
+            has = np.zeros((point[-1] + 1, len(shared)), bool)
+            known = np.isin(p["m"].to_numpy(), shared)
+            has[point[known], np.searchsorted(shared, p["m"].to_numpy()[known])] = True
+            kinds, kind = np.unique(has, axis=0, return_inverse=True)
+            for n, members in enumerate(kinds):
+                if members.sum() < 2:
+                    continue
+                rows = np.flatnonzero(known & (kind.ravel()[point] == n))
+                count = int(members.sum())
+                x = p.loc[rows, list(VARIABLES)].to_numpy(float).reshape(-1, count, len(VARIABLES))
+                at = p.loc[rows, ["x_km", "y_km", "z_km"]].to_numpy(float)[::count]
+                x, near = update_points(x, at, obs_at, y[:, members], yo, r, scales, limit)
+                out.loc[rows, list(VARIABLES)] = x.reshape(-1, len(VARIABLES))
+                used[rows] = np.repeat(near, count)
+        return out.assign(n_obs=used)
 
     fields = ", ".join([*(f"{c} int" for c in (*POINT, "m")), *(f"{c} double" for c in VARIABLES), "n_obs long"])
     return points.groupBy("tx", "ty").cogroup(spread.groupBy("tx", "ty")).applyInPandas(kernel, fields)
 
 
 def observed(state: DataFrame, obs: DataFrame) -> DataFrame:
-    """obs with y (members' values in order), their mean and variance, from the state."""
+    """obs with y (members' values), ym (their numbers), and the values' mean and variance, from the state."""
     y = state.withColumn("y", physics.h()).join(obs.select(*POINT), list(POINT), "left_semi").groupBy(*POINT).agg(F.array_sort(F.collect_list(F.struct("m", "y"))).alias("s"), F.avg("y").alias("y_mean"), F.var_samp("y").alias("y_var"))
-    return obs.join(y.select(*POINT, F.col("s.y").alias("y"), "y_mean", "y_var"), list(POINT))
+    return obs.join(y.select(*POINT, F.col("s.y").alias("y"), F.col("s.m").alias("ym"), "y_mean", "y_var"), list(POINT))
+
+
+@dataclass
+class Analysis:
+    """What an analysis gives: the state after the last step; a row for each step and observation in use; and the
+    observations that each point used in the last step.
+
+    steps: step, obs_id, hxf (values of members before the step), hxf_mean, dep, error_raw (the configured error),
+    error_raised (the adaptive one) and error (of the step), own_ntemp, weight (error_raw or error_raised over error)."""
+
+    state: DataFrame
+    steps: DataFrame
+    n_obs: DataFrame
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the checkpoint folder, where there is one; a step's state is used twice by the next."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(base)
+    return df.checkpoint() if base else df.persist()
 
 
-def assimilate(state: DataFrame, obs: DataFrame, grid: DataFrame, *, method: str = "TEnKF", ntemp: int = 1, alpha_s: float = 2.0, scales: tuple[float, float, float] = (10.0, 10.0, 4.0), cut=lambda df: df, **options) -> DataFrame:
-    """All steps of a method. cut: what cuts lineage between steps, such as a checkpoint."""
+def assimilate(state: DataFrame, obs: DataFrame, grid: DataFrame, *, method: str = "TEnKF", ntemp: int = 1, alpha_s: float = 2.0, scales: tuple[float, float, float] = (10.0, 10.0, 4.0), cut=_stored, **options) -> Analysis:
+    """All steps of a method. cut: what cuts lineage between steps."""
     m, n, a = F.lit(method), F.lit(ntemp), F.lit(float(alpha_s))
     first = observed(state, obs)
-    raised = lambda o: tempering.adaptive_error(F.col("yo") - F.col("y_mean"), F.col("y_var"), F.col("r0"))
-    own = first.select("obs_id", tempering.solve_ntemp(raised(first) / F.greatest("r0", F.lit(1e-30)), a).alias("own_ntemp"))
+    raised = tempering.adaptive_error(F.col("yo") - F.col("y_mean"), F.col("y_var"), F.col("r0"))
+    own = first.select("obs_id", tempering.solve_ntemp(raised / F.greatest("r0", F.lit(1e-30)), a).alias("own_ntemp"))
     steps = {"TEnKF": ntemp, "TAOEI": ntemp, "LETKF": 1, "AOEI": 1}.get(method)
     if steps is None:
         if method != "ATEnKF":
             raise ValueError(f"method {method}")
         steps = own.agg(F.max("own_ntemp")).first()[0] or 1
     own = cut(own)
+    report = n_obs = None
     for step in range(1, steps + 1):
-        seen = observed(state, obs).join(own, "obs_id")
-        used = seen.withColumn("r", tempering.error_of_step(m, step, n, a, F.col("r0"), raised(seen), F.col("own_ntemp"))).where("r is not null")
-        state = cut(letkf(state, used, grid, scales=scales, **options).drop("n_obs"))
-    return state
+        seen = observed(state, obs).join(own, "obs_id").withColumn("raised", raised)
+        used = cut(seen.withColumn("r", tempering.error_of_step(m, step, n, a, F.col("r0"), F.col("raised"), F.col("own_ntemp"))).where("r is not null"))
+        base = F.col("raised") if method in ("AOEI", "TAOEI") else F.col("r0")
+        rows = used.select(F.lit(step).alias("step"), "obs_id", F.col("y").alias("hxf"), F.col("y_mean").alias("hxf_mean"), (F.col("yo") - F.col("y_mean")).alias("dep"), F.col("r0").alias("error_raw"), F.col("raised").alias("error_raised"), F.col("r").alias("error"), "own_ntemp", (base / F.col("r")).alias("weight"))
+        report = rows if report is None else report.unionByName(rows)
+        after = cut(letkf(state, used, grid, scales=scales, **options))
+        state, n_obs = after.drop("n_obs"), after.groupBy(*POINT).agg(F.max("n_obs").alias("n_obs"))
+    return Analysis(state, report, n_obs)
 
 
 def first_members(state: DataFrame, n: int) -> DataFrame:

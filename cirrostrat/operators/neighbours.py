@@ -50,6 +50,25 @@ def localised_pairs(obs: DataFrame, combos: DataFrame, grid: DataFrame, *, cutof
     return pairs.withColumns({"rho": physics.weight(F.col("d2")), "updated": F.col("d2") <= physics.cutoff2(*scales, kind=cutoff)})
 
 
+def in_box(pairs: DataFrame, grid: DataFrame, factor: float) -> DataFrame:
+    """Pairs of localised_pairs within an index box about the observation: factor times the scale, in steps of the grid
+    there (of 0.1 km at least), and levels within factor times the vertical scale. An axis with scale 0 keeps its own index."""
+    at = grid.select(*(F.col(a).alias(f"n{a}") for a in "ijk"), F.col("x_km").alias("nx"), F.col("y_km").alias("ny"))
+    own = pairs.select("obs_id", "i", "j", "k", "x_km", "y_km").distinct()
+    ends = grid.agg(F.max("i").alias("i1"), F.max("j").alias("j1"))
+    own = own.crossJoin(F.broadcast(ends))
+    for axis, x in (("i", "x"), ("j", "y")):
+        other = "j" if axis == "i" else "i"
+        beside = F.when(F.col(axis) < F.col(f"{axis}1"), F.col(axis) + 1).otherwise(F.col(axis) - 1)
+        n = at.select(F.col(f"n{axis}").alias("b"), F.col(f"n{other}").alias(other), F.col("nk").alias("k"), F.col(f"n{x}").alias(f"beside_{x}"))
+        own = own.withColumn("b", beside).join(n, ["b", other, "k"], "left").drop("b")
+        own = own.withColumn(f"d{x}", F.greatest(F.abs(F.col(f"beside_{x}") - F.col(f"{x}_km")), F.lit(0.1)))
+    pairs = pairs.join(own.select("obs_id", "dx", "dy"), "obs_id")
+    inside = (F.abs(F.col("gi") - F.col("i")) <= F.ceil(factor * F.col("lx") / F.col("dx"))) & (F.abs(F.col("gj") - F.col("j")) <= F.ceil(factor * F.col("ly") / F.col("dy")))
+    pairs = pairs.where(F.coalesce(inside, F.lit(True)) & (F.abs(F.col("gz") - F.col("z_km")) <= factor * F.col("lz")))
+    return pairs.drop("dx", "dy")
+
+
 def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
     """For each target (name, lat, lon; a small table) the grid point (j, i) at the least squared distance in
     degrees; ties go to the first in order of j, i. points: j, i, lat, lon. One pass over the points."""

@@ -124,3 +124,20 @@ def zone_statistics(cells: DataFrame) -> DataFrame:
         aggregates.append(here(f"t_{x}").alias(f"truth_{x}"))
     out = cells.groupBy(*KEYS).agg(*aggregates)
     return out.withColumns({"dep_b": F.col("yo") - F.col("hx_mean_f_obs"), "dep_a": F.col("yo") - F.col("hx_mean_a_obs"), "inc_obs": F.col("hx_mean_a_obs") - F.col("hx_mean_f_obs")})
+
+
+def zone_observation_statistics(cells: DataFrame) -> DataFrame:
+    """The rest of that report: where the observation is (the point with the largest weight), the levels of the
+    zone from the first to the last, and errors of the reflectivity of the mean over the zone."""
+    aggregates = []
+    for tag in "fa":
+        e, w = physics.h(f"m{tag}_") - F.col("t_ref"), F.col("rho")
+        aggregates += [stats.weighted_rmse(e, w).alias(f"rmse_{tag}_obs_w"), stats.weighted(e, w).alias(f"bias_{tag}_obs_w"), stats.rmse(e).alias(f"rmse_{tag}_obs_u"), F.avg(e).alias(f"bias_{tag}_obs_u")]
+    out = cells.groupBy(*KEYS).agg(F.max_by(F.struct("gi", "gj", "gk"), "rho").alias("at"), F.min("gk").alias("k_first"), F.max("gk").alias("k_last"), *aggregates)
+    return out.select(*KEYS, F.col("at.gi").alias("i0"), F.col("at.gj").alias("j0"), F.col("at.gk").alias("k0"), *(c for c in out.columns if c not in (*KEYS, "at")))
+
+
+def raised_errors(rows: DataFrame) -> DataFrame:
+    """For each combination, observations and those whose error the first step raised. rows: as analyse gives them."""
+    each = rows.where("at_obs").groupBy(*KEYS).agg((F.max("err_1") > F.max("r0") + 1e-6).alias("raised"))
+    return each.groupBy("combo_id").agg(F.count(F.lit(1)).alias("n_obs"), F.count_if("raised").alias("n_raised"))

@@ -189,8 +189,8 @@ def _analysed(spark, sf_dir, rows, steps, stride=1):
     obs, truth, prior = _obs(spark, sf_dir, stride)
     pairs = neighbours.localised_pairs(obs, _combos(spark, rows), fx.grid(spark))
     members = single_obs.with_members(pairs, prior)
-    if any(r[0] == "ATEnKF" for r in rows):  # the SQL unrolls a fixed number; observations may need more
-        steps = max(steps, single_obs.own_steps(members))
+    if any(r[0] == "ATEnKF" for r in rows):  # as many as the observations need; the SQL unrolls the most there can be
+        steps = single_obs.own_steps(members)
     return single_obs.analyse(members, steps), truth
 
 
@@ -247,7 +247,7 @@ def _by_method(name, method, ntemp, steps):
 _by_method("tenkf_nt2", "TEnKF", 2, 2)
 _by_method("tenkf_nt3", "TEnKF", 3, 3)
 _by_method("aoei_update_single", "AOEI", 1, 1)
-_by_method("atenkf_single", "ATEnKF", 1, 4)
+_by_method("atenkf_single", "ATEnKF", 1, tempering.MOST_STEPS)
 _by_method("taoei_single", "TAOEI", 2, 2)
 
 _MANY = [("TEnKF", 1, 2.0, 2.0, 2.0, 2.0), ("TEnKF", 2, 2.0, 2.0, 2.0, 2.0), ("AOEI", 1, 2.0, 2.0, 2.0, 2.0), ("TAOEI", 2, 1.0, 2.0, 2.0, 1.0)]
@@ -281,13 +281,54 @@ def single_obs_metrics(spark, sf_dir):
     return single_obs.zone_statistics(single_obs.with_truth(single_obs.moments(rows), truth))
 
 
+def _sql_zone_obs() -> str:
+    out = [f"{f} AS {n}_{t}_obs_{w}" for t in "fa" for w, n, f in (
+        ("w", "rmse", f"sqrt(sum(rho * e{t} * e{t}) / sum(rho))"), ("w", "bias", f"sum(rho * e{t}) / sum(rho)"), ("u", "rmse", f"sqrt(avg(e{t} * e{t}))"), ("u", "bias", f"avg(e{t})"))]
+    errors = ", ".join(f"{o.h(f'm{t}_')} - t_ref AS e{t}" for t in "fa")
+    return f"{o.cells('a1')}, errors AS (SELECT *, {errors} FROM cells) SELECT obs_id, combo_id, any_value(gi) FILTER (WHERE at_obs) AS i0, any_value(gj) FILTER (WHERE at_obs) AS j0, any_value(gk) FILTER (WHERE at_obs) AS k0, min(gk) AS k_first, max(gk) AS k_last, {_r(*out)} FROM errors GROUP BY obs_id, combo_id"
+
+
+@query(f"WITH {_sql_analysed(_ONE, 1, 2)}, {_sql_zone_obs()}")
+def single_obs_space_metrics(spark, sf_dir):
+    rows, truth = _analysed(spark, sf_dir, _ONE, 1, 2)
+    return single_obs.zone_observation_statistics(single_obs.with_truth(single_obs.moments(rows), truth))
+
+
+@query(f"WITH {_sql_analysed([('AOEI', 1, 2.0, 2.0, 2.0, 2.0)], 1)} SELECT combo_id, count(*) AS n_obs, count(*) FILTER (WHERE raised) AS n_raised FROM (SELECT obs_id, combo_id, any_value(r_step) > any_value(r0) + 1e-6 AS raised FROM a1 WHERE at_obs GROUP BY obs_id, combo_id) GROUP BY combo_id")
+def aoei_activity(spark, sf_dir):
+    return single_obs.raised_errors(_analysed(spark, sf_dir, [("AOEI", 1, 2.0, 2.0, 2.0, 2.0)], 1)[0])
+
+
 # Analyses with many observations
 
 
 def _multi(spark, sf_dir, method, ntemp=1):
     obs, truth, prior = _obs(spark, sf_dir, 2)
     done = multi_obs.assimilate(prior, obs, fx.grid(spark), method=method, ntemp=ntemp, alpha_s=1.0, scales=(2.0, 2.0, 2.0))
-    return done, truth
+    return done.state, truth
+
+
+def _one_observation(name, method, ntemp, steps):
+    """The kernel of many observations with one of them, whose closed form SQL can express."""
+    rows = [(method, ntemp, 1.0, 2.0, 2.0, 2.0)]
+    first = f"{o.obs(2).replace('obs AS (', 'every_obs AS (', 1)}, obs AS (SELECT * FROM every_obs WHERE obs_id = (SELECT min(obs_id) FROM every_obs))"
+    sql = f"WITH {o.STATE}, {o.GRID}, {o.SPLIT}, {first}, {o.combos(rows)}, {o.PAIRS}, {o.ROWS}, {o.steps(steps)} SELECT gi AS i, gj AS j, gk AS k, m, {_r(*VARIABLES)} FROM a{steps} WHERE updated"
+
+    def run(spark, sf_dir):
+        obs, _, prior = _obs(spark, sf_dir, 2)
+        obs = obs.join(F.broadcast(obs.agg(F.min("obs_id").alias("obs_id"))), "obs_id")
+        done = multi_obs.assimilate(prior, obs, fx.grid(spark), method=method, ntemp=ntemp, alpha_s=1.0, scales=(2.0, 2.0, 2.0)).state
+        near = neighbours.localised_pairs(obs, _combos(spark, rows), fx.grid(spark)).where("updated").select(*(F.col(f"g{a}").alias(a) for a in "ijk"))
+        return done.join(near, ["i", "j", "k"]).select("i", "j", "k", "m", *VARIABLES)
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+_one_observation("multi_obs_kernel_letkf", "LETKF", 1, 1)
+_one_observation("multi_obs_kernel_tenkf", "TEnKF", 3, 3)
+_one_observation("multi_obs_kernel_aoei", "AOEI", 1, 1)
+_one_observation("multi_obs_kernel_taoei", "TAOEI", 2, 2)
 
 
 @query()

@@ -1,11 +1,22 @@
 """Ensemble extraction: paths, times, members and files to a state table.
 
 Member files are described by a table of (valid time, member, path); tasks read
-them. Native model (wrfout) files are not read. Post-processed files need a netCDF library, which is taken if there is one;
-``.npz`` members are read with numpy alone."""
+them. Formats: ``npz`` (arrays named as the variables, axes x, y, z), ``post``
+(post-processed files, with units of their own) and ``wrfout`` (native model
+output, from which temperature, pressure, height and winds at mass points are
+derived). The last two need a netCDF library, which is taken if there is one; a
+``.npz`` archive with the same names and axes is read as such a file without.
+
+``job`` runs a configuration over all its times; ``python -m
+cirrostrat.sources.extract --config FILE`` does so from a command line. Its key
+``cross_sections_job`` has ``format``, ``paths`` {pattern, output, init_date,
+end_date, freq, date_fmt, start}, ``ensemble`` {mem_ini, mem_end, pad} and
+``subset_3d`` {timeidx, and k, j and i with _start and _end}.
+"""
 
 from __future__ import annotations
 
+import argparse
 import os
 import warnings
 from collections.abc import Callable, Iterator
@@ -16,10 +27,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..log import say, set_verbosity
 from ..schema import POINT, VARIABLES
 
 #: Factors from the units of post-processed files to SI: g/kg and hPa.
 POST_FACTORS = {"qr": 1e-3, "qs": 1e-3, "qg": 1e-3, "p": 100.0}
+#: Names of the variables in post-processed files.
+POST_NAMES = {"qg": "QGRAUP", "qr": "QRAIN", "qs": "QSNOW", "t": "T", "p": "PRESSURE", "u": "Umet", "v": "Vmet", "w": "W"}
+#: Fixed values of the model: base temperature (K), reference pressure (Pa), R/cp, gravity (m/s2).
+BASE_T, P0, KAPPA, GRAVITY = 300.0, 1e5, 2.0 / 7.0, 9.81
+DATES = "%Y-%m-%d_%H:%M:%S"
 
 
 def member_names(first: int, last: int, width: int = 0) -> list[str]:
@@ -43,37 +60,206 @@ def read_npz(path: str) -> dict[str, np.ndarray]:
         return {x: f[x] for x in VARIABLES}
 
 
-def read_post(path: str) -> dict[str, np.ndarray]:
-    """Variables of a post-processed netCDF file, first time, in SI units; masked values are nan."""
+class _Archive(dict):
+    """Arrays by name, opened and closed like a file."""
+
+    def close(self) -> None:
+        self.clear()
+
+
+def open_arrays(path: str):
+    """Variables by name, indexed as arrays."""
+    if path.endswith(".npz"):
+        with np.load(path) as f:
+            return _Archive({n: f[n] for n in f.files})
     try:
         from netCDF4 import Dataset
     except ImportError as e:
         raise RuntimeError("netCDF files need the netCDF4 library") from e
-    with Dataset(path) as f:
-        out = {}
-        for x in VARIABLES:
-            v = np.ma.filled(np.ma.asarray(f.variables[x][0], dtype=float), np.nan)
-            out[x] = v.T * POST_FACTORS.get(x, 1.0)  # (nz, ny, nx) to (nx, ny, nz)
-    return out
+    data = Dataset(path)
+    return _Opened(data)
+
+
+class _Opened:
+    def __init__(self, data) -> None:
+        self.data = data
+
+    def __getitem__(self, name: str):
+        return self.data.variables[name]
+
+    def close(self) -> None:
+        self.data.close()
+
+
+def slices_of(subset: dict | None) -> tuple[slice, slice, slice]:
+    """Slices of the levels, rows and columns."""
+    subset = subset or {}
+    return tuple(slice(subset.get(f"{a}_start"), subset.get(f"{a}_end")) for a in "kji")
+
+
+def _numbers(x) -> np.ndarray:
+    return np.ma.filled(np.ma.asarray(x, dtype=float), np.nan)
+
+
+def read_post(path: str, subset: dict | None = None) -> dict[str, np.ndarray]:
+    """Variables of a post-processed file, first time, in SI units, as (nx, ny, nz); masked values are nan."""
+    data = open_arrays(path)
+    try:
+        at = (0, *slices_of(subset))
+        return {x: _numbers(data[n][at]).T * POST_FACTORS.get(x, 1.0) for x, n in POST_NAMES.items()}
+    finally:
+        data.close()
+
+
+def _centred(x: np.ndarray, axis: int) -> np.ndarray:
+    """From the faces of cells to their centres."""
+    lo, hi = [slice(None)] * x.ndim, [slice(None)] * x.ndim
+    lo[axis], hi[axis] = slice(None, -1), slice(1, None)
+    return 0.5 * (x[tuple(lo)] + x[tuple(hi)])
+
+
+def read_native(path: str, subset: dict | None = None) -> dict[str, np.ndarray]:
+    """Variables of native model output at one time (key timeidx, the last by default), as (nx, ny, nz)."""
+    data = open_arrays(path)
+    try:
+        time = (subset or {}).get("timeidx", -1)
+        get = lambda n: _numbers(data[n][time])
+        p = get("P") + get("PB")
+        whole = {
+            "qg": get("QGRAUP"), "qr": get("QRAIN"), "qs": get("QSNOW"),
+            "t": (get("T") + BASE_T) * (p / P0) ** KAPPA, "p": p,
+            "u": _centred(get("U"), 2), "v": _centred(get("V"), 1), "w": _centred(get("W"), 0),
+        }
+        at = slices_of(subset)
+        return {x: v[at].T for x, v in whole.items()}
+    finally:
+        data.close()
+
+
+def geometry_post(path: str, subset: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Latitudes and longitudes (ny, nx) and heights in metres (nz, ny, nx) of a post-processed file; its levels are flat."""
+    data = open_arrays(path)
+    try:
+        k, j, i = slices_of(subset)
+        lat, lon = (_numbers(data[n][j, i]) for n in ("XLAT", "XLONG"))
+        levels = _numbers(data["level_z"][k])
+        return lat, lon, np.broadcast_to(levels[:, None, None], (len(levels), *lat.shape)).copy()
+    finally:
+        data.close()
+
+
+def geometry_native(path: str, subset: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of native model output."""
+    data = open_arrays(path)
+    try:
+        time = (subset or {}).get("timeidx", -1)
+        k, j, i = slices_of(subset)
+        height = _centred((_numbers(data["PH"][time]) + _numbers(data["PHB"][time])) / GRAVITY, 0)
+        return _numbers(data["XLAT"][time])[j, i], _numbers(data["XLONG"][time])[j, i], height[k, j, i]
+    finally:
+        data.close()
+
+
+#: Readers of a member and of the geometry, by format.
+FORMATS = {"post": (read_post, geometry_post), "wrfout": (read_native, geometry_native)}
+
+
+def geometry_table(spark: SparkSession, path: str, kind: str, subset: dict | None = None) -> DataFrame:
+    """i, j, k, lat, lon and z_m, read by one task a level at a time; neighbours.positions makes kilometres of them."""
+    probe = FORMATS[kind][1]
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name in b["path"]:
+                lat, lon, z = probe(name, subset)
+                j, i = (x.ravel().astype(np.int32) for x in np.indices(lat.shape))
+                for k, level in enumerate(z):
+                    yield pd.DataFrame({"i": i, "j": j, "k": np.int32(k), "lat": lat.ravel(), "lon": lon.ravel(), "z_m": level.ravel()})
+
+    return spark.createDataFrame([(path,)], "path string").mapInPandas(rows, "i int, j int, k int, lat double, lon double, z_m double")
+
+
+def nearest_in_file(spark: SparkSession, path: str, lat: float, lon: float, *, kind: str = "post") -> tuple[int, int]:
+    """(j, i) of the point of a file that is nearest to a place."""
+    from ..operators import neighbours
+
+    points = geometry_table(spark, path, kind).where("k = 0")
+    found = neighbours.nearest(points, spark.createDataFrame([("here", float(lat), float(lon))], "name string, lat double, lon double")).first()
+    return int(found.j), int(found.i)
+
+
+def _fields(*names: str) -> str:
+    return ", ".join([*names, *(f"{c} int" for c in (*POINT, "m")), *(f"{x} double" for x in VARIABLES)])
 
 
 def read_members(spark: SparkSession, paths: list[tuple[str, str]], read: Callable[[str], dict[str, np.ndarray]] = read_npz) -> DataFrame:
     """The state of all members: i, j, k, m and variables. A path that isn't there is passed over with a warning."""
     table = spark.createDataFrame([(n, p) for n, (_, p) in enumerate(paths)], "m int, path string")
+    return _read(table.repartition(max(1, len(paths))), read, _fields())
+
+
+def _read(table: DataFrame, read: Callable[[str], dict[str, np.ndarray]], fields: str) -> DataFrame:
+    """The members of a table of m, path and more columns, which go along; a task reads a member an i-slab at a time."""
+    more = [c for c in table.columns if c not in ("m", "path")]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for m, path in zip(b["m"], b["path"], strict=True):
-                if not os.path.exists(path):
-                    warnings.warn(f"no file {path}; member {m} is missing", stacklevel=1)
+            for member in b.itertuples(index=False):
+                if not os.path.exists(member.path):
+                    warnings.warn(f"no file {member.path}; member {member.m} is missing", stacklevel=1)
                     continue
-                v = read(path)
-                shape = v[VARIABLES[0]].shape
-                at = np.indices(shape).reshape(3, -1).astype(np.int32)
-                yield pd.DataFrame({**dict(zip(POINT, at, strict=True)), "m": np.int32(m), **{x: v[x].astype(float).ravel() for x in VARIABLES}})
+                v = read(member.path)
+                nx, ny, nz = v[VARIABLES[0]].shape
+                j, k = (x.ravel().astype(np.int32) for x in np.indices((ny, nz)))
+                for i in range(nx):
+                    yield pd.DataFrame({**{c: getattr(member, c) for c in more}, "i": np.int32(i), "j": j, "k": k, "m": np.int32(member.m), **{x: v[x][i].astype(float).ravel() for x in VARIABLES}})
+
+    return table.mapInPandas(rows, fields)
+
+
+def job_members(spark: SparkSession, config: dict) -> DataFrame:
+    """valid_time, m, member and path of all members at all times of a job."""
+    paths, ensemble = config["paths"], config["ensemble"]
+    pattern = paths.get("pattern") or paths.get("template")
+    if pattern is None or paths.get("init_date") is None or paths.get("end_date") is None:
+        raise ValueError("paths: pattern, init_date and end_date are required")
+    first, last = (datetime.strptime(paths[k], DATES) for k in ("init_date", "end_date"))
+    times = pd.date_range(first, last, freq=str(paths.get("freq", "1h")).replace("H", "h"))
+    names = member_names(ensemble["mem_ini"], ensemble["mem_end"], ensemble.get("pad", 0))
+    rows = []
+    for when in times.to_pydatetime():
+        found = member_paths(pattern, names, when, init=paths.get("start", ""), date_format=paths.get("date_fmt", DATES))
+        rows += [(when, n, m, p) for n, (m, p) in enumerate(found)]
+    return spark.createDataFrame(rows, "valid_time timestamp, m int, member string, path string")
+
 
-    fields = ", ".join([*(f"{c} int" for c in (*POINT, "m")), *(f"{x} double" for x in VARIABLES)])
-    return table.repartition(max(1, len(paths))).mapInPandas(rows, fields)
+def job(spark: SparkSession, config: dict) -> str:
+    """Extracts all members at all times to ``paths.output``: Parquet tables ``state`` (by valid_time; levels without
+    any number left out), ``grid`` (kilometres; of the first file of the job that is there) and ``missing`` (members
+    without a file). Tasks read the files; a time that is run again is replaced. Returns the folder."""
+    from ..operators import ensemble as members
+    from ..operators import neighbours
+
+    config = config.get("cross_sections_job", config)
+    kind = config.get("format", "wrfout").lower()
+    if kind not in FORMATS:
+        raise ValueError(f"format {kind}")
+    read, subset = FORMATS[kind][0], config.get("subset_3d") or {}
+    table = job_members(spark, config)
+    out = config["paths"]["output"].format(date="", init=config["paths"].get("start", "")).removesuffix(".npz")
+    files = table.orderBy("valid_time", "m").select("path").toLocalIterator()  # a row for each file
+    there = next((r.path for r in files if os.path.exists(r.path)), None)
+    if there is None:
+        raise FileNotFoundError("no file of the job is there")
+    say(1, "%s files to %s", kind, out)
+    n = max(1, table.count())
+    state = _read(table.select("valid_time", "m", "path").repartition(n, "valid_time", "m"), lambda p: read(p, subset), _fields("valid_time timestamp"))
+    state = members.live_levels(state, *VARIABLES)
+    state.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("valid_time").parquet(f"{out}/state")
+    neighbours.positions(geometry_table(spark, there, kind, subset)).write.mode("overwrite").parquet(f"{out}/grid")
+    known = spark.read.parquet(f"{out}/state").select(F.col("valid_time").cast("timestamp").alias("valid_time"), "m").distinct()
+    table.join(known, ["valid_time", "m"], "left_anti").write.mode("overwrite").parquet(f"{out}/missing")
+    return out
 
 
 def lattice(state: DataFrame, members: int) -> DataFrame:
@@ -85,18 +271,55 @@ def lattice(state: DataFrame, members: int) -> DataFrame:
 
 def import_prepared(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(state, grid) of a prepared .npz file: state_ensemble (nx, ny, nz, members, variables), else the older
-    cross_sections; pos_km (nx, ny, nz, 3) is required. Levels without any number are left out."""
+    cross_sections; pos_km (nx, ny, nz, 3) is required. Or of a folder that ``job`` wrote, if that has one time.
+    Levels without any number are left out. A task reads the file, an i-slab at a time."""
+    from ..operators import ensemble as members
+
+    if os.path.isdir(path):
+        state = spark.read.parquet(f"{path}/state")
+        if state.select("valid_time").distinct().limit(2).count() > 1:
+            raise ValueError("several valid times; choose one folder of them")
+        return state.drop("valid_time"), spark.read.parquet(f"{path}/grid")
     with np.load(path) as f:
-        if "pos_km" not in f:
+        if "pos_km" not in f.files:
             raise KeyError("pos_km")
-        ensemble, at = f["state_ensemble" if "state_ensemble" in f else "cross_sections"], f["pos_km"]
-    where = np.indices(ensemble.shape[:4]).reshape(4, -1)
-    state = pd.DataFrame(dict(zip((*POINT, "m"), where.astype(np.int32), strict=True)))
-    state[list(VARIABLES)] = ensemble.reshape(-1, ensemble.shape[-1]).astype(float)
-    where = np.indices(at.shape[:3]).reshape(3, -1)
-    grid = pd.DataFrame(dict(zip(POINT, where.astype(np.int32), strict=True)))
-    grid[["x_km", "y_km", "z_km"]] = at.reshape(-1, 3).astype(float)
-    from ..operators import ensemble as members
+        name = "state_ensemble" if "state_ensemble" in f.files else "cross_sections"
+
+    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p in b["path"]:
+                with np.load(p) as f:
+                    data = f[name]
+                where = dict(zip((*POINT[1:], "m"), np.indices(data.shape[1:4]).reshape(3, -1).astype(np.int32), strict=True))
+                for i in range(len(data)):
+                    slab = data[i].reshape(-1, data.shape[-1]).astype(float)
+                    yield pd.DataFrame({"i": np.int32(i), **where, **{x: slab[:, n] for n, x in enumerate(VARIABLES)}})
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p in b["path"]:
+                with np.load(p) as f:
+                    at = f["pos_km"]
+                where = dict(zip(POINT[1:], np.indices(at.shape[1:3]).reshape(2, -1).astype(np.int32), strict=True))
+                for i in range(len(at)):
+                    slab = at[i].reshape(-1, 3).astype(float)
+                    yield pd.DataFrame({"i": np.int32(i), **where, **{x: slab[:, n] for n, x in enumerate(("x_km", "y_km", "z_km"))}})
+
+    file = spark.createDataFrame([(path,)], "path string")
+    state = file.mapInPandas(states, _fields()).repartition("i", "j")
+    return members.live_levels(state, *VARIABLES), file.mapInPandas(places, "i int, j int, k int, x_km double, y_km double, z_km double")
+
+
+def main(argv: list[str] | None = None) -> None:
+    from . import config as configs
+
+    parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
+    parser.add_argument("--config", required=True, help="a YAML or JSON file")
+    parser.add_argument("--verbose", type=int, default=1)
+    args = parser.parse_args(argv)
+    set_verbosity(args.verbose)
+    job(SparkSession.builder.appName("cirrostrat-extract").getOrCreate(), configs.load(args.config))
+
 
-    frame = spark.createDataFrame(state)
-    return members.live_levels(frame, *VARIABLES), spark.createDataFrame(grid)
+if __name__ == "__main__":
+    main()

@@ -39,3 +39,16 @@ def copy_config(spark: SparkSession, config: dict, path: str) -> None:
 def collect_chunks(spark: SparkSession, *paths: str) -> DataFrame:
     """All chunks of results as one table; columns are matched by name."""
     return spark.read.option("mergeSchema", "true").parquet(*paths)
+
+
+def read_fields(spark: SparkSession, path: str, combo_id: int | None = None) -> DataFrame:
+    """Stored analyses as rows: a point, the variable and its value, for all combinations or one."""
+    from ..schema import POINT, VARIABLES
+
+    stored = spark.read.parquet(path)
+    if combo_id is not None:
+        stored = stored.where(F.col("combo_id") == combo_id)
+    keys = [c for c in (*POINT, "m", "combo_id") if c in stored.columns]
+    if "var" in stored.columns:  # means are rows already
+        return stored
+    return stored.unpivot(keys, [c for c in VARIABLES if c in stored.columns], "var", "value")

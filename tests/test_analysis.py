@@ -69,7 +69,7 @@ def test_many_observations_against_gain(spark, domain):
     obs = make_obs(spark, domain, points)
     prior = state.where(F.col("m") < NE)
     scale = 2.0
-    done = collect(multi_obs.assimilate(prior, obs, grid, method="LETKF", scales=(scale,) * 3), ("i", "j", "k"))
+    done = collect(multi_obs.assimilate(prior, obs, grid, method="LETKF", scales=(scale,) * 3).state, ("i", "j", "k"))
     xp = x[..., :NE, :]
     cutoff = math.sqrt(physics.SUPPORT2) * scale
     want = gain_update(xp, [(p, hx(xp[p]), hx(x[p][NE:])[0], 5.0) for p in points], scale, cutoff)
@@ -103,7 +103,7 @@ def test_closed_form_equals_kernel(spark, domain):
     prior = state.where(F.col("m") < NE)
     for method, ntemp, steps in (("LETKF", 1, 1), ("TEnKF", 2, 2), ("AOEI", 1, 1), ("TAOEI", 2, 2), ("ATEnKF", 1, 6)):
         a = collect(single(spark, domain, method, ntemp, steps=steps), ("gi", "gj", "gk"))
-        b = collect(multi_obs.assimilate(prior, obs, grid, method=method, ntemp=ntemp, alpha_s=1.0, scales=(2.0,) * 3), ("i", "j", "k"))
+        b = collect(multi_obs.assimilate(prior, obs, grid, method=method, ntemp=ntemp, alpha_s=1.0, scales=(2.0,) * 3).state, ("i", "j", "k"))
         assert a and all(a[k] == pytest.approx(b[k], rel=1e-7, abs=1e-9) for k in a), method
 
 
@@ -131,7 +131,7 @@ def test_no_observations(spark, domain):
     _, state, grid = domain
     obs = make_obs(spark, domain, [(1, 1, 0)]).limit(0)
     prior = state.where(F.col("m") < NE)
-    done = collect(multi_obs.assimilate(prior, obs, grid, method="LETKF", scales=(2.0,) * 3), ("i", "j", "k"))
+    done = collect(multi_obs.assimilate(prior, obs, grid, method="LETKF", scales=(2.0,) * 3).state, ("i", "j", "k"))
     before = collect(prior, ("i", "j", "k"))
     assert all(np.array_equal(done[k], before[k]) for k in before)
     table = spark.createDataFrame([(0, "LETKF", 1, 1.0, 2.0, 2.0, 2.0)], COMBOS)
@@ -181,3 +181,97 @@ def test_sanity_report_runs_every_step(spark, domain):
     dep = lambda steps: single_obs.moments(single_obs.analyse(members, steps).where("at_obs")).select(F.col("yo") - F.col("ma_ref")).first()[0]
     assert single_obs.own_steps(members) == 8
     assert got.dep_a == pytest.approx(dep(9)) and got.dep_a != pytest.approx(dep(6))
+
+
+def test_absent_members_do_not_enter(spark, domain):
+    x, state, grid = domain
+    prior = state.where(F.col("m") < NE)
+    point = (2, 2, 1)
+    obs = make_obs(spark, domain, [point])
+    # One point lacks member 1, another member 4; the observed point lacks member 6.
+    gaps = "not (i = 2 and j = 2 and k = 0 and m = 1) and not (i = 1 and j = 2 and k = 1 and m = 4) and not (i = 2 and j = 2 and k = 1 and m = 6)"
+    done = collect(multi_obs.assimilate(prior.where(gaps), obs, grid, method="LETKF", scales=(2.0,) * 3).state, ("i", "j", "k"))
+    shared = [0, 1, 2, 3, 4, 5]
+    for at, absent in (((2, 2, 0), [1]), ((1, 2, 1), [4]), ((2, 2, 1), [6]), ((3, 2, 1), [])):
+        present = [m for m in range(NE) if m not in absent]
+        used = [m for m in present if m in shared]
+        sub = x[:, :, :, used, :]
+        want = gain_update(sub, [(point, hx(x[point][used]), hx(x[point][NE:])[0], 5.0)], 2.0, math.sqrt(physics.SUPPORT2) * 2.0)[at]
+        rows = done[at]
+        assert len(rows) == len(present)
+        mine = rows[[n for n, m in enumerate(present) if m in shared]]
+        assert mine.mean(0) == pytest.approx(want[0], rel=1e-8, abs=1e-9)
+        assert np.cov(mine.T) == pytest.approx(want[1], rel=1e-6, abs=1e-7)
+        for n, m in enumerate(present):
+            if m not in shared:
+                assert np.array_equal(rows[n], x[at][m])
+
+
+def test_steps_are_reported(spark, domain):
+    x, state, grid = domain
+    obs = make_obs(spark, domain, [(2, 2, 1), (0, 0, 0)])
+    prior = state.where(F.col("m") < NE)
+    done = multi_obs.assimilate(prior, obs, grid, method="TEnKF", ntemp=2, alpha_s=1.0, scales=(2.0,) * 3)
+    rows = {(r.step, r.obs_id): r for r in done.steps.collect()}
+    assert set(rows) == {(s, o) for s in (1, 2) for o in (0, 1)}
+    assert rows[1, 0].hxf == pytest.approx(hx(x[2, 2, 1][:NE]).tolist())
+    assert rows[1, 0].dep == pytest.approx(hx(x[2, 2, 1][NE:])[0] - np.mean(rows[1, 0].hxf))
+    assert sum(rows[s, 0].weight for s in (1, 2)) == pytest.approx(1)
+    assert rows[2, 0].hxf != rows[1, 0].hxf
+    counted = {(r.i, r.j, r.k): r.n_obs for r in done.n_obs.collect()}
+    assert counted[2, 2, 1] >= 1 and set(counted.values()) <= {0, 1, 2}
+
+
+def test_configurations_as_published(spark, domain, tmp_path):
+    """Keys of the sweep, single and many-observation configurations."""
+    _, state, grid = domain
+    config = {
+        "experiment_tag": "T", "verbose": 0, "skip_existing": True, "store_fields": False, "cutoff_factor": 4.0,
+        "paths": {"prepared": "p", "outdir": "o"}, "state": {"n_members": 8, "var_idx": {}}, "obs": {"obs_error_var": 5.0},
+        "qc": {"filter_ensemble": True, "filter_truth": False, "filter_mode": "and", "dbz_min": 5.0},
+        "sweep": {"truth_members": [NE], "prior_size": NE, "obs_points": {"mode": "sweep"}, "stride": 2, "methods": ["TEnKF", "AOEI"], "ntemp": [1, 2], "alpha_s": 2.0, "loc_x": 2.0, "loc_y": 2.0, "loc_z": 2.0},
+    }
+    sweep = runner.run(spark, config, state, grid)
+    assert {(r.method, r.ntemp) for r in sweep.select("method", "ntemp").distinct().collect()} == {("TEnKF", 1), ("TEnKF", 2), ("AOEI", 1)}
+    assert sweep.count() == 18 * 3 * 9
+    one = runner.run(spark, config | {"sweep": config["sweep"] | {"obs_points": {"mode": "single_obs", "loc": {"x": 2, "y": 2, "z": 1}}}}, state, grid)
+    assert one.count() == 27
+    many = config | {"sweep": config["sweep"] | {"obs_points": {"mode": "multi_obs"}, "ntemp": [1]}}
+    out = str(tmp_path / "many")
+    first = {tuple(r) for r in runner.run(spark, many, state, grid, outdir=out).collect()}
+    assert len(first) == 16
+    reference = spark.read.parquet(f"{out}/reference/tm={NE}")
+    assert reference.count() == N * N * 2 and reference.where("yo is not null").count() == 18
+    from cirrostrat.sources import results
+
+    assert results.read_fields(spark, f"{out}/analysis/tm={NE}", 1).count() > 0
+    assert spark.read.parquet(f"{out}/steps/tm={NE}").where("combo_id = 0").count() == 18
+    stamps = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "many" / "analysis").rglob("*.parquet")}
+    before = stamps()
+    again = {tuple(r[c] for c in ("combo_id", "method", "ntemp")) for r in runner.run(spark, many, state, grid, outdir=out).collect()}
+    assert again == {(r[0], r[1], r[2]) for r in first} and stamps() == before
+    runner.run(spark, many | {"store_fields": True, "skip_existing": False}, state, grid, outdir=out)
+    assert results.read_fields(spark, f"{out}/analysis/tm={NE}", 0).where("var = 't'").count() == N * N * 2 * NE
+    with pytest.raises(ValueError):
+        runner.run(spark, config | {"sweep": config["sweep"] | {"metods": ["AOEI"]}}, state, grid)
+
+
+def test_box_about_observations(spark, domain):
+    _, _, grid = domain
+    obs = make_obs(spark, domain, [(2, 2, 1), (4, 0, 0)])
+    table = spark.createDataFrame([(0, "LETKF", 1, 1.0, 2.0, 2.0, 2.0)], COMBOS)
+    pairs = neighbours.localised_pairs(obs, table, grid)
+    assert neighbours.in_box(pairs, grid, 4.0).count() == pairs.count()
+    small = neighbours.in_box(pairs, grid, 1.0)
+    assert {(r.obs_id, r.gi, r.gj, r.gk) for r in small.collect()} == {(r.obs_id, r.gi, r.gj, r.gk) for r in pairs.collect() if abs(r.gi - r.i) <= 1 and abs(r.gj - r.j) <= 1}
+
+
+def test_prior_report_and_schedule(spark, domain):
+    x, state, _ = domain
+    obs = make_obs(spark, domain, [(2, 2, 1)])
+    r = runner.prior_report(obs, state.where(F.col("m") < NE)).first()
+    y = hx(x[2, 2, 1][:NE])
+    assert (r["mean"], r.spread, r.members) == (pytest.approx(y.mean()), pytest.approx(y.std(ddof=1)), NE)
+    rows = runner.schedule_preview(spark, 3, 2.0, 5.0).orderBy("step").collect()
+    assert [q.weight for q in rows] == pytest.approx([0.00380626, 0.20781451, 0.78837925], abs=1e-6)
+    assert sum(1 / q.error for q in rows) == pytest.approx(1 / 5)
