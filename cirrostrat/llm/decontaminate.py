@@ -7,7 +7,9 @@ narrow pass (no shuffle); each hit is verified by its words. Words inside any
 occurrence of a window are hit.
 
 What is broadcast has a checked size: a benchmark of more than ``block_bytes``
-of text is taken in several blocks of items, one pass of the documents each.
+of text is taken in several blocks of items, one pass of the documents each. A
+block is sorted hash arrays, offsets into one text and numbers of items, about
+six times its text.
 
 Defined cases: null or wordless texts have no hit; null item texts have no
 window; null item ids count as one item named ''; repeated rows are judged
@@ -20,6 +22,7 @@ text it cuts spans from), whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import pairwise
 
 import numpy as np
@@ -31,7 +34,8 @@ from pyspark.sql import types as T
 from . import common, words
 
 NGRAM = 13
-BLOCK_BYTES = 16 << 20
+#: Text of a block: its windows, one for a word, take about 60 MB, and 150 MB if all words had one letter.
+BLOCK_BYTES = 8 << 20
 #: A document is contaminated if at least one in so many of its words is hit.
 SHARE = 20
 
@@ -45,32 +49,67 @@ REPORT = T.StructType(
 )
 
 
+@dataclass
+class Windows:
+    """Windows of one length: sorted hashes, where the words of each are in the text, and its items."""
+
+    hashes: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+    edge: np.ndarray  # of each window, where its items begin in items; and the end
+    items: np.ndarray
+
+
 class WindowSet:
-    """Windows of a block of items: for each length, sorted hashes, and the items by the words of a window."""
+    """Windows of a block of items. Takes about 28 bytes for each window and item that has it, besides the words."""
 
     def __init__(self, items: list[tuple[str, str]], n: int) -> None:
-        cutted, powers = words.cut([t.encode() for _, t in items], words.ALNUM), words.Powers()
-        h = cutted.hashes(powers)
-        self.items: dict[bytes, set[str]] = {}
-        found: dict[int, set[int]] = {}
-        for (name, _), (lo, hi) in zip(items, pairwise(cutted.first.tolist()), strict=True):
-            k = min(n, hi - lo)
+        cutted = words.cut([t.encode() for _, t in items], words.ALNUM)
+        names = sorted({name for name, _ in items})
+        number = np.searchsorted(np.array(names, object), np.array([name for name, _ in items], object)) if items else np.zeros(0, np.int64)
+        self.names = names
+        self.text, at = cutted.joined()
+        h, room, count = cutted.hashes(words.Powers()), cutted.room(), cutted.counts()
+        item = np.repeat(number, count)
+        self.by_length: dict[int, Windows] = {}
+        for k in np.unique(np.minimum(count, n)).tolist():
             if k:
-                found.setdefault(k, set()).update(words.grams(h[lo:hi], k).tolist())
-                for w in range(lo, hi - k + 1):
-                    self.items.setdefault(cutted.text(w, k), set()).add(name)
-        self.hashes = {k: np.array(sorted(v), np.uint64) for k, v in found.items()}
-
-    def scan(self, texts: words.Words, powers: words.Powers) -> Iterator[tuple[int, int, set[str]]]:
-        """(first word, words, items) of each verified occurrence."""
+                first = np.flatnonzero(room >= n) if k == n else cutted.first[:-1][count == k]
+                self.by_length[k] = self._windows(words.grams(h, k)[first], at[first], at[first + k] - 1 - at[first], item[first])
+
+    def _windows(self, g: np.ndarray, at: np.ndarray, size: np.ndarray, item: np.ndarray) -> Windows:
+        order = np.lexsort((item, g))
+        g, at, size, item = g[order], at[order], size[order], item[order]
+        new = np.r_[True, g[1:] != g[:-1]]
+        # Windows with one hash and different words are entries of their own.
+        run = np.flatnonzero(new)
+        mixed = [(a, b) for a, b in zip(run.tolist(), [*run[1:].tolist(), len(g)], strict=True) if b - a > 1 and len({self._words(at[i], size[i]) for i in range(a, b)}) > 1]
+        for a, b in mixed:
+            own = sorted(range(a, b), key=lambda i: (self._words(at[i], size[i]), item[i]))
+            at[a:b], size[a:b], item[a:b] = at[own], size[own], item[own]
+            new[a + 1 : b] = [self._words(at[i], size[i]) != self._words(at[i - 1], size[i - 1]) for i in range(a + 1, b)]
+        once = new | np.r_[True, item[1:] != item[:-1]]  # an item with a window twice counts once
+        first = np.flatnonzero(new)
+        edge = np.r_[np.cumsum(once)[first] - 1, once.sum()]
+        return Windows(g[first], at[first], size[first].astype(np.int32), edge.astype(np.int32), item[once].astype(np.int32))
+
+    def _words(self, at: int, size: int) -> bytes:
+        return self.text[at : at + size]
+
+    def scan(self, texts: words.Words, powers: words.Powers) -> Iterator[tuple[int, int, set[int]]]:
+        """(first word, words, numbers of items) of each verified occurrence."""
         h, room = texts.hashes(powers), texts.room()
-        for k, known in self.hashes.items():
+        for k, known in self.by_length.items():
             g = words.grams(h, k)
-            at = np.searchsorted(known, g)
-            at[at == len(known)] = 0
-            for w in np.flatnonzero((known[at] == g) & (room[: len(g)] >= k)).tolist():
-                if named := self.items.get(texts.text(w, k)):
-                    yield w, k, named
+            at = np.searchsorted(known.hashes, g)
+            at[at == len(known.hashes)] = 0
+            for w in np.flatnonzero((known.hashes[at] == g) & (room[: len(g)] >= k)).tolist():
+                own, e = texts.text(w, k), int(at[w])
+                while e < len(known.hashes) and known.hashes[e] == g[w]:
+                    if self._words(int(known.at[e]), int(known.size[e])) == own:
+                        yield w, k, set(known.items[known.edge[e] : known.edge[e + 1]].tolist())
+                        break
+                    e += 1
 
 
 def _scan(batches: Iterator[pa.RecordBatch], windows: WindowSet, text: str) -> Iterator[pa.RecordBatch]:
@@ -80,7 +119,7 @@ def _scan(batches: Iterator[pa.RecordBatch], windows: WindowSet, text: str) -> I
         for rows, column in words.slices(batch, text):
             cutted = words.cut(words.raw_bytes(column), words.ALNUM)
             mark = np.zeros(len(cutted.start) + 1, np.int64)
-            named: dict[int, set[str]] = {}
+            named: dict[int, set[int]] = {}
             for w, k, items in windows.scan(cutted, powers):
                 mark[w] += 1
                 mark[w + k] -= 1
@@ -101,7 +140,7 @@ def _scan(batches: Iterator[pa.RecordBatch], windows: WindowSet, text: str) -> I
                 else:
                     out_spans.append([])
                     n_hit.append(0)
-                out_items.append(sorted({*(old[i] or ()), *named.get(i, ())}))
+                out_items.append(sorted({*(old[i] or ()), *(windows.names[x] for x in named.get(i, ()))}))
             made = {
                 "n_words": pa.array(cutted.counts(), pa.int64()),
                 "n_hit": pa.array(n_hit, pa.int64()),

@@ -61,13 +61,8 @@ CUTOFF = 0.3
 
 def _words(cutted: words.Words) -> tuple[bytes, np.ndarray]:
     """All words with one blank before, between and after, and where each begins (its blank)."""
-    length = cutted.end - cutted.start
-    keep = np.zeros(len(cutted.data), bool)
-    keep[cutted.end] = True  # the blank after a word
-    keep |= cutted.data != 32
-    at = np.zeros(len(length) + 1, np.int64)
-    np.cumsum(length + 1, out=at[1:])
-    return b" " + cutted.data[keep].tobytes(), at
+    text, at = cutted.joined()
+    return b" " + text, at
 
 
 @dataclass

@@ -5,7 +5,8 @@ are byte classes, as every byte of a non-ASCII character is a word byte, so
 cutting bytes cuts exactly as the regular expression on characters does.
 
 Hashes are polynomial (modulo 2**64) with a finishing mix. They choose
-candidates; operators compare the real words afterwards.
+candidates; operators that look for phrases compare the real words afterwards
+(sets of n-grams are compared as sets of hashes).
 """
 
 from __future__ import annotations
@@ -91,6 +92,14 @@ class Words:
         """k words from that one, joined by one blank."""
         return b" ".join(self.data[self.start[word] : self.end[word + k - 1]].tobytes().split())
 
+    def joined(self) -> tuple[bytes, np.ndarray]:
+        """All words with one blank after each, and where each begins there (and the end)."""
+        keep = self.data != 32
+        keep[self.end] = True  # the blank after a word
+        at = np.zeros(len(self.start) + 1, np.int64)
+        np.cumsum(self.end - self.start + 1, out=at[1:])
+        return self.data[keep].tobytes(), at
+
     def room(self) -> np.ndarray:
         """For each word, the words from it to the end of its text."""
         n = len(self.start)
