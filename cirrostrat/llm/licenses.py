@@ -1,22 +1,23 @@
 """License scan by diagonal voting.
 
-Rolling word k-gram hashes of every text are joined in Spark to the positions
-of the same k-grams in license templates. A hit votes for its diagonal (word
-position less template position: where the template would start). Votes are
-counted by document, template and diagonal; diagonals at most ``slack`` apart
-are merged, which bridges words put in or left out; a merged span is accepted
-if enough of the template's k-grams voted for it and it is not stretched.
-
-The hashes of the templates are a fixed small table. The pass that cuts texts
-into words applies it as a run-time filter of the join (k-grams whose hash no
-template has never leave the task) and sends the words of a hit along, so that
-the join verifies each vote by its words.
+All rolling word k-gram hashes of every text are joined in Spark to the
+positions of the same k-grams in license templates (a fixed small table, so the
+join moves no text). A hit votes for its diagonal (word position less template
+position: where the template would start). Votes are counted by document,
+template and diagonal; diagonals at most ``slack`` apart are merged, which
+bridges words put in or left out; a merged span is accepted if enough of the
+template's k-grams voted for it and it is not stretched. The join compares the
+words of each vote, not only their hashes.
+
+Texts go to the join in chunks of ``CHUNK`` words, so that a row stays small
+however long the text is; positions count from the text's first word.
 
 A base phrase counts where all its k-grams vote for one diagonal: its words
-stand there consecutively. Templates have labels of their own.
+stand there consecutively. Templates have labels of their own and any length.
 
 Defined cases: a null text is empty; repeated rows are judged each by itself;
-an empty table gives no rows; only the identifier and text columns are read.
+an empty table gives no rows; only the identifier and text columns are read, so
+other columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -65,6 +66,24 @@ TEMPLATES = (
     Template("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit-text"),
     Template("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd"),
     Template("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    Template(
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, "
+        "fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, "
+        "whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
+        "mit-whole",
+    ),
+    Template(
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. "
+        "The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. "
+        "In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, "
+        "whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software.",
+        "isc-whole",
+    ),
 )
 
 K = 2
@@ -72,6 +91,8 @@ SLACK = 2
 SHARE = 0.8
 #: An accepted span has at most so many times the template's words.
 STRETCH = 1.5
+#: Words of a text that go to the join in a row.
+CHUNK = 1 << 14
 
 
 def _hash(gram: bytes, k: int) -> int:
@@ -84,54 +105,71 @@ def positions(templates: Sequence[Template], k: int = K) -> list[tuple]:
     for number, t in enumerate(templates):
         w = t.words()
         n = len(w) - k + 1
-        if not 1 <= n <= 63:
-            raise ValueError(f"a template has {k} to {62 + k} words: {t.text}")
+        if n < 1:
+            raise ValueError(f"a template has {k} words at least: {t.text}")
         for at in range(n):
             gram = " ".join(w[at : at + k])
             out.append((_hash(gram.encode(), k), gram, number, at, n, len(w), t.label, t.base))
     return out
 
 
-def _hits(batches: Iterator[pa.RecordBatch], known: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+def _rolled(batches: Iterator[pa.RecordBatch], k: int, chunk: int) -> Iterator[pa.RecordBatch]:
+    """The hashes of all k-grams, in chunks: the first one of a text begins with a null, so that every text has an entry."""
     powers = words.Powers()
-    hit = pa.list_(pa.struct([("hash", pa.int64()), ("pos", pa.int64()), ("gram", pa.string())]))
     for batch in batches:
         for rows, column in words.slices(batch):
             cutted = words.cut(words.raw_bytes(column), words.ALNUM)
-            g = words.grams(cutted.hashes(powers), k)
-            at = np.searchsorted(known, g)
-            at[at == len(known)] = 0
-            hits: dict[int, list] = {}
-            for w in np.flatnonzero((known[at] == g) & (cutted.room()[: len(g)] >= k)).tolist():
-                doc = int(np.searchsorted(cutted.first, w, side="right")) - 1
-                hits.setdefault(doc, []).append({"hash": int(g[w].astype(np.int64)), "pos": w - int(cutted.first[doc]), "gram": cutted.text(w, k).decode()})
-            arrays = [rows.column("doc_id"), pa.array(cutted.counts(), pa.int64()), pa.array([hits.get(i) for i in range(rows.num_rows)], hit)]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "hits"])
-
-
-def spans(docs: DataFrame, templates: Sequence[Template] = PHRASES + TEMPLATES, *, k: int = K, slack: int = SLACK, share: float = SHARE, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+            g, count = words.grams(cutted.hashes(powers), k), cutted.counts()
+            grams = np.maximum(count - k + 1, 0)
+            parts = np.maximum(-(-grams // chunk), 1)
+            doc = np.repeat(np.arange(len(count)), parts)
+            nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+            n = np.minimum(grams[doc] - nth * chunk, chunk)
+            lo = cutted.first[doc] + nth * chunk
+            ranges = lambda size: np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            edges = lambda size: pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
+            size = n + (nth == 0)
+            begin = np.cumsum(size) - size
+            hashes, null = np.zeros(size.sum(), np.int64), np.zeros(size.sum(), bool)
+            null[begin[nth == 0]] = True
+            hashes[~null] = g[ranges(n)].view(np.int64)
+            data = cutted.data[cutted.data != 32]
+            at = np.concatenate(([0], np.cumsum(cutted.end - cutted.start))).astype(np.int32)
+            every = pa.Array.from_buffers(pa.string(), len(cutted.start), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
+            own = np.where(n > 0, n + k - 1, 0)
+            row = pa.array(doc)
+            arrays = [rows.column("row").take(row), rows.column("doc_id").take(row), pa.array(count[doc]), pa.array(nth * chunk - (nth == 0)), pa.ListArray.from_arrays(edges(size), pa.array(hashes, mask=null)), pa.ListArray.from_arrays(edges(own), every.take(pa.array(ranges(own))))]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "doc_id", "n_words", "base_pos", "hashes", "words"])
+
+
+def spans(docs: DataFrame, templates: Sequence[Template] = PHRASES + TEMPLATES, *, k: int = K, slack: int = SLACK, share: float = SHARE, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """(documents, spans). Documents: doc_id, n_words, and row, a number of the row. Spans, accepted:
     row, label, base, first_word, last_word (where the span's template starts, at least and at most), coverage."""
     spark = docs.sparkSession
-    table = positions(templates, k)
-    known = np.unique(np.array([x[0] for x in table], np.int64).view(np.uint64))
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = f"doc_id {dict(own.dtypes)['doc_id']}, n_words long, hits array<struct<hash: long, pos: long, gram: string>>"
-    found = common.stored(own.mapInArrow(lambda it: _hits(it, known, k), schema).withColumn("row", F.monotonically_increasing_id()), "license-hits")
-    positions_df = spark.createDataFrame(table, "hash long, words string, template int, at int, grams int, size int, label string, base boolean")
-    votes = found.where("hits is not null").select("row", F.explode("hits").alias("h")).select("row", "h.*")
-    votes = votes.join(F.broadcast(positions_df), "hash").where(F.col("gram") == F.col("words"))
-    diagonals = votes.groupBy("row", "template", "grams", "size", "label", "base", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
-    exact = diagonals.where(F.col("base") & (F.bit_count("mask") == F.col("grams")))
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    schema = f"row long, doc_id {dict(own.dtypes)['doc_id']}, n_words long, base_pos long, hashes array<long>, words array<string>"
+    rolled = own.mapInArrow(lambda it: _rolled(it, k, chunk), schema)
+    every = rolled.select("row", "doc_id", "n_words", "base_pos", "words", F.posexplode("hashes").alias("nth", "hash"))
+    positions_df = spark.createDataFrame(positions(templates, k), "hash long, gram string, template int, at int, grams int, size int, label string, base boolean")
+    # A null hash meets nothing: the entry that keeps a text without votes. In the first chunk it moves the others by one.
+    joined = every.join(F.broadcast(positions_df), "hash", "left").where(F.col("hash").isNull() | F.col("gram").isNotNull())
+    place = F.col("nth") + F.when(F.col("base_pos") < 0, 0).otherwise(1)
+    same = F.array_join(F.slice("words", place, F.lit(k)), " ") == F.col("gram")
+    known = joined.where(F.col("hash").isNull() | same).select("row", F.when(F.col("hash").isNull(), F.col("doc_id")).alias("doc_id"), "n_words", F.col("hash").isNull().alias("mark"), (F.col("base_pos") + F.col("nth") - F.col("at")).cast("long").alias("diagonal"), "template", "at", "grams", "size", "label", "base")
+    known = common.stored(known, "license-votes")
+    votes = known.where("not mark")
+    names = ("row", "template", "grams", "size", "label", "base")
+    exact = votes.where("base").groupBy(*names, "diagonal").agg(F.count(F.lit(1)).alias("n")).where("n = grams")
     exact = exact.select("row", "label", "base", F.col("diagonal").alias("first_word"), F.col("diagonal").alias("last_word"), F.lit(1.0).alias("coverage"))
     along = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > slack, F.lit(True))
-    runs = diagonals.where("not base").withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(along))
-    merged = runs.groupBy("row", "template", "run", "grams", "size", "label", "base").agg(F.bit_or("mask").alias("mask"), F.max(F.bit_count("mask")).alias("alone"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"))
+    runs = votes.where("not base").withColumns({"apart": apart.cast("int"), "n": F.count(F.lit(1)).over(Window.partitionBy("row", "template", "diagonal"))})
+    runs = runs.withColumn("run", F.sum("apart").over(along))  # votes of one diagonal are peers: they get one number
+    merged = runs.groupBy(*names, "run").agg(F.count_distinct("at").alias("together"), F.max("n").alias("alone"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"))
     stretched = F.col("last_word") - F.col("first_word") > (STRETCH - 1) * F.col("size")
-    coverage = F.when(stretched, F.col("alone")).otherwise(F.bit_count("mask")) / F.col("grams")
+    coverage = F.when(stretched, F.col("alone")).otherwise(F.col("together")) / F.col("grams")
     merged = merged.select("row", "label", "base", "first_word", "last_word", coverage.alias("coverage")).where(F.col("coverage") >= share)
-    return found.drop("hits"), exact.unionByName(merged)
+    return known.where("mark").select("row", "doc_id", "n_words"), exact.unionByName(merged)
 
 
 def scan(docs: DataFrame, **options) -> DataFrame:
@@ -160,14 +198,16 @@ def _oracle() -> str:
 WITH t(gram, template, tpos, grams, size, label, base) AS (VALUES {rows}),
 d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, i - 1 AS pos, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT doc_id, w, unnest(range(1, CAST(len(w) AS BIGINT))) AS i FROM d)),
-diag AS (SELECT doc_id, template, grams, size, label, base, pos - tpos AS diagonal, bit_or(CAST(1 AS BIGINT) << tpos) AS mask FROM g JOIN t USING (gram) GROUP BY ALL),
+votes AS (SELECT doc_id, template, grams, size, label, base, pos - tpos AS diagonal, tpos FROM g JOIN t USING (gram)),
+diag AS (SELECT doc_id, template, grams, size, label, base, diagonal, count(*) AS n FROM votes GROUP BY ALL),
 lagged AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {SLACK}, true) AS apart FROM diag WHERE NOT base),
 runs AS (SELECT *, sum(apart::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS run FROM lagged),
-merged AS (SELECT doc_id, template, run, grams, size, label, base, bit_or(mask) AS mask, max(bit_count(mask)) AS alone, min(diagonal) AS lo, max(diagonal) AS hi FROM runs GROUP BY doc_id, template, run, grams, size, label, base),
+merged AS (SELECT doc_id, template, run, any_value(grams) AS grams, any_value(size) AS size, any_value(label) AS label, any_value(base) AS base, count(DISTINCT tpos) AS together, max(n) AS alone, min(diagonal) AS lo, max(diagonal) AS hi
+  FROM runs JOIN (SELECT doc_id, template, diagonal, tpos FROM votes) USING (doc_id, template, diagonal) GROUP BY doc_id, template, run),
 found AS (
-  SELECT doc_id, label, base, diagonal AS lo, diagonal AS hi, CAST(1 AS DOUBLE) AS coverage FROM diag WHERE base AND bit_count(mask) = grams
+  SELECT doc_id, label, base, diagonal AS lo, diagonal AS hi, CAST(1 AS DOUBLE) AS coverage FROM diag WHERE base AND n = grams
   UNION ALL
-  SELECT * FROM (SELECT doc_id, label, base, lo, hi, CAST(CASE WHEN hi - lo > {STRETCH - 1}::DOUBLE * size THEN alone ELSE bit_count(mask) END AS DOUBLE) / grams AS coverage FROM merged) WHERE coverage >= {SHARE}::DOUBLE),
+  SELECT * FROM (SELECT doc_id, label, base, lo, hi, CAST(CASE WHEN hi - lo > {STRETCH - 1}::DOUBLE * size THEN alone ELSE together END AS DOUBLE) / grams AS coverage FROM merged) WHERE coverage >= {SHARE}::DOUBLE),
 by_doc AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(lo) FILTER (WHERE base) AS first_word, max(hi) FILTER (WHERE base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM found GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,

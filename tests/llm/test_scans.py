@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cirrostrat.llm import decontaminate, licenses
+from cirrostrat.llm import decontaminate, licenses, words
 
 from .helpers import ODD, alnum, docs
 
@@ -84,3 +85,31 @@ def test_templates_bridge_small_changes(spark):
     assert r[1].labels == "" and r[1].score == 0
     assert r[2].labels == "apache,apache-2.0" and r[2].first_word == 3
     assert licenses.scan(docs(spark, [])).count() == 0
+
+
+def test_long_templates_and_chunks(spark):
+    whole = next(t for t in licenses.TEMPLATES if t.label == "mit-whole")
+    w = whole.words()
+    assert len(w) > 150
+    rng = random.Random(3)
+    prose = lambda n: [rng.choice(["of", "the", "software", "lorem", "ipsum", "and"]) for _ in range(n)]
+    body = w[30:]  # without its opening
+    changed = [x for i, x in enumerate(w) if i not in (40, 90)]
+    rows = [(101, " ".join(prose(50) + w + prose(9))), (102, " ".join(prose(7) + changed)), (103, " ".join(body)), (104, " ".join(prose(400)))]
+    outs = []
+    for chunk in (7, 64, 1 << 14):
+        outs.append({r.doc_id: tuple(r) for r in licenses.scan(docs(spark, ODD[:7] + rows), chunk=chunk).collect()})
+    assert outs[0] == outs[1] == outs[2]
+    labels = {d: r[6].split(",") for d, r in outs[0].items()}
+    assert {"mit-whole", "mit-text"} <= set(labels[101]) and "mit-whole" in labels[102] and "mit-whole" in labels[103]
+    assert labels[104] == [""]
+
+
+def test_windows_with_one_hash(monkeypatch):
+    """Every window has the same hash; words tell them apart."""
+    monkeypatch.setattr(words, "grams", lambda h, k: np.zeros(max(len(h) - k + 1, 0), np.uint64))
+    items = [("a", "x y z w"), ("b", "y z w v"), ("a", "q r"), ("c", "x y z")]
+    found = decontaminate.WindowSet(items, 3)
+    text = words.cut([b"x y z w v q r x"], words.ALNUM)
+    got = {(w, k, tuple(sorted(found.names[i] for i in named))) for w, k, named in found.scan(text, words.Powers())}
+    assert got == {(0, 3, ("a", "c")), (1, 3, ("a", "b")), (2, 3, ("b",)), (5, 2, ("a",))}
