@@ -1,4 +1,9 @@
-"""Shards in order of an identifier, the same on every run and cluster."""
+"""Shards in order of an identifier, the same on every run and cluster.
+
+A shard is a task's range of identifiers; writers roll files within it. So the
+number of shards, and with it what the driver holds, has a bound, and shards of
+a very large table are larger instead.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A small table gets up to so many shards, of SMALLEST bytes at least; a large one shards of LARGEST bytes.
 SHARDS, SMALLEST, LARGEST = 64, 1 << 18, 256 << 20
+#: Shards at most.
+MOST_SHARDS = 1 << 14
 #: Sampled identifiers for a shard; more make shards more even.
 PER_SHARD = 64
 LOWEST = -(2**63)
@@ -20,10 +27,10 @@ def ordered_id(name: str) -> Column:
 
 
 def shard_bounds(df: DataFrame, ident: str, size: Column, *, shards: int = SHARDS, smallest: int = SMALLEST, largest: int = LARGEST) -> np.ndarray:
-    """The least identifier of every shard but the first. Identifiers are sampled by their
+    """The least identifier of every shard but the first; PER_SHARD sampled identifiers for each go to the driver. Identifiers are sampled by their
     hash, so the bounds depend on the rows alone, not on how they are dealt to tasks."""
     rows, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
-    n = max(1, min(shards, total // smallest), -(-total // largest))
+    n = min(MOST_SHARDS, max(1, min(shards, total // smallest), -(-total // largest)))
     if n == 1:
         return np.zeros(0, np.int64)
     every = max(1, rows // (n * PER_SHARD))

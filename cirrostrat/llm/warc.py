@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, sharding
+from . import common, filters, sharding
 
 FILE_BYTES = 256 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -154,7 +154,11 @@ def write_warc(records: DataFrame, folder: str, *, ident: str = "id", url: str =
     rows = rows.withColumn("sha1", F.when(F.octet_length("payload") >= revisit_bytes, F.sha1("payload")))
     heads = common.stored(rows.select("ordered", "url", "sha1", F.octet_length("payload").cast("long").alias("size")), "warc-heads")
     groups = heads.where("sha1 is not null").groupBy("sha1").agg(F.max(F.struct("ordered", "url")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    roles = heads.join(groups, "sha1").where("ordered < best.ordered").groupBy("ordered", "sha1").agg(F.first("best").alias("best"))
+    # A common page has very many records: they are dealt to several tasks.
+    key = F.xxhash64("sha1").alias("key")
+    groups = groups.select("*", key)
+    crowded = filters.crowded_filter(groups.where(F.col("n") > filters.HOT), "key")
+    roles = filters.spread_join(heads.where("sha1 is not null").select("*", key), groups.drop("n"), ("key", "sha1"), ("ordered",), crowded).where("ordered < best.ordered").groupBy("ordered", "sha1").agg(F.first("best").alias("best"))
     bounds = sharding.shard_bounds(heads, "ordered", F.col("size") + 500)
     pages = rows.select("ordered", "sha1", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"))
     known = F.col("best.ordered") != sharding.LOWEST

@@ -1,7 +1,8 @@
 """Token ids as wavelet matrices, one compressed file for a shard.
 
-Documents are dealt to shards by ranges of their identifier, encoded, and each
-shard's ids are written as a wavelet matrix: one bit-plane for each bit of the
+Documents are dealt to shards by ranges of their identifier, encoded, and a
+shard's ids are written as a wavelet matrix (or several, where a shard has more
+text than a file is to hold): one bit-plane for each bit of the
 ids' codes, most significant first, each plane ordered by the bits above it. The 256
 most frequent ids have a matrix of 8 planes and the others one of their own; a
 first plane tells which matrix a token is in. A plane is kept in compressed blocks with the number of ones before each block,
@@ -18,7 +19,9 @@ then the sections at the offsets the header gives, each compressed alone.
 
 Defined cases: a null text is empty and has the end id only; a null identifier
 orders below all others; rows with equal identifiers follow each other by text;
-an empty table gives a manifest without files.
+very long texts are encoded whole and have a file of their own; an empty table
+gives a manifest without files. Only identifier and text are read, so other
+columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, sharding, tokens, words
@@ -38,13 +41,13 @@ from . import common, sharding, tokens, words
 MAGIC = b"WVLTMTX1"
 #: Bits of a block of a plane.
 BLOCK = 1 << 16
-#: Text of a large shard; a task holds about 8 times as much.
+#: Text of a large file; a task holds about 8 times as much.
 SHARD_BYTES = 48 << 20
 END = 0
 #: Ids in the matrix of the most frequent ones.
 FREQUENT = 256
 
-MANIFEST = "file string, shard int, docs long, tokens long, bytes long"
+MANIFEST = "file string, shard int, part int, docs long, tokens long, bytes long"
 
 
 def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
@@ -243,23 +246,23 @@ class TokenFile:
         return out
 
 
-def _write(batches: Iterator[pa.RecordBatch], shared, folder: str) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], shared, folder: str, most: int) -> Iterator[pa.RecordBatch]:
     coder = shared.value.coder()
     fs, top = common.filesystem(folder)
-    schema = pa.schema([("file", pa.string()), ("shard", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
-    shard, held, docs = None, [], []
+    schema = pa.schema([("file", pa.string()), ("shard", pa.int32()), ("part", pa.int32()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
+    shard, part, size, held, docs = None, 0, 0, [], []
 
     def flush() -> pa.RecordBatch:
         ids = np.concatenate([x for x, _ in held])
         lengths = np.concatenate([n for _, n in held])
         data = encode(ids, np.concatenate(docs), np.concatenate(([0], np.cumsum(lengths))))
-        name = f"tokens-{shard:06d}.wvm"
+        name = f"tokens-{shard:06d}-{part:06d}.wvm"
         temporary = f"{top}/.{name}.{uuid.uuid4().hex}"
         fs.create_dir(top, recursive=True)
         with fs.open_output_stream(temporary, compression=None) as out:
             out.write(data)
         fs.move(temporary, f"{top}/{name}")
-        return pa.RecordBatch.from_pylist([{"file": name, "shard": shard, "docs": len(lengths), "tokens": len(ids), "bytes": len(data)}], schema)
+        return pa.RecordBatch.from_pylist([{"file": name, "shard": shard, "part": part, "docs": len(lengths), "tokens": len(ids), "bytes": len(data)}], schema)
 
     for batch in batches:
         number = batch.column("shard").to_numpy()
@@ -267,9 +270,14 @@ def _write(batches: Iterator[pa.RecordBatch], shared, folder: str) -> Iterator[p
         for lo, hi in zip(edge, [*edge[1:], len(number)], strict=True):
             if shard is not None and shard != number[lo]:
                 yield flush()
-                held, docs = [], []
+                part, size, held, docs = 0, 0, [], []
             shard = int(number[lo])
-            for rows, column in words.slices(batch.slice(lo, hi - lo)):
+            for rows, column in words.slices(batch.slice(lo, hi - lo), most=min(words.SLICE_BYTES, most)):
+                own = len(words.raw_bytes(column)[0])
+                if held and size + own > most:  # the shard goes on in another file
+                    yield flush()
+                    part, size, held, docs = part + 1, 0, [], []
+                size += own
                 ids, at = coder.encode(column.to_pylist())
                 n = np.diff(at)
                 out = np.full(len(ids) + len(n), END, np.uint32)  # the end id after each document
@@ -280,13 +288,13 @@ def _write(batches: Iterator[pa.RecordBatch], shared, folder: str) -> Iterator[p
         yield flush()
 
 
-def write_tokens(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str = tokens.TOKENIZER) -> str:
+def write_tokens(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str = tokens.TOKENIZER, file_bytes: int = SHARD_BYTES) -> str:
     """Writes the ids of all documents, in order of their identifiers; returns the folder."""
     spark = docs.sparkSession
     own = docs.select(sharding.ordered_id(doc_id).alias("ordered"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bounds = sharding.shard_bounds(own, "ordered", F.octet_length("text") + 1, largest=SHARD_BYTES)
+    bounds = sharding.shard_bounds(own, "ordered", F.octet_length("text") + 1, largest=file_bytes)
     shared = common.Shared(spark, tokens.Shared(tokenizer))
-    sharding.in_shards(own, bounds, "ordered", "text").mapInArrow(lambda it: _write(it, shared, folder), MANIFEST).write.parquet(f"{folder}/_manifest.writing")
+    sharding.in_shards(own, bounds, "ordered", "text").mapInArrow(lambda it: _write(it, shared, folder, file_bytes), MANIFEST).write.parquet(f"{folder}/_manifest.writing")
     common.rename(spark, f"{folder}/_manifest.writing", f"{folder}/_manifest")
     return folder
 
@@ -311,10 +319,15 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
 
 def read_tokens(spark, folder: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian unsigned 32-bit) from the files."""
-    files = sorted((r.shard, r.file, r.tokens) for r in spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest").toLocalIterator())
-    before = np.concatenate(([0], np.cumsum([n for *_, n in files]))).astype(np.int64).tolist()
-    rows = spark.createDataFrame([(name, b) for (_, name, _), b in zip(files, before, strict=False)], "file string, before long")
-    return rows.repartition(min(max(1, len(files)), 4096)).mapInArrow(lambda it: _read(it, folder), "doc_id long, start long, n_tokens long, ids binary")
+    files = spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest")
+    # Ids before a shard: a row for each shard goes to the driver. Before a file: within its shard.
+    shards = sorted((r.shard, r.tokens, r.files) for r in files.groupBy("shard").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("files")).collect())
+    at = np.concatenate(([0], np.cumsum([n for _, n, _ in shards]))).astype(np.int64).tolist()
+    bases = spark.createDataFrame([(shard, base) for (shard, _, _), base in zip(shards, at, strict=False)], "shard int, base long")
+    earlier = F.coalesce(F.sum("tokens").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = files.withColumn("earlier", earlier).join(F.broadcast(bases), "shard").select("file", (F.col("base") + F.col("earlier")).alias("before"))
+    n = sum(k for *_, k in shards)
+    return rows.repartition(min(max(1, n), 4096)).mapInArrow(lambda it: _read(it, folder), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from cirrostrat.llm import common, packing, tokens, warc, wavelet
+from cirrostrat.llm import common, packing, sharding, tokens, warc, wavelet
 
 from .helpers import ODD, docs
 
@@ -81,7 +81,7 @@ def test_token_file(n):
         f.access(n)
 
 
-def test_token_files(spark, tokenizer):
+def test_token_files(spark, tokenizer, monkeypatch):
     rng = random.Random(1)
     rows = ODD + [(rng.randrange(1000), " ".join(rng.choice(["the", "öl", "x1", "end."]) for _ in range(rng.randrange(30)))) for _ in range(80)]
     folder = wavelet.write_tokens(docs(spark, rows).selectExpr("*", "1 as shard", "2 as ordered"), common.new_folder(spark, "t"))
@@ -92,6 +92,10 @@ def test_token_files(spark, tokenizer):
         ids = expected(tokenizer, t)
         assert (r.doc_id, r.start, r.n_tokens, bytes(r.ids)) == (d, at, len(ids), ids.tobytes())
         at += len(ids)
+    monkeypatch.setattr(sharding, "MOST_SHARDS", 2)
+    rolled = wavelet.write_tokens(docs(spark, rows), common.new_folder(spark, "t"), file_bytes=500)
+    assert spark.read.parquet(f"{rolled}/_manifest").where("part > 0").count() > 0
+    assert [tuple(r) for r in wavelet.read_tokens(spark, rolled).orderBy("start").collect()] == [tuple(r) for r in got]
     empty = wavelet.write_tokens(docs(spark, []), common.new_folder(spark, "t"))
     assert wavelet.read_tokens(spark, empty).count() == 0
 
