@@ -27,7 +27,7 @@ import regex
 from . import words
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-PIECES = 300_000
+PIECES = 600_000
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
 
