@@ -44,8 +44,8 @@ from pyspark.sql import functions as F
 
 from . import common, components, filters, words
 
-#: Cells of the table of counts: one for about CELL_BYTES of text, between 2**FEWEST_BITS and 2**MOST_BITS cells of 8 bytes.
-CELL_BYTES, FEWEST_BITS, MOST_BITS = 512, 16, 24
+#: Cells of the table of counts: one for about CELL_BYTES of text, between 2**FEWEST_BITS and 2**MOST_BITS cells of 4 bytes.
+CELL_BYTES, FEWEST_BITS, MOST_BITS = 512, 16, 23
 BIG = 128
 CELLS = 32
 HIGHEST = 2**63 - 1
@@ -89,22 +89,30 @@ def shingles(column: pa.LargeStringArray, n: int, powers: words.Powers) -> tuple
 
 
 def _counted(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[pa.RecordBatch]:
-    powers, cells, some = words.Powers(), np.zeros(1 << bits, np.int64), False
+    powers, cells, some = words.Powers(), np.zeros(1 << bits, np.uint32), False
     for batch in batches:
         for _, column in words.slices(batch):
             g, _ = shingles(column, n, powers)
-            cells += np.bincount((g & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+            at, times = np.unique(g & np.uint64((1 << bits) - 1), return_counts=True)
+            cells[at.astype(np.int64)] += times.astype(np.uint32)
             some = True
     if some:
         yield filters.packed(cells)
 
 
+def _added(total: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """The sum, which stays at the largest number a cell can hold."""
+    total += cells
+    total[total < cells] = np.iinfo(np.uint32).max
+    return total
+
+
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for b in batches:
         for x in b.column(0).to_pylist():
-            cells = filters.unpacked(x, np.int64)
-            total = cells.copy() if total is None else np.add(total, cells, out=total)
+            cells = filters.unpacked(x, np.uint32)
+            total = cells.copy() if total is None else _added(total, cells)
     if total is not None:
         yield filters.packed(total)
 
@@ -118,10 +126,10 @@ def count_cells(docs: DataFrame) -> int:
 def counts(docs: DataFrame, n: int, bits: int) -> np.ndarray:
     """n-grams of all documents by the low bits of their hash. A task's table is a row; a few tasks add
     the rows up, and the driver adds theirs."""
-    out = np.zeros(1 << bits, np.int64)
+    out = np.zeros(1 << bits, np.uint32)
     rows = docs.select("text").mapInArrow(lambda it: _counted(it, n, bits), "data binary")
     for r in rows.repartition(filters.MERGES).mapInArrow(_summed, "data binary").toLocalIterator():
-        out += filters.unpacked(bytes(r.data), np.int64)
+        out = _added(out, filters.unpacked(bytes(r.data), np.uint32))
     return out
 
 

@@ -2,9 +2,11 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from cirrostrat.llm import components, exact_dedup, filters, jaccard
+from cirrostrat.llm import components, exact_dedup, filters, jaccard, words
 
 from .helpers import ODD, blanks, docs
 
@@ -142,3 +144,16 @@ def test_keep_one(spark):
     empty = sum(k for (d, n, c), k in want.items() if not n)
     assert sum(got.values()) == len(components_) + empty
     assert jaccard.keep_one(docs(spark, [])).count() == 0
+
+
+def test_counts_over_several_slices(spark):
+    rng = random.Random(2)
+    texts = [" ".join(str(rng.randrange(50)) for _ in range(300_000)) for _ in range(3)]  # each most of a slice
+    got = jaccard.counts(docs(spark, list(enumerate(texts))).coalesce(1), 2, 12)
+    want = np.zeros(1 << 12, np.int64)
+    for t in texts:
+        g, _ = jaccard.shingles(words.utf8(pa.array([t])), 2, words.Powers())
+        want += np.bincount((g & np.uint64(4095)).astype(np.int64), minlength=1 << 12)
+    assert (got == want).all() and want.sum() == 3 * 299_999
+    full = np.full(2, np.iinfo(np.uint32).max - 1, np.uint32)
+    assert jaccard._added(full, np.array([1, 7], np.uint32)).tolist() == [2**32 - 1, 2**32 - 1]
