@@ -38,14 +38,17 @@ class Shared:
         return sent["_own"]
 
 
-#: Rows of an Arrow batch between the engine and Python, unless the session has a number of its own: rows hold whole texts.
-BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of an Arrow batch between the engine and Python, unless the session has numbers of its own: rows
+#: hold whole texts or sets. A longer row goes alone.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, BATCH_ROWS)
+    if spark.conf.get(_BYTES, None) is None:
+        spark.conf.set(_BYTES, BATCH_BYTES)
 
 
 def renamed(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str], list[Column]]:

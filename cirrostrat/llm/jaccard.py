@@ -182,6 +182,7 @@ def _entries(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
         doc = np.searchsorted(edge, at, side="right") - 1
         arrays = [pa.array(values[at]), b.column("row").take(pa.array(doc)), b.column("n").take(pa.array(doc)).cast(pa.int32()), pa.array((at - edge[doc]).astype(np.int32))]
         yield pa.RecordBatch.from_arrays(arrays, ["token", "c", "n", "pos"])
+    words.give_back()
 
 
 def _arrays(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -198,7 +199,7 @@ def _arrays(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
 
 
 #: Hashes of so many set members are compared at once; a larger pair goes alone.
-COMPARED = 1 << 20
+COMPARED = 1 << 18
 
 
 def _verified(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.RecordBatch]:
@@ -221,6 +222,7 @@ def _verified(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa
                 rows = b.slice(lo, hi - lo).take(pa.array(good))
                 yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b"), pa.array(shared[good]), pa.array(union[good])], ["a", "b", "both", "either"])
             lo = hi
+        words.give_back()
 
 
 def row_hashes(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
