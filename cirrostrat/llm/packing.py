@@ -5,8 +5,9 @@ ids than a sequence has) is an item of a cutting-stock problem. The histogram
 of remainder lengths, which has fewer entries than a sequence has ids, goes to
 a linear program over patterns: multisets of lengths that fit a sequence. It
 starts from first-fit-decreasing patterns; new ones are priced by a knapsack
-dynamic program on the program's duals, until sequences and bound are ``gap``
-apart. Pattern counts are rounded down, and what rounding leaves gets patterns
+dynamic program on the program's duals, until no pattern is worth more than its
+sequence, sequences and bound are ``gap`` apart, or the bound proves that whole
+sequences can't be fewer. Pattern counts are rounded down, and what rounding leaves gets patterns
 of its own, first-fit-decreasing with whole counts.
 
 Documents are ranked within their remainder length, and ranks are dealt to the
@@ -40,8 +41,8 @@ from . import common, tokens, words
 
 LENGTH = 1024
 END = 0
-#: The linear program is good enough when its bound is so near, as a share of its sequences.
-GAP = 5e-3
+#: The linear program is solved when its bound is so near, as a share of its sequences.
+GAP = 1e-6
 #: Demand is shifted by up to so many pieces of a length (so many millionths where there are millions).
 SHIFT = 1e-6
 #: Pricing rounds for each remainder length, at most.
@@ -134,22 +135,41 @@ def filled(demand: np.ndarray, length: int, whole: bool) -> list[tuple[np.ndarra
 
 @dataclass
 class Program:
-    """The solved linear program: patterns, how often each is used, a bound from below on the sequences, and pricing rounds."""
+    """The solved linear program: patterns, how often each is used, a bound from below on the sequences, pricing
+    rounds, and whether the bound proves that it can't do with fewer (to ``gap``, or in whole sequences)."""
 
     patterns: list[tuple[np.ndarray, float]]
     bound: float
     rounds: int
+    proved: bool = True
 
     def sequences(self) -> float:
         return sum(times for _, times in self.patterns)
 
 
+def _inverse(columns: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The inverse of a matrix that is lower triangular with its rows in that order, by substitution in its few
+    entries. All arithmetic of the program is numpy's own: the linear algebra library's threads don't always come
+    back in a process that also runs an engine."""
+    out = np.zeros_like(columns)
+    by_rank = np.zeros_like(columns)  # columns of the inverse in that order
+    for n, row in enumerate(order.tolist()):
+        entries = columns[row]
+        some = np.flatnonzero(entries[:n])
+        by_rank[n] = -(entries[some, None] * by_rank[some]).sum(axis=0)
+        by_rank[n, n] += 1
+        by_rank[n] /= entries[n]
+    out[:, order] = by_rank
+    return out
+
+
 def program(demand: np.ndarray, length: int = LENGTH, *, gap: float = GAP, rounds: int = ROUNDS) -> Program:
     """The linear program over patterns, by column generation. demand[r]: pieces of length r < length.
 
     The simplex method starts from first-fit-decreasing patterns, of which each uses up a length (so their matrix
-    is triangular), prices by the knapsack program and ends when sequences and bound are ``gap`` apart; at the
-    latest after ``rounds`` pricing rounds for each length there is."""
+    is triangular), and prices by the knapsack program. It ends when no pattern is worth more than a sequence or
+    sequences and bound are ``gap`` apart, or after a pricing round whose bound and sequences are the same in whole
+    sequences; at the latest after ``rounds`` pricing rounds for each length there is (then ``proved`` is false)."""
     kinds = np.flatnonzero(demand)
     kinds = kinds[kinds > 0]
     m = len(kinds)
@@ -157,27 +177,32 @@ def program(demand: np.ndarray, length: int = LENGTH, *, gap: float = GAP, round
         return Program([], 0.0, 0)
     # Demand is shifted a little, each length's differently, so that no two lengths are used up at once: the simplex
     # method would go in circles there.
+    real = demand[kinds].astype(float)
     shifted = demand * 1.0
     shifted[kinds] += SHIFT * max(1.0, demand[kinds].max() / 1e6) * np.modf(kinds * 0.6180339887)[0]
-    need = shifted[kinds]
     start = filled(shifted, length, whole=False)
     columns = np.array([p[kinds] for p, _, _ in start], np.float64).T
     used = np.array([t for _, t, _ in start])
-    inverse = np.linalg.inv(columns)
-    bound = float(need @ kinds) / length  # lengths as prices
-    done = 0
-    for done in range(rounds * m + 1):
-        if used.sum() - bound <= gap * used.sum() or done == rounds * m:
+    inverse = _inverse(columns, np.searchsorted(kinds, [gone for _, _, gone in start]))
+    bound = float((real * kinds).sum()) / length  # lengths as prices
+    done, proved = 0, False
+    while True:
+        total = float(used.sum())
+        proved = proved or total - bound <= gap * total or (done > 0 and np.ceil(total - 1e-6) <= np.ceil(bound - 1e-6))
+        if proved or done == rounds * m:
             break
+        done += 1
         dual = np.maximum(inverse.sum(axis=0), 0)
         value = np.zeros(length - 1)
         value[kinds - 1] = dual
         most, pattern = knapsack(value, length)
-        bound = max(bound, float(need @ dual) / most)
+        bound = max(bound, float((real * dual).sum()) / most)
         if most <= 1 + 1e-9:
-            break
+            proved = True
+            continue
         entering = pattern[kinds - 1].astype(float)
-        along = inverse @ entering
+        some = np.flatnonzero(entering)
+        along = (inverse[:, some] * entering[some]).sum(axis=1)
         up = along > 1e-9
         if not up.any():
             break
@@ -187,7 +212,7 @@ def program(demand: np.ndarray, length: int = LENGTH, *, gap: float = GAP, round
         used = np.maximum(used - step * along, 0)
         used[out] = step
         row = inverse[out] / along[out]
-        inverse -= np.outer(along, row)
+        inverse -= along[:, None] * row
         inverse[out] = row
         columns[:, out] = entering
     found = []
@@ -195,7 +220,7 @@ def program(demand: np.ndarray, length: int = LENGTH, *, gap: float = GAP, round
         full = np.zeros(len(demand), np.int64)
         full[kinds] = columns[:, j].astype(np.int64)
         found.append((full, float(used[j])))
-    return Program(found, bound, done)
+    return Program(found, bound, done, proved)
 
 
 @dataclass
@@ -219,6 +244,8 @@ class Plan:
     by_rest: int  # ids that patterns of what rounding left place
     bound: float  # sequences of remainders, from below
     used: float  # by the linear program
+    rounds: int  # of pricing
+    proved: bool  # that the program can't do with fewer
 
     def tail(self) -> np.ndarray:
         """Ends of the last sequences of the stream's own part: powers of two."""
@@ -305,7 +332,7 @@ def plan(demand: np.ndarray, length: int = LENGTH, *, gap: float = GAP) -> Plan:
     cut = own // length + bin(own % length).count("1")
     column = lambda i: [np.array([x[i] for x in r], np.int64) for r in rows]
     size, first = (np.array([h[i] for h in holes], np.int64) for i in (1, 2))
-    return Plan(length, column(0), column(1), column(2), column(3), taken, stream, total, edges, size, first, sequence, sequence + cut, placed[0], placed[1], solved.bound, solved.sequences())
+    return Plan(length, column(0), column(1), column(2), column(3), taken, stream, total, edges, size, first, sequence, sequence + cut, placed[0], placed[1], solved.bound, solved.sequences(), solved.rounds, solved.proved)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], shared, length: int, width: str) -> Iterator[pa.RecordBatch]:

@@ -152,6 +152,35 @@ def test_knapsack_and_program():
     assert solved.bound == pytest.approx(solved.sequences(), abs=1e-4)
 
 
+def test_inverse_by_substitution():
+    demand = np.random.default_rng(3).poisson(9, 60)
+    start = packing.filled(demand * 1.0, 60, whole=False)
+    kinds = np.flatnonzero(demand)
+    kinds = kinds[kinds > 0]
+    columns = np.array([p[kinds] for p, _, _ in start], float).T
+    inverse = packing._inverse(columns, np.searchsorted(kinds, [gone for _, _, gone in start]))
+    assert np.abs(inverse @ columns - np.eye(len(kinds))).max() < 1e-9
+
+
+def test_program_of_all_lengths_beside_an_engine(spark):
+    """All 1023 remainder lengths, in the process of a session that is at work; patterns are priced."""
+    assert spark.range(100000).selectExpr("sum(id)").first()[0]
+    demand = np.random.default_rng(7).poisson(9.0, 1024) + 1
+    solved = packing.program(demand)
+    assert solved.proved and solved.rounds > 0
+    assert np.ceil(solved.sequences() - 1e-6) <= np.ceil(solved.bound) + 1
+    covered = sum(p * x for p, x in solved.patterns)
+    assert (covered[1:] >= demand[1:] - 1e-4).all()
+
+
+def test_program_says_when_it_is_stopped():
+    demand = np.zeros(1024, np.int64)
+    demand[[301, 343, 411, 477, 600]] = [40, 50, 60, 70, 30]
+    assert not packing.program(demand, rounds=0).proved
+    solved = packing.program(demand, gap=0)
+    assert solved.proved and solved.rounds > 0
+
+
 def histogram(kind, seed):
     rng = np.random.default_rng(seed)
     if kind == "even":
