@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard, language_id, licenses, packing, quality, toxicity, warc, wavelet
+from . import chat, decontaminate, exact_dedup, jaccard, language_id, licenses, packing, quality, spelling, toxicity, warc, wavelet
 
 QUERIES = {
     "op9_jaccard": jaccard.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op6_warc": warc.query,
     "op4_exact_dedup": exact_dedup.query,
     "op10_decontaminate": decontaminate.query,
+    "op11_chat": chat.query,
+    "op12_spelling": spelling.query,
 }
 
 ORACLE_SQL = {
@@ -22,4 +24,6 @@ ORACLE_SQL = {
     "op6_warc": warc.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op10_decontaminate": decontaminate.ORACLE_SQL,
+    "op11_chat": chat.ORACLE_SQL,
+    "op12_spelling": spelling.ORACLE_SQL,
 }
