@@ -1,11 +1,14 @@
 """Analyses with many observations: a local ensemble transform at every grid point.
 
-Grid points have tiles; observations are repeated to the tiles that their cutoff
-touches, with the ensemble of the observed quantity as an array. Each tile's
-points and observations meet in one numpy kernel: weights, a batched
-eigen-decomposition, and the update. Columns are chosen before the Python
-stage, as nothing is pruned below it. Memory is bounded by the tile: points
-times the squared ensemble size, in blocks of points.
+Grid points have tiles of twice the reach of the localisation; a tile with very
+many points is cut in four, and again, until no part has more than MOST_POINTS.
+Observations are repeated to the parts that their cutoff touches, with the
+ensemble of the observed quantity as an array. Without a horizontal scale each
+observation reaches every point, so points are dealt to parts by their indices
+and observations go to all parts. Each part's points and observations meet in
+one numpy kernel: weights, a batched eigen-decomposition, and the update, in
+blocks of points and of observations. Columns are chosen before the Python
+stage, as nothing is pruned below it.
 """
 
 from __future__ import annotations
@@ -21,104 +24,203 @@ from pyspark.sql import functions as F
 from ..functions import physics, tempering
 from ..schema import POINT, VARIABLES
 
+#: Points and observations that the kernel works on at once.
 BLOCK = 512
+#: Grid points of a part at most (unless more of them stand in one place), and how often a tile is cut in four.
+MOST_POINTS, DEPTH = 4096, 6
 FAR = 1e30
 
 
-def transform(y: np.ndarray, error: np.ndarray, departure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the perturbations [points, members, members] and of the mean [points, members].
+def transform(y: np.ndarray, error: np.ndarray, departure: np.ndarray, inflation: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of the perturbations [points, members, members], of the mean [points, members], and the covariance of
+    the analysis in the space of the members [points, members, members].
 
     y: perturbations of the observed quantity [observations, members]; error: localised variances
-    [points, observations], infinite where an observation is out of reach; departure [observations]."""
+    [points, observations], infinite where an observation is out of reach; departure [observations]; inflation: the
+    factor of the prior's covariance."""
     members = y.shape[1]
     inverse = 1.0 / error
-    a = np.einsum("po,om,on->pmn", inverse, y, y, optimize=True)
-    a[:, np.arange(members), np.arange(members)] += members - 1
+    a = np.zeros((len(error), members * members))
+    for lo in range(0, len(y), BLOCK):
+        some = y[lo : lo + BLOCK]
+        a += inverse[:, lo : lo + BLOCK] @ (some[:, :, None] * some[:, None, :]).reshape(len(some), -1)
+    a = a.reshape(-1, members, members)
+    a[:, np.arange(members), np.arange(members)] += (members - 1) / inflation
     values, vectors = np.linalg.eigh(a)
+    across = vectors.transpose(0, 2, 1)
     mean = np.einsum("pmn,pn->pm", vectors, np.einsum("pnm,pn->pm", vectors, (inverse * departure) @ y) / values)
-    root = (vectors * np.sqrt((members - 1) / values)[:, None, :]) @ vectors.transpose(0, 2, 1)
-    return root, mean
+    root = (vectors * np.sqrt((members - 1) / values)[:, None, :]) @ across
+    return root, mean, (vectors / values[:, None, :]) @ across
 
 
-def update_points(x: np.ndarray, at: np.ndarray, obs_at: np.ndarray, y: np.ndarray, yo: np.ndarray, r: np.ndarray, scales: tuple[float, float, float], limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """x [points, members, variables] after the analysis, and the number of observations of each point."""
-    out, used = x.copy(), np.zeros(len(x), np.int64)
-    mean_y = y.mean(axis=1)
+@dataclass
+class Points:
+    """Points of a part after the analysis: their values [points, members, variables], the observations of each (0 where
+    it isn't updated), and for those with covariance asked for: the members used, their covariance, and spreads from it."""
+
+    x: np.ndarray
+    used: np.ndarray
+    covariance: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def update_points(x: np.ndarray, has: np.ndarray, at: np.ndarray, obs_at: np.ndarray, y: np.ndarray, known: np.ndarray, yo: np.ndarray, r: np.ndarray, scales: tuple[float, float, float], limit: float, *, inflation: float = 1.0, least_inflation: float = 0.0, covariance: bool = False) -> Points:
+    """x [points, members, variables], of which each point has some members (has); at: their places. y [observations,
+    members], of which each observation knows some (known). A point uses the members that it and all observations in
+    its own reach have; with fewer than two it stays as it is. The other members of a point stay as they are."""
+    out = Points(x.copy(), np.zeros(len(x), np.int64), [])
+    lacks = (~known).astype(np.float32)
     for lo in range(0, len(x), BLOCK):
-        d2 = np.zeros((len(at[lo : lo + BLOCK]), len(obs_at)))
+        block = slice(lo, lo + BLOCK)
+        d2 = np.zeros((len(x[block]), len(obs_at)))
         for axis, s in enumerate(scales):
             if s > physics.NO_SCALE:
-                d2 += ((at[lo : lo + BLOCK, axis, None] - obs_at[None, :, axis]) / s) ** 2
+                d2 += ((at[block, axis, None] - obs_at[None, :, axis]) / s) ** 2
         near = d2 <= limit
-        used[lo : lo + BLOCK] = near.sum(axis=1)
-        some = np.flatnonzero(near.any(axis=1))
-        if len(some):
-            error = np.where(near[some], r / np.maximum(np.exp(-0.5 * d2[some]), 1e-6), np.inf)
-            root, w = transform(y - mean_y[:, None], error, yo - mean_y)
-            own = x[lo + some]
+        usable = has[block] & ~(near.astype(np.float32) @ lacks > 0)
+        kinds, kind = np.unique(usable, axis=0, return_inverse=True)
+        for n, members in enumerate(kinds):
+            if members.sum() < 2:
+                continue
+            rows = np.flatnonzero(kind.ravel() == n)
+            here = np.flatnonzero(near[rows].any(axis=0))
+            own = x[lo + rows][:, members]
             mean = own.mean(axis=1, keepdims=True)
-            out[lo + some] = mean + np.einsum("plv,plm->pmv", own - mean, root + w[:, :, None])
-    return out, used
+            none = ~near[rows].any(axis=1)
+            root = np.broadcast_to(np.eye(len(own[0])) * math.sqrt(inflation), (len(rows), *[int(members.sum())] * 2)).copy()
+            w = np.zeros((len(rows), int(members.sum())))
+            spread = root * math.sqrt(inflation) / (members.sum() - 1)
+            if len(here):
+                some = np.flatnonzero(~none)
+                mine, places = y[here][:, members], np.ix_(rows[some], here)
+                error = np.where(near[places], r[here] / np.maximum(np.exp(-0.5 * d2[places]), 1e-6), np.inf)
+                middle = mine.mean(axis=1)
+                root[some], w[some], spread[some] = transform(mine - middle[:, None], error, yo[here] - middle, max(inflation, least_inflation))
+            moved = ~none | (inflation != 1.0)
+            change = own - mean
+            new = mean + np.einsum("plv,plm->pmv", change, root + w[:, :, None])
+            out.x[np.ix_(lo + rows[moved], np.flatnonzero(members))] = new[moved]
+            out.used[lo + rows] = near[rows].sum(axis=1)
+            if covariance:
+                s = np.sqrt(np.einsum("pmv,pmn,pnv->pv", change, spread, change))
+                out.covariance += [(lo + int(p), np.flatnonzero(members), c, v) for p, c, v in zip(rows, spread, s, strict=True)]
+    return out
 
 
-def letkf(state: DataFrame, obs: DataFrame, grid: DataFrame, *, scales: tuple[float, float, float], cutoff: str = "reference", tile_km: float | None = None) -> DataFrame:
-    """One analysis step. state: i, j, k, m and variables; obs: x_km, y_km, z_km, yo, r, y (values of members) and
-    ym (their numbers, in the order of y; without it y has all members in order). Returns the state's columns and n_obs.
+def parts_of(grid: DataFrame, size: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """grid with the columns part_x, part_y, level (a cell of the tile grid of that size, halved level times), and the
+    parts with their tile (tx, ty). Tiles are cut in four where they have more than most points."""
+    fine = 1 << DEPTH
+    cell = lambda c: F.floor(F.col(c) / (size / fine)).cast("long")
+    tile = lambda c: F.floor(F.col(c) / fine)
+    placed = grid.withColumns({"fx": cell("x_km"), "fy": cell("y_km")})
+    cells = placed.groupBy("fx", "fy").agg(F.count(F.lit(1)).alias("points")).withColumns({"tx": tile("fx"), "ty": tile("fy")}).repartition("tx", "ty")
+    up = lambda c, level: F.floor(F.col(c) / (fine >> level))
+    level = F.lit(DEPTH)
+    for n in reversed(range(DEPTH)):  # every window finds its rows dealt by tile
+        cells = cells.withColumn(f"n{n}", F.sum("points").over(Window.partitionBy("tx", "ty", up("fx", n), up("fy", n))))
+        level = F.when(F.col(f"n{n}") <= most, F.lit(n)).otherwise(level)
+    cells = cells.select("fx", "fy", "tx", "ty", level.alias("level"))
+    width = F.pow(F.lit(2), F.lit(DEPTH) - F.col("level")).cast("long")
+    cells = cells.withColumns({"part_x": F.floor(F.col("fx") / width), "part_y": F.floor(F.col("fy") / width)})
+    return placed.join(cells, ["fx", "fy"]).drop("fx", "fy", "tx", "ty"), cells.select("tx", "ty", "level", "part_x", "part_y").distinct()
 
-    A point is updated with the members that it and all observations have; its other members, and points without
-    observation or with fewer than two such members, pass through."""
-    limit = math.sqrt(physics.SUPPORT2) * max(scales) if cutoff == "reference" else physics.SUPPORT2
-    reach = [s * math.sqrt(limit) if s > physics.NO_SCALE else None for s in scales]
-    bounded = all(x is not None for x in reach[:2])
-    size = tile_km or (2 * max(reach[:2]) if bounded else 1.0)
-    tile = (lambda c: F.floor(F.col(c) / size).cast("int")) if bounded else (lambda c: F.lit(0))
-    points = state.select(*POINT, "m", *VARIABLES).join(grid.select(*POINT, "x_km", "y_km", "z_km"), list(POINT)).withColumns({"tx": tile("x_km"), "ty": tile("y_km")})
-    if "ym" not in obs.columns:
-        every = [r.m for r in state.select("m").distinct().orderBy("m").collect()]  # as many as the ensemble has members
-        obs = obs.withColumn("ym", F.array(*map(F.lit, every)).cast("array<int>"))
+
+def _meet(state: DataFrame, obs: DataFrame, grid: DataFrame, reach: list[float | None], tile_km: float | None, most: int):
+    """Points with members, and observations, both with the part they meet in."""
+    own = grid.select(*POINT, "x_km", "y_km", "z_km")
     spread = obs.select(F.col("x_km").alias("ox"), F.col("y_km").alias("oy"), F.col("z_km").alias("oz"), "yo", "r", "y", "ym")
-    counted = obs.select(F.explode("ym").alias("m")).groupBy("m").count().collect()
-    n_obs = max((r["count"] for r in counted), default=0)
-    if counted and n_obs < obs.count():  # no member is at all observations
-        n_obs = -1
-    shared = np.array(sorted(r.m for r in counted if r["count"] == n_obs), np.int32)
-    if bounded:
-        ends = lambda c, d: F.explode(F.sequence(F.floor((F.col(c) - d) / size).cast("int"), F.floor((F.col(c) + d) / size).cast("int")))
-        spread = spread.withColumn("tx", ends("ox", reach[0])).withColumn("ty", ends("oy", reach[1]))
+    keys = ["part_x", "part_y", "level"]
+    if any(x is None for x in reach[:2]):
+        n = max(1, -(-grid.count() // most))
+        own = own.withColumns({"part_x": F.pmod(F.xxhash64("i", "j", "k"), F.lit(n)), "part_y": F.lit(0), "level": F.lit(0)})
+        spread = spread.withColumns({"part_x": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))), "part_y": F.lit(0), "level": F.lit(0)})
     else:
-        spread = spread.withColumns({"tx": F.lit(0), "ty": F.lit(0)})
+        size = tile_km or 2 * max(reach[:2])
+        own, parts = parts_of(own, size, most)
+        ends = lambda c, d: F.explode(F.sequence(F.floor((F.col(c) - d) / size), F.floor((F.col(c) + d) / size)))
+        spread = spread.withColumn("tx", ends("ox", reach[0])).withColumn("ty", ends("oy", reach[1])).join(parts, ["tx", "ty"])
+        edge = F.lit(size) / F.pow(F.lit(2), F.col("level"))
+        touches = lambda o, part, d: (F.col(o) + d >= F.col(part) * edge) & (F.col(o) - d <= (F.col(part) + 1) * edge)
+        spread = spread.where(touches("ox", "part_x", reach[0]) & touches("oy", "part_y", reach[1])).drop("tx", "ty")
+    spread = spread.select(*(F.col(c).alias(f"o_{c}" if c in keys else c) for c in spread.columns))  # not the points' own columns
+    return state.select(*POINT, "m", *VARIABLES).join(own, list(POINT)).groupBy(*keys).cogroup(spread.groupBy(*(f"o_{c}" for c in keys)))
+
+
+def _arrays(p: pd.DataFrame, o: pd.DataFrame):
+    """Dense arrays of a part: the point and member of each row, members, values, which are there, places; and of the
+    observations: places, values by member, which are known, observed values and errors."""
+    point = p.groupby(list(POINT), sort=False).ngroup().to_numpy()
+    members, member = np.unique(p["m"].to_numpy(), return_inverse=True)
+    first = np.flatnonzero(np.r_[True, point[1:] != point[:-1]])
+    x, has = np.zeros((len(first), len(members), len(VARIABLES))), np.zeros((len(first), len(members)), bool)
+    x[point, member] = p[list(VARIABLES)].to_numpy(float)
+    has[point, member] = True
+    at = p[["x_km", "y_km", "z_km"]].to_numpy(float)[first]
+    o = o.sort_values(["ox", "oy", "oz", "yo"], ignore_index=True)
+    y, known = np.zeros((len(o), len(members))), np.zeros((len(o), len(members)), bool)
+    if len(o):
+        number = np.repeat(np.arange(len(o)), [len(v) for v in o["ym"]])
+        of, values = np.concatenate(o["ym"].to_list()), np.concatenate(o["y"].to_list()).astype(float)
+        place = np.minimum(np.searchsorted(members, of), len(members) - 1)
+        there = members[place] == of
+        y[number[there], place[there]], known[number[there], place[there]] = values[there], True
+    return (point, member, members, first), (x, has, at), (o[["ox", "oy", "oz"]].to_numpy(float), y, known, o["yo"].to_numpy(float), o["r"].to_numpy(float))
+
+
+def _limits(scales: tuple[float, float, float], cutoff: str) -> tuple[float, list[float | None]]:
+    limit = math.sqrt(physics.SUPPORT2) * max(scales) if cutoff == "reference" else physics.SUPPORT2
+    return limit, [s * math.sqrt(limit) if s > physics.NO_SCALE else None for s in scales]
+
+
+def _with_numbers(state: DataFrame, obs: DataFrame) -> DataFrame:
+    if "ym" in obs.columns:
+        return obs
+    every = [r.m for r in state.select("m").distinct().orderBy("m").collect()]  # as many as the ensemble has members
+    return obs.withColumn("ym", F.array(*map(F.lit, every)).cast("array<int>"))
+
+
+def letkf(state: DataFrame, obs: DataFrame, grid: DataFrame, *, scales: tuple[float, float, float], cutoff: str = "reference", tile_km: float | None = None, inflation: float = 1.0, least_inflation: float = 0.0, most_points: int = MOST_POINTS) -> DataFrame:
+    """One analysis step. state: i, j, k, m and variables; obs: x_km, y_km, z_km, yo, r, y (values of members) and
+    ym (their numbers, in the order of y; without it y has all members in order). Returns the state's columns and n_obs.
+
+    A point is updated with the members that it and the observations in its own reach have; its other members, and
+    points with fewer than two such members, pass through. inflation is the factor of the prior's covariance, raised to
+    least_inflation where observations are; points without observation have their members' deviations inflated."""
+    limit, reach = _limits(scales, cutoff)
     names = [*POINT, "m", *VARIABLES]
 
     def kernel(p: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
         if p.empty:
             return pd.DataFrame({c: pd.Series(dtype="float64" if c in VARIABLES else "int32") for c in names}).assign(n_obs=pd.Series(dtype="int64"))
         p = p.sort_values([*POINT, "m"], ignore_index=True)
+        (point, member, _, _), own, seen = _arrays(p, o)
+        done = update_points(*own, *seen, scales, limit, inflation=inflation, least_inflation=least_inflation)
         out = p[names].copy()
-        used = np.zeros(len(p), np.int64)
-        if len(o) and len(shared) > 1:
-            o = o.sort_values(["ox", "oy", "oz", "yo"], ignore_index=True)
-            obs_at, yo, r = o[["ox", "oy", "oz"]].to_numpy(float), o["yo"].to_numpy(float), o["r"].to_numpy(float)
-            y = np.stack([np.asarray(v, float)[np.searchsorted(n, shared)] for v, n in ((v, np.asarray(n)) for v, n in zip(o["y"], o["ym"], strict=True))])
-            # Points that have the same of the shared members go together; that's all of them where none is missing.
-            point = p.groupby(list(POINT), sort=False).ngroup().to_numpy()
-            has = np.zeros((point[-1] + 1, len(shared)), bool)
-            known = np.isin(p["m"].to_numpy(), shared)
-            has[point[known], np.searchsorted(shared, p["m"].to_numpy()[known])] = True
-            kinds, kind = np.unique(has, axis=0, return_inverse=True)
-            for n, members in enumerate(kinds):
-                if members.sum() < 2:
-                    continue
-                rows = np.flatnonzero(known & (kind.ravel()[point] == n))
-                count = int(members.sum())
-                x = p.loc[rows, list(VARIABLES)].to_numpy(float).reshape(-1, count, len(VARIABLES))
-                at = p.loc[rows, ["x_km", "y_km", "z_km"]].to_numpy(float)[::count]
-                x, near = update_points(x, at, obs_at, y[:, members], yo, r, scales, limit)
-                out.loc[rows, list(VARIABLES)] = x.reshape(-1, len(VARIABLES))
-                used[rows] = np.repeat(near, count)
-        return out.assign(n_obs=used)
+        out[list(VARIABLES)] = done.x[point, member]
+        return out.assign(n_obs=done.used[point])
 
     fields = ", ".join([*(f"{c} int" for c in (*POINT, "m")), *(f"{c} double" for c in VARIABLES), "n_obs long"])
-    return points.groupBy("tx", "ty").cogroup(spread.groupBy("tx", "ty")).applyInPandas(kernel, fields)
+    return _meet(state, _with_numbers(state, obs), grid, reach, tile_km, most_points).applyInPandas(kernel, fields)
+
+
+def covariance(state: DataFrame, obs: DataFrame, grid: DataFrame, *, scales: tuple[float, float, float], cutoff: str = "reference", tile_km: float | None = None, inflation: float = 1.0, least_inflation: float = 0.0, most_points: int = MOST_POINTS) -> DataFrame:
+    """The covariance of an analysis step in the space of its members, for each point with two of them at least:
+    i, j, k, members (those used), covariance (row after row), and s_ and a variable's name: the spread of the
+    analysis that follows from it."""
+    limit, reach = _limits(scales, cutoff)
+
+    def kernel(p: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        columns = [*POINT, "members", "covariance", *(f"s_{x}" for x in VARIABLES)]
+        if p.empty:
+            return pd.DataFrame({c: [] for c in columns})
+        p = p.sort_values([*POINT, "m"], ignore_index=True)
+        (_, _, members, first), own, seen = _arrays(p, o)
+        done = update_points(*own, *seen, scales, limit, inflation=inflation, least_inflation=least_inflation, covariance=True)
+        at = p[list(POINT)].to_numpy()[first]
+        return pd.DataFrame([(*at[n], members[used], c.ravel(), *s) for n, used, c, s in done.covariance], columns=columns)
+
+    fields = ", ".join([*(f"{c} int" for c in POINT), "members array<int>", "covariance array<double>", *(f"s_{x} double" for x in VARIABLES)])
+    return _meet(state, _with_numbers(state, obs), grid, reach, tile_km, most_points).applyInPandas(kernel, fields)
 
 
 def observed(state: DataFrame, obs: DataFrame) -> DataFrame:

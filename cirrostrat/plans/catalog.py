@@ -259,6 +259,15 @@ def sweep_metrics(spark, sf_dir):
     return _metrics(single_obs.sweep(obs, _combos(spark, _MANY), fx.grid(spark), prior, truth, steps=2))
 
 
+@query(f"WITH {_sql_analysed([('LETKF', 1, 2.0, 1.0, 1.0, 1.0)], 1).replace(f'{o.STATE}, {o.GRID}', o.DOMAIN)}, {_sql_metrics('a1')}")
+def domain_sweep(spark, sf_dir):
+    """An analysis of its own for every point of a domain that grows with the input."""
+    state, grid = fx.domain(spark, sf_dir)
+    truth, prior = ensemble.truth_of(state, fx.TRUTH), ensemble.prior_of(state, fx.TRUTH, fx.PRIOR)
+    obs = ensemble.observations(truth, prior, grid, r0=fx.R0)
+    return _metrics(single_obs.sweep(obs, _combos(spark, [("LETKF", 1, 2.0, 1.0, 1.0, 1.0)]), grid, prior, truth, steps=1))
+
+
 def _sql_zone() -> str:
     here = lambda c: f"max(CASE WHEN at_obs THEN {c} END)"
     out = ["sum(rho) AS loc_weights_sum", "any_value(yo) AS yo"]
@@ -331,11 +340,81 @@ _one_observation("multi_obs_kernel_aoei", "AOEI", 1, 1)
 _one_observation("multi_obs_kernel_taoei", "TAOEI", 2, 2)
 
 
-@query()
+_AOEI = "greatest(r0, pow(yo - y_mean, 2) - y_var)"
+_ALL = f"{o.STATE}, {o.GRID}, {o.SPLIT}, {o.obs(2)}, {o.combos(_ONE[:1])}"
+_FIELDS = [c for x in VARIABLES for c in (x, f"s_{x}")]
+
+
+@query(f"WITH RECURSIVE {_ALL}, {o.gain()} SELECT i, j, k, {_r(*_FIELDS)} FROM analysed")
 def letkf_multi_obs(spark, sf_dir):
     return verification.means(_multi(spark, sf_dir, "LETKF")[0])
 
 
+@query(f"WITH RECURSIVE {_ALL}, {o.gain(_AOEI)} SELECT i, j, k, {_r(*_FIELDS)} FROM analysed")
+def aoei_multi_obs(spark, sf_dir):
+    return verification.means(_multi(spark, sf_dir, "AOEI")[0])
+
+
+def _sql_scores() -> str:
+    e = "(mean - truth)"
+    rows = o.unpivot("SELECT '{x}' AS var, a.{x} AS mean, a.s_{x} AS spread, b.{x} AS truth FROM analysed a JOIN truth b USING (i, j, k)", VARIABLES)
+    return f"SELECT var, {_r(f'sqrt(avg({e} * {e})) AS rmse', f'avg({e}) AS bias', 'avg(spread) AS spread')} FROM ({rows}) GROUP BY var"
+
+
+@query(f"WITH RECURSIVE {_ALL}, {o.gain(_AOEI)} {_sql_scores()}")
+def aoei_multi_obs_metrics(spark, sf_dir):
+    done, truth = _multi(spark, sf_dir, "AOEI")
+    return verification.global_metrics(verification.by_variable(done, truth))
+
+
+_NEAR = [("LETKF", 1, 2.0, 1.2, 1.2, 1.2)]
+
+
+@query(f"WITH RECURSIVE {o.DOMAIN}, {o.SPLIT}, {o.obs(2)}, {o.combos(_NEAR)}, {o.gain()} SELECT i, j, k, {_r(*_FIELDS)} FROM analysed")
+def domain_letkf(spark, sf_dir):
+    """All observations of a domain that grows with the input."""
+    state, grid = fx.domain(spark, sf_dir)
+    truth, prior = ensemble.truth_of(state, fx.TRUTH), ensemble.prior_of(state, fx.TRUTH, fx.PRIOR)
+    obs = ensemble.observations(truth, prior, grid, stride=2, r0=fx.R0)
+    return verification.means(multi_obs.assimilate(prior, obs, grid, method="LETKF", scales=(1.2, 1.2, 1.2)).state)
+
+
+_INFLATION = 1.2
+_FIRST = f"{o.STATE}, {o.GRID}, {o.SPLIT}, {o.obs(2).replace('obs AS (', 'every_obs AS (', 1)}, obs AS (SELECT * FROM every_obs WHERE obs_id = (SELECT min(obs_id) FROM every_obs)), {o.combos(_ONE[:1])}, {o.PAIRS}"
+_INFLATED = f"""{_FIRST}, members AS (
+  SELECT gi, gj, gk, yo, r0 / greatest(exp(-0.5e0 * d2), 1e-6) AS r, p.*, max(CASE WHEN pairs.i = gi AND pairs.j = gj AND pairs.k = gk THEN {o.h("p.")} END) OVER (PARTITION BY p.m) AS y
+  FROM pairs JOIN prior p ON p.i = gi AND p.j = gj AND p.k = gk WHERE updated),
+cell AS (SELECT gi AS i, gj AS j, gk AS k, any_value(r) AS r, any_value(yo) - avg(y) AS d, avg(y) AS y_mean, var_samp(y) AS y_var, count(*) AS n, {", ".join(f"covar_samp({x}, y) AS c_{x}, avg({x}) AS m_{x}, var_samp({x}) AS v_{x}" for x in VARIABLES)} FROM members GROUP BY gi, gj, gk)"""
+
+
+def _first_observation(spark, sf_dir):
+    obs, _, prior = _obs(spark, sf_dir, 2)
+    obs = obs.join(F.broadcast(obs.agg(F.min("obs_id").alias("obs_id"))), "obs_id")
+    near = neighbours.localised_pairs(obs, _combos(spark, _ONE[:1]), fx.grid(spark)).where("updated").select(*(F.col(f"g{a}").alias(a) for a in "ijk"))
+    return multi_obs.observed(prior, obs).withColumn("r", F.col("r0")), prior, near
+
+
+def _sql_inflated(x: str) -> str:
+    p = f"{_INFLATION}e0"
+    return f"m_{x} + {p} * c_{x} * d / ({p} * y_var + r) + sqrt({p}) * ({x} - m_{x} + c_{x} / y_var * (y - y_mean) * (sqrt(r / (r + {p} * y_var)) - 1)) AS {x}"
+
+
+@query(f"WITH {_INFLATED}, rows AS (SELECT c.i, c.j, c.k, p.m, {', '.join(_sql_inflated(x) for x in VARIABLES)} FROM members p JOIN (SELECT * EXCLUDE (r) FROM cell) c ON p.gi = c.i AND p.gj = c.j AND p.gk = c.k) SELECT i, j, k, m, {_r(*VARIABLES)} FROM rows")
+def inflated_letkf(spark, sf_dir):
+    obs, prior, near = _first_observation(spark, sf_dir)
+    return multi_obs.letkf(prior, obs, fx.grid(spark), scales=(2.0, 2.0, 2.0), inflation=_INFLATION).join(near, ["i", "j", "k"]).select("i", "j", "k", "m", *VARIABLES)
+
+
+@query(f"WITH {_INFLATED} SELECT i, j, k, {_r(f'{_INFLATION}e0 + {_INFLATION}e0 * r / ((n - 1) * (r + {_INFLATION}e0 * y_var)) AS trace', *(f'sqrt({_INFLATION}e0 * v_{x} - pow({_INFLATION}e0 * c_{x}, 2) / ({_INFLATION}e0 * y_var + r)) AS s_{x}' for x in VARIABLES))} FROM cell")
+def analysis_covariance(spark, sf_dir):
+    """Spreads from the covariance in the space of the members, and its trace."""
+    obs, prior, near = _first_observation(spark, sf_dir)
+    done = multi_obs.covariance(prior, obs, fx.grid(spark), scales=(2.0, 2.0, 2.0), inflation=_INFLATION).join(near, ["i", "j", "k"])
+    n = F.size("members")
+    trace = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, l: s + F.get("covariance", l * (n + 1)))
+    return done.select("i", "j", "k", trace.alias("trace"), *(f"s_{x}" for x in VARIABLES))
+
+
 @query()
 def multi_obs_analysis_metrics(spark, sf_dir):
     out = None

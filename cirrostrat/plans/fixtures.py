@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import POINT
+
 NX, NY, NZ, MEMBERS = 4, 4, 3, 8
 TRUTH, PRIOR = 3, 6
 R0 = 5.0
@@ -37,11 +41,30 @@ def state(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def grid(spark: SparkSession) -> DataFrame:
-    out = spark.range(NX * NY * NZ).select((F.col("id") % NX).cast("int").alias("i"), (F.floor(F.col("id") / NX) % NY).cast("int").alias("j"), F.floor(F.col("id") / (NX * NY)).cast("int").alias("k"))
+def grid(spark: SparkSession, nx: int = NX, ny: int = NY) -> DataFrame:
+    out = spark.range(nx * ny * NZ).select((F.col("id") % nx).cast("int").alias("i"), (F.floor(F.col("id") / nx) % ny).cast("int").alias("j"), F.floor(F.col("id") / (nx * ny)).cast("int").alias("k"))
     return out.select("i", "j", "k", (F.col("i") * 2.0).alias("x_km"), (F.col("j") * 2.0).alias("y_km"), F.col("k").cast("double").alias("z_km"))
 
 
+def domain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(state, grid) of an ensemble whose domain grows with the orders: 8 members on side x side x 3 points, one
+    order for each member and point. The number of orders comes from the files' metadata."""
+    orders = table(spark, sf_dir, "orders")
+    side = max(1, math.isqrt(orders.count() // (MEMBERS * NZ)))
+    cell = F.floor(F.col("o_orderkey") / (MEMBERS * NZ))
+    cents = F.round(F.col("o_totalprice") * 100.0).cast("long")
+    rows = orders.select(
+        (cell % side).cast("int").alias("i"), F.floor(cell / side).cast("int").alias("j"), (F.floor(F.col("o_orderkey") / MEMBERS) % NZ).cast("int").alias("k"), (F.col("o_orderkey") % MEMBERS).cast("int").alias("m"),
+        (cents % 997).alias("a"), (F.floor(cents / 997) % 991).alias("b"), (F.col("o_custkey") % 89).alias("c"),
+    )
+    state = rows.where(F.col("j") < side).select(
+        *POINT, "m", (F.col("b") / 991.0 * 0.002).alias("qg"), (F.col("a") / 997.0 * 0.002).alias("qr"), (F.col("c") / 89.0 * 0.001).alias("qs"),
+        ((F.col("a") - F.col("b")) / 100.0 + 273.0).alias("t"), (F.col("b") * 30.0 + 60000.0).alias("p"),
+        ((F.col("b") - 495) / 30.0).alias("u"), ((F.col("a") - 498) / 30.0).alias("v"), ((F.col("c") - 44) / 20.0).alias("w"),
+    )
+    return state, grid(spark, side, side)
+
+
 def hx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An ensemble of 64 values for each observation: obs_id, m, y."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("obs_id"), F.posexplode("embedding").alias("m", "e"))

@@ -15,6 +15,12 @@ STATE = """state AS (
 GRID = """grid AS (
   SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, CAST(k AS INT) AS k, 2e0 * i AS x_km, 2e0 * j AS y_km, 1e0 * k AS z_km
   FROM range(4) a(i), range(4) b(j), range(3) c(k))"""
+DOMAIN = """side AS (SELECT CAST(greatest(1, floor(sqrt(count(*) // 24))) AS BIGINT) AS side FROM orders),
+orders_at AS (SELECT CAST((o_orderkey // 24) % side AS INT) AS i, CAST((o_orderkey // 24) // side AS INT) AS j, CAST((o_orderkey // 8) % 3 AS INT) AS k, CAST(o_orderkey % 8 AS INT) AS m,
+  CAST(round(o_totalprice * 100e0) AS BIGINT) % 997 AS a, (CAST(round(o_totalprice * 100e0) AS BIGINT) // 997) % 991 AS b, o_custkey % 89 AS c, side FROM orders, side),
+state AS (SELECT i, j, k, m, b / 991e0 * 0.002e0 AS qg, a / 997e0 * 0.002e0 AS qr, c / 89e0 * 0.001e0 AS qs, (a - b) / 100e0 + 273e0 AS t, b * 30e0 + 60000e0 AS p,
+  (b - 495) / 30e0 AS u, (a - 498) / 30e0 AS v, (c - 44) / 20e0 AS w FROM orders_at WHERE j < side),
+grid AS (SELECT DISTINCT i, j, k, 2e0 * i AS x_km, 2e0 * j AS y_km, 1e0 * k AS z_km FROM state)"""
 SPLIT = "truth AS (SELECT * FROM state WHERE m = 3), prior AS (SELECT * FROM state WHERE m <> 3 AND m < 7)"
 
 
@@ -82,6 +88,37 @@ a{s} AS (SELECT * EXCLUDE ({", ".join([*VARIABLES, *(f"c_{x}" for x in VARIABLES
     return ",\n".join(out)
 
 
+def gain(error: str = "r0") -> str:
+    """The CTE ``analysed``: mean and spread of every variable at every point after one step with all observations in
+    reach, by Kalman's gain in observation space. Its linear systems are solved by elimination, a row at a time; they
+    have a row for each observation in reach of a point. error: of an observation, in terms of yo, y_mean, y_var and r0.
+    Needs state, grid, truth, prior, obs and combos (one)."""
+    covariances = ", ".join(f"covar_samp(p.{x}, y.y) AS c_{x}" for x in VARIABLES)
+    right = " UNION ALL ".join(["SELECT gi, gj, gk, a, 0 AS b, yo - y_mean AS v FROM numbered", *(f"SELECT gi, gj, gk, a, {-n} AS b, c_{x} AS v FROM across" for n, x in enumerate(VARIABLES, 1))])
+    means = ", ".join(f"any_value(xm_{x}) + coalesce(sum(c_{x} * z) FILTER (WHERE b = 0), 0) AS {x}, sqrt(any_value(xv_{x}) - coalesce(sum(c_{x} * z) FILTER (WHERE b = {-n}), 0)) AS s_{x}" for n, x in enumerate(VARIABLES, 1))
+    prior = ", ".join(f"avg({x}) AS xm_{x}, var_samp({x}) AS xv_{x}" for x in VARIABLES)
+    return f"""y AS (SELECT obs_id, m, {h("p.")} AS y FROM prior p JOIN obs USING (i, j, k)),
+seen AS (SELECT obs.*, y_mean, y_var FROM obs JOIN (SELECT obs_id, avg(y) AS y_mean, var_samp(y) AS y_var FROM y GROUP BY obs_id) USING (obs_id)),
+numbered AS (
+  SELECT *, {error} / greatest(exp(-0.5e0 * d2), 1e-6) AS r, row_number() OVER (PARTITION BY gi, gj, gk ORDER BY obs_id) AS a
+  FROM (SELECT o.*, g.i AS gi, g.j AS gj, g.k AS gk, lx, ly, lz, pow((g.x_km - o.x_km) / lx, 2) + pow((g.y_km - o.y_km) / ly, 2) + pow((g.z_km - o.z_km) / lz, 2) AS d2 FROM seen o, combos c, grid g)
+  WHERE d2 <= {ph.SUPPORT2**0.5!r}::DOUBLE * greatest(lx, ly, lz)),
+across AS (SELECT gi, gj, gk, a, {covariances} FROM numbered n JOIN prior p ON p.i = gi AND p.j = gj AND p.k = gk JOIN y ON y.obs_id = n.obs_id AND y.m = p.m GROUP BY gi, gj, gk, a),
+together AS (SELECT DISTINCT s.obs_id AS one, t.obs_id AS two FROM numbered s JOIN numbered t USING (gi, gj, gk)),
+shared AS (SELECT one, two, covar_samp(s.y, t.y) AS c FROM together JOIN y s ON s.obs_id = one JOIN y t ON t.obs_id = two AND t.m = s.m GROUP BY one, two),
+solved AS (
+  SELECT 0 AS step, * FROM (SELECT s.gi, s.gj, s.gk, s.a, t.a AS b, c + CASE WHEN s.a = t.a THEN s.r ELSE 0e0 END AS v FROM numbered s JOIN numbered t USING (gi, gj, gk) JOIN shared ON one = s.obs_id AND two = t.obs_id UNION ALL {right})
+  UNION ALL
+  SELECT step + 1, gi, gj, gk, a, b, CASE WHEN a = step + 1 THEN v / diagonal ELSE v - own * across / diagonal END
+  FROM (SELECT *, max(v) FILTER (WHERE a = step + 1 AND b = step + 1) OVER (PARTITION BY gi, gj, gk) AS diagonal, max(v) FILTER (WHERE b = step + 1) OVER (PARTITION BY gi, gj, gk, a) AS own,
+      max(v) FILTER (WHERE a = step + 1) OVER (PARTITION BY gi, gj, gk, b) AS across, max(a) OVER (PARTITION BY gi, gj, gk) AS last FROM solved)
+  WHERE step < last AND (b <= 0 OR b > step + 1)),
+weights AS (SELECT gi, gj, gk, a, b, v AS z FROM (SELECT *, max(step) OVER (PARTITION BY gi, gj, gk) AS last FROM solved) WHERE step = last AND b <= 0),
+analysed AS (
+  SELECT i, j, k, {means}
+  FROM (SELECT i, j, k, {prior} FROM prior GROUP BY i, j, k) LEFT JOIN (weights JOIN across USING (gi, gj, gk, a)) ON gi = i AND gj = j AND gk = k GROUP BY i, j, k)"""
+
+
 def cells(last: str) -> str:
     own = ", ".join(f"avg(f_{x}) AS mf_{x}, avg({x}) AS ma_{x}, stddev_samp(f_{x}) AS sf_{x}, stddev_samp({x}) AS sa_{x}" for x in VARIABLES)
     t = ", ".join(f"{x} AS t_{x}" for x in VARIABLES)

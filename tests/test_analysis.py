@@ -275,3 +275,91 @@ def test_prior_report_and_schedule(spark, domain):
     rows = runner.schedule_preview(spark, 3, 2.0, 5.0).orderBy("step").collect()
     assert [q.weight for q in rows] == pytest.approx([0.00380626, 0.20781451, 0.78837925], abs=1e-6)
     assert sum(1 / q.error for q in rows) == pytest.approx(1 / 5)
+
+
+def test_inflation_and_covariance(spark, domain):
+    """The inflated gain formula; the covariance in the members' space gives the members' spread."""
+    x, state, grid = domain
+    points = [(0, 0, 0), (2, 2, 1), (3, 2, 0)]
+    obs = make_obs(spark, domain, points)
+    prior = state.where(F.col("m") < NE)
+    seen = multi_obs.observed(prior, obs).withColumn("r", F.col("r0"))
+    rho = 1.3
+    xp = x[..., :NE, :]
+    mean = xp.mean(3, keepdims=True)
+    wide = mean + math.sqrt(rho) * (xp - mean)  # the prior with inflated deviations; observed values are inflated too
+    given = [(p, hx(xp[p]).mean() + math.sqrt(rho) * (hx(xp[p]) - hx(xp[p]).mean()), hx(x[p][NE:])[0], 5.0) for p in points]
+    want = gain_update(wide, given, 1.0, math.sqrt(physics.SUPPORT2))
+    done = collect(multi_obs.letkf(prior, seen, grid, scales=(1.0,) * 3, inflation=rho).drop("n_obs"), ("i", "j", "k"))
+    cov = {(r.i, r.j, r.k): r for r in multi_obs.covariance(prior, seen, grid, scales=(1.0,) * 3, inflation=rho).collect()}
+    assert set(cov) == set(want) == set(done)
+    for at, (m, c) in want.items():
+        assert done[at].mean(0) == pytest.approx(m, rel=1e-8, abs=1e-9)
+        assert np.cov(done[at].T) == pytest.approx(c, rel=1e-6, abs=1e-7)
+        spread = np.array([cov[at][f"s_{v}"] for v in VARIABLES])
+        assert spread == pytest.approx(done[at].std(0, ddof=1), rel=1e-7, abs=1e-9)
+        pao = np.reshape(cov[at].covariance, (NE, NE))
+        change = (xp - mean)[at]
+        assert change.T @ pao @ change == pytest.approx(c, rel=1e-6, abs=1e-7)
+    least = collect(multi_obs.letkf(prior, seen, grid, scales=(1.0,) * 3, least_inflation=rho).drop("n_obs"), ("i", "j", "k"))
+    near = {(r.i, r.j, r.k): r.n_obs for r in multi_obs.letkf(prior, seen, grid, scales=(1.0,) * 3).collect()}
+    assert all(np.array_equal(least[at], xp[at]) if near[at] == 0 else np.allclose(least[at], done[at], rtol=1e-12) for at in least)
+
+
+def test_a_gap_far_away_changes_nothing_here(spark, domain):
+    x, state, grid = domain
+    points = [(0, 0, 0), (4, 4, 1)]
+    obs = make_obs(spark, domain, points)
+    prior = state.where(F.col("m") < NE)
+    run = lambda p: collect(multi_obs.assimilate(p, obs, grid, method="LETKF", scales=(1.0,) * 3).state, ("i", "j", "k"))
+    whole, gap = run(prior), run(prior.where("not (i = 4 and j = 4 and k = 1 and m = 6)"))
+    moved = [at for at in whole if at != (4, 4, 1) and not np.array_equal(whole[at], gap[at])]
+    assert moved and all(abs(i - 4) + abs(j - 4) <= 2 for i, j, _ in moved)
+    assert not np.array_equal(whole[0, 0, 0], x[0, 0, 0][:NE]) and np.array_equal(whole[0, 0, 0], gap[0, 0, 0])
+    # Where the gap is in reach, the member that lacks there stays as it is.
+    assert all(np.array_equal(gap[at][6], x[at][6]) for at in moved)
+
+
+@pytest.mark.parametrize("scales", [(1.0, 1.0, 1.0), (2.0, 2.0, 0.0)])
+def test_crowded_tiles_are_cut(spark, domain, scales):
+    """Parts of a few points give what a part of all gives."""
+    _, state, grid = domain
+    obs = make_obs(spark, domain, [(0, 0, 0), (2, 3, 1), (4, 4, 0), (1, 4, 1)])
+    prior = state.where(F.col("m") < NE)
+    seen = multi_obs.observed(prior, obs).withColumn("r", F.col("r0"))
+    one = collect(multi_obs.letkf(prior, seen, grid, scales=scales, tile_km=100.0), ("i", "j", "k"))
+    for most in (1, 3, 10):
+        _, parts = multi_obs.parts_of(grid, 100.0, most)
+        assert parts.count() > 50 / max(most, 2) / 4
+        other = collect(multi_obs.letkf(prior, seen, grid, scales=scales, tile_km=100.0, most_points=most), ("i", "j", "k"))
+        assert all(np.allclose(one[k], other[k], rtol=1e-12) for k in one) and set(one) == set(other)
+
+
+def test_parts_hold_what_they_may(spark, domain):
+    rng = np.random.default_rng(8)
+    at = np.concatenate((rng.normal(0, 3, (3000, 2)), rng.uniform(-500, 500, (500, 2)), np.zeros((40, 2))))
+    grid = spark.createDataFrame([(n, 0, 0, float(a), float(b), 0.0) for n, (a, b) in enumerate(at)], "i int, j int, k int, x_km double, y_km double, z_km double")
+    placed, parts = multi_obs.parts_of(grid, 64.0, 100)
+    sizes = placed.groupBy("part_x", "part_y", "level").count().collect()
+    assert sum(r["count"] for r in sizes) == len(at) and len(sizes) == parts.count()
+    assert all(r["count"] <= 100 or r.level == multi_obs.DEPTH for r in sizes) and len({r.level for r in sizes}) > 2
+    inside = placed.where("x_km >= part_x * 64 / pow(2, level) and x_km < (part_x + 1) * 64 / pow(2, level) and y_km >= part_y * 64 / pow(2, level) and y_km < (part_y + 1) * 64 / pow(2, level)")
+    assert inside.count() == len(at)
+
+
+def test_without_a_horizontal_scale_no_task_holds_the_domain(spark, domain):
+    x, state, grid = domain
+    points = [(0, 0, 0), (2, 2, 1), (4, 3, 0)]
+    obs = make_obs(spark, domain, points)
+    prior = state.where(F.col("m") < NE)
+    seen = multi_obs.observed(prior, obs).withColumn("r", F.col("r0"))
+    scales = (0.0, 0.0, 2.0)
+    one = collect(multi_obs.letkf(prior, seen, grid, scales=scales), ("i", "j", "k"))
+    many = multi_obs.letkf(prior, seen, grid, scales=scales, most_points=5)
+    assert all(np.allclose(v, one[k], rtol=1e-12) for k, v in collect(many, ("i", "j", "k")).items())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions stay apart
+    try:
+        dealt = many.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.countDistinct("i", "j", "k").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(dealt) > 1 and max(r.n for r in dealt) < N * N * 2
