@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +47,15 @@ def reflectivity(qr: Column, qs: Column, qg: Column, t: Column, p: Column) -> Co
     return F.when(_positive(total), F.greatest(F.log10(total) * 10.0, F.lit(FLOOR_DBZ))).otherwise(FLOOR_DBZ)
 
 
+def reflectivity_of(qr, qs, qg, t, p):
+    """The same of numpy arrays."""
+    with np.errstate(all="ignore"):
+        density = p / (t * RD)
+        part = lambda q, power, factor: np.where(q > 0, np.power(density * np.where(q > 0, q, 0.0), power) * factor, 0.0)
+        total = part(qr, 1.75, RAIN) + part(qs, 1.75, np.where(t <= MELTING, DRY_SNOW, WET_SNOW)) + part(qg, 1.6625, GRAUPEL)
+        return np.where(total > 0, np.maximum(10.0 * np.log10(np.where(total > 0, total, 1.0)), FLOOR_DBZ), FLOOR_DBZ)
+
+
 def h(frame: str = "") -> Column:
     """Reflectivity of a frame's own columns; frame: a prefix of their names."""
     return reflectivity(*(F.col(f"{frame}{x}") for x in ("qr", "qs", "qg", "t", "p")))

@@ -242,7 +242,7 @@ class Analysis:
     n_obs: DataFrame
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """df with its lineage cut in the checkpoint folder, where there is one; a step's state is used twice by the next."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -251,7 +251,7 @@ def _stored(df: DataFrame) -> DataFrame:
     return df.checkpoint() if base else df.persist()
 
 
-def assimilate(state: DataFrame, obs: DataFrame, grid: DataFrame, *, method: str = "TEnKF", ntemp: int = 1, alpha_s: float = 2.0, scales: tuple[float, float, float] = (10.0, 10.0, 4.0), cut=_stored, **options) -> Analysis:
+def assimilate(state: DataFrame, obs: DataFrame, grid: DataFrame, *, method: str = "TEnKF", ntemp: int = 1, alpha_s: float = 2.0, scales: tuple[float, float, float] = (10.0, 10.0, 4.0), cut=stored, **options) -> Analysis:
     """All steps of a method. cut: what cuts lineage between steps."""
     m, n, a = F.lit(method), F.lit(ntemp), F.lit(float(alpha_s))
     first = observed(state, obs)

@@ -137,6 +137,12 @@ def zone_observation_statistics(cells: DataFrame) -> DataFrame:
     return out.select(*KEYS, F.col("at.gi").alias("i0"), F.col("at.gj").alias("j0"), F.col("at.gk").alias("k0"), *(c for c in out.columns if c not in (*KEYS, "at")))
 
 
+def zone_fields(rows: DataFrame) -> DataFrame:
+    """The analysed zone itself: for each observation, combination, grid point and member the variables after all steps.
+    rows: as analyse gives them."""
+    return rows.select(*KEYS, *(F.col(f"g{a}").alias(a) for a in POINT), "m", *VARIABLES)
+
+
 def raised_errors(rows: DataFrame) -> DataFrame:
     """For each combination, observations and those whose error the first step raised. rows: as analyse gives them."""
     each = rows.where("at_obs").groupBy(*KEYS).agg((F.max("err_1") > F.max("r0") + 1e-6).alias("raised"))

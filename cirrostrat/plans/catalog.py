@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import physics, stats, tempering
 from ..operators import combos as combo_ops
 from ..operators import ensemble, multi_obs, neighbours, single_obs, slices, verification
+from ..operators import steps as kernel_steps
 from ..schema import POINT, VARIABLES
 from . import fixtures as fx
 from . import oracle as o
@@ -188,10 +189,9 @@ def localization_weights(spark, sf_dir):
 def _analysed(spark, sf_dir, rows, steps, stride=1):
     obs, truth, prior = _obs(spark, sf_dir, stride)
     pairs = neighbours.localised_pairs(obs, _combos(spark, rows), fx.grid(spark))
-    members = single_obs.with_members(pairs, prior)
-    if any(r[0] == "ATEnKF" for r in rows):  # as many as the observations need; the SQL unrolls the most there can be
-        steps = single_obs.own_steps(members)
-    return single_obs.analyse(members, steps), truth
+    if any(r[0] == "ATEnKF" for r in rows):  # as many steps as each observation needs; the SQL unrolls the most there can be
+        return kernel_steps.analyse(pairs, prior), truth
+    return single_obs.analyse(single_obs.with_members(pairs, prior), steps), truth
 
 
 def _sql_analysed(rows, steps, stride=1):
@@ -231,6 +231,11 @@ def letkf_members(spark, sf_dir):
     return rows.select("obs_id", "gi", "gj", "gk", "m", *VARIABLES)
 
 
+@query(f"WITH {_sql_analysed([_ONE[0], ('TEnKF', 2, 2.0, 2.0, 2.0, 2.0)], 2, 2)} SELECT obs_id, combo_id, gi AS i, gj AS j, gk AS k, m, {_r(*VARIABLES)} FROM a2")
+def zone_fields(spark, sf_dir):
+    return single_obs.zone_fields(_analysed(spark, sf_dir, [_ONE[0], ("TEnKF", 2, 2.0, 2.0, 2.0, 2.0)], 2, 2)[0])
+
+
 def _by_method(name, method, ntemp, steps):
     rows = [(method, ntemp, 1.0, 2.0, 2.0, 2.0)]
     sql = f"WITH {_sql_analysed(rows, steps, 2)} SELECT obs_id, gi, gj, gk, {_r('any_value(d2) AS d2', *(f'avg({x}) AS mean_{x}' for x in VARIABLES), *(f'stddev_samp({x}) AS spread_{x}' for x in VARIABLES), f'avg({o.h()}) AS mean_ref')} FROM a{steps} GROUP BY obs_id, gi, gj, gk"

@@ -18,10 +18,13 @@ from ..functions import physics, tempering
 from ..log import say, set_verbosity
 from ..operators import combos as combo_ops
 from ..operators import ensemble, multi_obs, neighbours, single_obs, verification
+from ..operators import steps as kernel_steps
 from ..schema import POINT, VARIABLES
 from ..sources import config as configs
 from ..sources import extract, results
 
+#: Steps up to which a sweep is window aggregates; more go to the kernel of all steps.
+NESTED = 3
 #: Other names of modes.
 ALIASES = {"strided": "multi_obs"}
 
@@ -86,7 +89,8 @@ def observations_of(spark: SparkSession, config: dict, truth: int, grid: DataFra
 
 
 def run(spark: SparkSession, config: dict, state: DataFrame, grid: DataFrame, *, truth: int | None = None, outdir: str | None = None) -> DataFrame:
-    """The result rows of a configuration. In mode multi_obs with an outdir, also writes there the reference (once),
+    """The result rows of a configuration. With store_fields and an outdir, sweep and single_obs write the analysed zones
+    there (fields, by combination). In mode multi_obs with an outdir, also writes there the reference (once),
     each combination's analysis (its mean; with store_fields all members) and steps; with skip_existing, combinations
     that are there are taken from there."""
     mode, tm = mode_of(config), truth_of(config, truth)
@@ -102,10 +106,14 @@ def run(spark: SparkSession, config: dict, state: DataFrame, grid: DataFrame, *,
         pairs = neighbours.localised_pairs(obs, table, grid)
         if "cutoff_factor" in config:
             pairs = neighbours.in_box(pairs, grid, float(config["cutoff_factor"]))
-        members = single_obs.with_members(pairs, prior)
-        if any(r[0] == "ATEnKF" for r in rows):
-            steps = max([single_obs.own_steps(members), *(n for m, n, *_ in rows if m in ("TEnKF", "TAOEI"))])
-        return single_obs.metrics(single_obs.with_truth(single_obs.moments(single_obs.analyse(members, steps)), own))
+        if any(r[0] == "ATEnKF" for r in rows) or steps > NESTED:
+            done = kernel_steps.analyse(pairs, prior)
+        else:
+            done = single_obs.analyse(single_obs.with_members(pairs, prior), steps)
+        if outdir and config.get("store_fields", False):
+            done = multi_obs.stored(done)  # fields and metrics both read it
+            results.write_zones(single_obs.zone_fields(done), f"{outdir}/fields/tm={tm}")
+        return single_obs.metrics(single_obs.with_truth(single_obs.moments(done), own))
     if outdir:
         results.write_reference(reference(own, prior, obs), f"{outdir}/reference/tm={tm}")
     todo = {r.combo_id for r in (results.unfinished(spark, table, f"{outdir}/metrics/tm={tm}") if outdir and config.get("skip_existing", False) else table).collect()}
@@ -140,8 +148,8 @@ def sanity_report(spark: SparkSession, obs: DataFrame, grid: DataFrame, prior: D
     """Each method at given observations: departure and spread before and after, and whether it is worse."""
     rows = [(m, n, alpha_s, scale, scale, scale) for m, n in (("LETKF", 1), ("TEnKF", ntemp), ("AOEI", 1), ("ATEnKF", 1), ("TAOEI", ntemp))]
     table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], combo_ops.COMBOS)
-    members = single_obs.with_members(neighbours.localised_pairs(obs, table, grid), prior)
-    done = single_obs.analyse(members, max(ntemp, single_obs.own_steps(members))).where("at_obs")
+    pairs = neighbours.localised_pairs(obs, table, grid)
+    done = kernel_steps.analyse(pairs, prior).where("at_obs")
     cells = single_obs.moments(done)
     before, after = F.col("yo") - F.col("mf_ref"), F.col("yo") - F.col("ma_ref")
     return cells.select("obs_id", "method", before.alias("dep_b"), after.alias("dep_a"), F.col("sf_ref").alias("spread_b"), F.col("sa_ref").alias("spread_a"), (F.abs(after) > F.abs(before)).alias("worse"))
@@ -189,7 +197,7 @@ def main(argv: list[str] | None = None) -> None:
     results.copy_config(spark, config, f"{outdir}/config")
     members = state.select("m").distinct().count() - 1
     size = prior_size_of(config) or members
-    rows = run(spark, config, state, grid, truth=args.tm, outdir=f"{outdir}/multi_obs")
+    rows = run(spark, config, state, grid, truth=args.tm, outdir=f"{outdir}/{mode_of(config)}")
     results.write_sweep(rows, f"{outdir}/results", mode_name=mode_of(config), members=size, truth=tm)
     say(1, "results in %s", outdir)
 

@@ -23,6 +23,12 @@ def write_analysis(rows: DataFrame, path: str, combo_id: int) -> None:
     rows.withColumn("combo_id", F.lit(combo_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("combo_id").parquet(path)
 
 
+def write_zones(fields: DataFrame, path: str) -> None:
+    """Analysed zones by combination; what was there for these combinations is replaced. Zones of an observation lie
+    together in a file, and a combination with very many is several files."""
+    fields.repartition("combo_id", F.pmod(F.xxhash64("obs_id"), F.lit(64))).sortWithinPartitions("combo_id", "obs_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("combo_id").parquet(path)
+
+
 def unfinished(spark: SparkSession, combos: DataFrame, path: str) -> DataFrame:
     """Combinations without a result in path."""
     jvm = spark.sparkContext._jvm

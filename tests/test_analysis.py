@@ -363,3 +363,53 @@ def test_without_a_horizontal_scale_no_task_holds_the_domain(spark, domain):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(dealt) > 1 and max(r.n for r in dealt) < N * N * 2
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_steps_in_one_plan(spark, domain, gaps):
+    """The kernel that goes through all steps equals nested steps; with missing members too, where errors don't depend
+    on the ensemble (the kernel takes those from the observation's own members, nested steps from each point's)."""
+    from cirrostrat.operators import steps
+
+    _, state, grid = domain
+    prior = state.where(F.col("m") < NE)
+    if gaps:
+        prior = prior.where("not (i = 2 and j = 2 and k = 0 and m = 1) and not (i = 2 and j = 2 and k = 1 and m = 6)")
+    obs = make_obs(spark, domain, [(2, 2, 1), (0, 1, 0)]).withColumn("yo", F.col("yo") + 5.0)
+    methods = [("TEnKF", 3, 2.0), ("LETKF", 1, 1.0)] if gaps else [("ATEnKF", 1, 1.0), ("ATEnKF", 1, 0.0), ("TEnKF", 3, 2.0), ("AOEI", 1, 1.0), ("TAOEI", 2, 1.0)]
+    table = spark.createDataFrame([(n, *c, 2.0, 2.0, 2.0) for n, c in enumerate(methods)], COMBOS)
+    pairs = neighbours.localised_pairs(obs, table, grid)
+    members = single_obs.with_members(pairs, prior)
+    most = 3 if gaps else single_obs.own_steps(members)
+    assert 2 < most <= 20
+    want, got = single_obs.analyse(members, most), steps.analyse(pairs, prior)
+    columns = [*VARIABLES, *(f"f_{v}" for v in VARIABLES), "at_obs", "err_1", *([] if gaps else ["own_ntemp"])]
+    shown = lambda df: {tuple(r[k] for k in ("obs_id", "combo_id", "gi", "gj", "gk", "m")): [r[v] for v in columns] for r in df.collect()}
+    a, b = shown(got), shown(want)
+    assert set(a) == set(b) and len(a) > 300
+    for k in a:
+        for x, y in zip(a[k], b[k], strict=True):
+            assert (x is None and y is None) or x == pytest.approx(y, rel=1e-7, abs=1e-9), k
+    depth = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert depth(got) == depth(steps.analyse(pairs.where("method = 'LETKF'"), prior))
+    assert single_obs.moments(got).count() == pairs.count()
+    assert steps.analyse(pairs.limit(0), prior).count() == 0
+
+
+def test_sweep_stores_its_zones(spark, domain, tmp_path):
+    """The analysed zones of all combinations, of methods of few and of many steps; a run again replaces them."""
+    _, state, grid = domain
+    config = {"mode": "sweep", "truth_member": NE, "prior_size": NE, "store_fields": True, "sweep": {"methods": ["LETKF", "ATEnKF"], "loc_x": 1.0, "loc_y": 1.0, "loc_z": 1.0, "stride": 2}}
+    out = str(tmp_path / "out")
+    for _ in range(2):
+        runner.run(spark, config, state, grid, outdir=out)
+    stored = spark.read.parquet(f"{out}/fields/tm={NE}")
+    assert {r.combo_id for r in stored.select("combo_id").distinct().collect()} == {0, 1}
+    truth, prior = state.where(F.col("m") == NE).drop("m"), state.where(F.col("m") < NE)
+    obs = runner.observations_of(spark, config, NE, grid, truth, prior)
+    pairs = neighbours.localised_pairs(obs, catalog.combo_ops.combo_table(spark, config["sweep"]), grid)
+    rows = single_obs.analyse(single_obs.with_members(pairs, prior).where("method = 'LETKF'"), 1)
+    want = {(r.obs_id, r.gi, r.gj, r.gk, r.m): r.t for r in rows.collect()}
+    got = {(r.obs_id, r.i, r.j, r.k, r.m): r.t for r in stored.where("combo_id = 0").collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+    assert stored.where("combo_id = 1").count() == len(want)
