@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import physics
+from . import multi_obs
 
 
 def _tile(x: Column, size: float) -> Column:
@@ -69,15 +70,60 @@ def in_box(pairs: DataFrame, grid: DataFrame, factor: float) -> DataFrame:
     return pairs.drop("dx", "dy")
 
 
-def nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each target (name, lat, lon; a small table) the grid point (j, i) at the least squared distance in
-    degrees; ties go to the first in order of j, i. points: j, i, lat, lon. One pass over the points."""
-    t = F.broadcast(targets.select("name", F.col("lat").alias("tlat"), F.col("lon").alias("tlon")))
-    d2 = F.pow(F.col("lat") - F.col("tlat"), F.lit(2.0)) + F.pow(F.col("lon") - F.col("tlon"), F.lit(2.0))
-    best = points.crossJoin(t).groupBy("name").agg(F.min(F.struct(d2.alias("d2"), "j", "i")).alias("b"))
+#: Targets that are held against every point in one pass; more go by cells.
+FEW = 64
+
+
+def nearest(points: DataFrame, targets: DataFrame, *, few: int = FEW) -> DataFrame:
+    """For each target (name, lat, lon) the grid point (j, i) at the least squared distance in degrees; ties go to the
+    first in order of j, i. points: j, i, lat, lon. A few targets take one pass over the points; more meet the points
+    of the cells around them."""
+    if targets.limit(few + 1).count() > few:
+        return _nearest_by_cells(points, targets)
+    t = F.broadcast(targets.select("name", F.col("lat").alias("tlat"), F.col("lon").alias("tlon")))  # few rows
+    best = points.crossJoin(t).groupBy("name").agg(F.min(F.struct(_degrees2().alias("d2"), "j", "i")).alias("b"))
     return best.select("name", "b.j", "b.i", "b.d2")
 
 
+def _degrees2() -> Column:
+    return F.pow(F.col("lat") - F.col("tlat"), F.lit(2.0)) + F.pow(F.col("lon") - F.col("tlon"), F.lit(2.0))
+
+
+def _nearest_by_cells(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """Points have a cell; a target looks into the cells around its own, which may lie outside of all points, and a
+    target that found nothing as near as the edge of what it looked at looks further, twice as far each time. The
+    driver holds the extent of the points. Points and targets without a place don't count."""
+    spark = points.sparkSession
+    here = lambda df: df.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
+    points = here(points).select("j", "i", "lat", "lon")
+    lat0, lat1, lon0, lon1, n = points.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon"), F.count(F.lit(1))).first()
+    if not n:
+        return spark.createDataFrame([], f"name {dict(targets.dtypes)['name']}, j int, i int, d2 double")
+    height, width = lat1 - lat0, lon1 - lon0
+    size = max(2 * math.sqrt(height * width / n), max(height, width) / n, max(height, width) / (1 << 30)) or 1.0
+    cell = lambda c, low: F.floor((F.col(c) - low) / size).cast("long")
+    rows, columns = int(height // size), int(width // size)  # the last cell of each axis
+    points = points.withColumns({"cy": F.least(cell("lat", lat0), F.lit(rows)), "cx": F.least(cell("lon", lon0), F.lit(columns))})
+    waiting = here(targets).select("name", F.col("lat").alias("tlat"), F.col("lon").alias("tlon"))
+    waiting = waiting.withColumns({"ty": F.floor((F.col("tlat") - lat0) / size), "tx": F.floor((F.col("tlon") - lon0) / size)})
+    outside = F.greatest(F.lit(0), -F.col("ty"), F.col("ty") - rows, -F.col("tx"), F.col("tx") - columns)
+    waiting, found, further = multi_obs.stored(waiting.withColumn("outside", outside)), None, 1
+    while True:
+        reach = F.col("outside") + further
+        ends = lambda c, last: F.sequence(F.greatest(F.col(c) - reach, F.lit(0)), F.least(F.col(c) + reach, F.lit(last)))  # noqa: B023, E731
+        around = waiting.withColumn("cy", F.explode(ends("ty", rows))).withColumn("cx", F.explode(ends("tx", columns)))
+        best = around.join(points, ["cy", "cx"]).groupBy("name", "tlat", "tlon", "ty", "tx", "outside").agg(F.min(F.struct(_degrees2().alias("d2"), "j", "i")).alias("b"))
+        edge = F.pow(reach * (size * (1 - 1e-9)), F.lit(2.0))
+        all_seen = (F.col("ty") - reach <= 0) & (F.col("tx") - reach <= 0) & (F.col("ty") + reach >= rows) & (F.col("tx") + reach >= columns)
+        done = best.where((F.col("b.d2") <= edge) | all_seen).select("name", "b.j", "b.i", "b.d2")
+        done = multi_obs.stored(done)
+        found = done if found is None else found.unionByName(done)
+        waiting = multi_obs.stored(waiting.join(done.select("name"), "name", "left_anti"))
+        if not waiting.limit(1).count():
+            return found
+        further *= 2
+
+
 def positions(points: DataFrame) -> DataFrame:
     """km east, north and up of the corner (0, 0). points: i, j, k, lat, lon, z_m."""
     corner = points.where("i = 0 and j = 0").agg(F.first("lat").alias("lat0"), F.first("lon").alias("lon0"))

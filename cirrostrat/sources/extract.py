@@ -4,8 +4,9 @@ Member files are described by a table of (valid time, member, path); tasks read
 them. Formats: ``npz`` (arrays named as the variables, axes x, y, z), ``post``
 (post-processed files, with units of their own) and ``wrfout`` (native model
 output, from which temperature, pressure, height and winds at mass points are
-derived). The last two need a netCDF library, which is taken if there is one; a
-``.npz`` archive with the same names and axes is read as such a file without.
+derived). Files of the classic netCDF format are read by ``sources.netcdf``,
+those of netCDF-4 by the netCDF4 library if there is one; a ``.npz`` archive with
+the same names and axes is read as such a file too.
 
 ``job`` runs a configuration over all its times; ``python -m
 cirrostrat.sources.extract --config FILE`` does so from a command line. Its key
@@ -18,7 +19,9 @@ from __future__ import annotations
 
 import argparse
 import os
+import struct
 import warnings
+import zipfile
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..log import say, set_verbosity
 from ..schema import POINT, VARIABLES
+from . import netcdf
 
 #: Factors from the units of post-processed files to SI: g/kg and hPa.
 POST_FACTORS = {"qr": 1e-3, "qs": 1e-3, "qg": 1e-3, "p": 100.0}
@@ -37,6 +41,8 @@ POST_NAMES = {"qg": "QGRAUP", "qr": "QRAIN", "qs": "QSNOW", "t": "T", "p": "PRES
 #: Fixed values of the model: base temperature (K), reference pressure (Pa), R/cp, gravity (m/s2).
 BASE_T, P0, KAPPA, GRAVITY = 300.0, 1e5, 2.0 / 7.0, 9.81
 DATES = "%Y-%m-%d_%H:%M:%S"
+#: Of a prepared file, for a task.
+SLAB_BYTES = 64 << 20
 
 
 def member_names(first: int, last: int, width: int = 0) -> list[str]:
@@ -72,10 +78,12 @@ def open_arrays(path: str):
     if path.endswith(".npz"):
         with np.load(path) as f:
             return _Archive({n: f[n] for n in f.files})
+    if netcdf.is_classic(path):
+        return netcdf.File(path)
     try:
         from netCDF4 import Dataset
     except ImportError as e:
-        raise RuntimeError("netCDF files need the netCDF4 library") from e
+        raise RuntimeError("files of netCDF-4 need the netCDF4 library") from e
     data = Dataset(path)
     return _Opened(data)
 
@@ -123,15 +131,16 @@ def read_native(path: str, subset: dict | None = None) -> dict[str, np.ndarray]:
     data = open_arrays(path)
     try:
         time = (subset or {}).get("timeidx", -1)
-        get = lambda n: _numbers(data[n][time])
+        k, j, i = (slice(*s.indices(n)[:2]) for s, n in zip(slices_of(subset), data["P"].shape[1:], strict=True))
+        face = lambda s: slice(s.start, s.stop + 1)  # noqa: E731  the cells' faces: one more
+        get = lambda n, k=k, j=j, i=i: _numbers(data[n][time, k, j, i])
         p = get("P") + get("PB")
-        whole = {
+        v = {
             "qg": get("QGRAUP"), "qr": get("QRAIN"), "qs": get("QSNOW"),
             "t": (get("T") + BASE_T) * (p / P0) ** KAPPA, "p": p,
-            "u": _centred(get("U"), 2), "v": _centred(get("V"), 1), "w": _centred(get("W"), 0),
+            "u": _centred(get("U", i=face(i)), 2), "v": _centred(get("V", j=face(j)), 1), "w": _centred(get("W", k=face(k)), 0),
         }
-        at = slices_of(subset)
-        return {x: v[at].T for x, v in whole.items()}
+        return {x: a.T for x, a in v.items()}
     finally:
         data.close()
 
@@ -164,6 +173,34 @@ def geometry_native(path: str, subset: dict | None = None) -> tuple[np.ndarray,
 FORMATS = {"post": (read_post, geometry_post), "wrfout": (read_native, geometry_native)}
 
 
+def shape_of(path: str, kind: str, subset: dict | None = None) -> tuple[int, int, int]:
+    """Points along i, j and k of a file's subset, from its header."""
+    if kind == "npz":
+        return read_npz(path)[VARIABLES[0]].shape
+    data = open_arrays(path)
+    try:
+        whole = data[POST_NAMES["t"] if kind == "post" else "P"].shape[1:]
+        return tuple(len(range(n)[s]) for s, n in zip(slices_of(subset), whole, strict=True))[::-1]
+    finally:
+        data.close()
+
+
+def read_box(path: str, kind: str, subset: dict | None, ranges: dict[str, tuple[int, int]]) -> dict[str, np.ndarray]:
+    """Variables of a box of a file's subset; ranges: first and end along i, j and k."""
+    if kind == "npz":
+        return {x: v[tuple(slice(*ranges[a]) for a in POINT)] for x, v in read_npz(path).items()}
+    data = open_arrays(path)
+    try:
+        whole = data[POST_NAMES["t"] if kind == "post" else "P"].shape[1:]
+    finally:
+        data.close()
+    own = dict(subset or {})
+    for axis, s, n in zip("kji", slices_of(subset), whole, strict=True):
+        first = s.indices(n)[0]
+        own |= {f"{axis}_start": first + ranges[axis][0], f"{axis}_end": first + ranges[axis][1]}
+    return FORMATS[kind][0](path, own)
+
+
 def geometry_table(spark: SparkSession, path: str, kind: str, subset: dict | None = None) -> DataFrame:
     """i, j, k, lat, lon and z_m, read by one task a level at a time; neighbours.positions makes kilometres of them."""
     probe = FORMATS[kind][1]
@@ -272,7 +309,7 @@ def lattice(state: DataFrame, members: int) -> DataFrame:
 def import_prepared(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(state, grid) of a prepared .npz file: state_ensemble (nx, ny, nz, members, variables), else the older
     cross_sections; pos_km (nx, ny, nz, 3) is required. Or of a folder that ``job`` wrote, if that has one time.
-    Levels without any number are left out. A task reads the file, an i-slab at a time."""
+    Levels without any number are left out. Tasks read slabs of the file."""
     from ..operators import ensemble as members
 
     if os.path.isdir(path):
@@ -284,30 +321,48 @@ def import_prepared(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
         if "pos_km" not in f.files:
             raise KeyError("pos_km")
         name = "state_ensemble" if "state_ensemble" in f.files else "cross_sections"
+    state = _slabs(spark, path, name, (*POINT, "m"), VARIABLES)
+    return members.live_levels(state, *VARIABLES), _slabs(spark, path, "pos_km", POINT, ("x_km", "y_km", "z_km"))
+
+
+def place_in_archive(path: str, name: str) -> tuple[np.dtype, tuple[int, ...], str, int] | None:
+    """Type, shape, order and place of an array's values in an archive of arrays; None where it is compressed."""
+    with zipfile.ZipFile(path) as z, open(path, "rb") as f:
+        entry = z.getinfo(f"{name}.npy")
+        if entry.compress_type != zipfile.ZIP_STORED:
+            return None
+        f.seek(entry.header_offset + 26)
+        f.seek(sum(struct.unpack("<HH", f.read(4))), os.SEEK_CUR)  # over the entry's own name and extra field
+        version = np.lib.format.read_magic(f)
+        shape, fortran, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+        return kind, shape, "F" if fortran else "C", f.tell()
+
+
+def _slabs(spark: SparkSession, path: str, name: str, axes: tuple[str, ...], last: tuple[str, ...]) -> DataFrame:
+    """An array of an archive as rows: indices along axes, and a column for each entry of the last axis. A task maps
+    the file and reads its own slab of the first axis; a compressed array is read by one task, a slab at a time."""
+    place = place_in_archive(path, name)
+    if place:
+        size = int(np.prod(place[1], dtype=np.int64)) * place[0].itemsize
+        n = max(1, min(place[1][0], -(-size // SLAB_BYTES)))
+    else:
+        n = 1
 
-    def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p in b["path"]:
-                with np.load(p) as f:
-                    data = f[name]
-                where = dict(zip((*POINT[1:], "m"), np.indices(data.shape[1:4]).reshape(3, -1).astype(np.int32), strict=True))
-                for i in range(len(data)):
-                    slab = data[i].reshape(-1, data.shape[-1]).astype(float)
-                    yield pd.DataFrame({"i": np.int32(i), **where, **{x: slab[:, n] for n, x in enumerate(VARIABLES)}})
-
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for p in b["path"]:
-                with np.load(p) as f:
-                    at = f["pos_km"]
-                where = dict(zip(POINT[1:], np.indices(at.shape[1:3]).reshape(2, -1).astype(np.int32), strict=True))
-                for i in range(len(at)):
-                    slab = at[i].reshape(-1, 3).astype(float)
-                    yield pd.DataFrame({"i": np.int32(i), **where, **{x: slab[:, n] for n, x in enumerate(("x_km", "y_km", "z_km"))}})
-
-    file = spark.createDataFrame([(path,)], "path string")
-    state = file.mapInPandas(states, _fields()).repartition("i", "j")
-    return members.live_levels(state, *VARIABLES), file.mapInPandas(places, "i int, j int, k int, x_km double, y_km double, z_km double")
+            for part in b["id"]:
+                if place:
+                    kind, shape, order, at = place
+                    data = np.memmap(path, kind, "r", at, shape, order)
+                else:
+                    with np.load(path) as f:
+                        data = f[name]
+                where = dict(zip(axes[1:], np.indices(data.shape[1:-1]).reshape(len(axes) - 1, -1).astype(np.int32), strict=True))
+                for i in range(part * len(data) // n, (part + 1) * len(data) // n):
+                    slab = np.asarray(data[i]).reshape(-1, data.shape[-1]).astype(float)
+                    yield pd.DataFrame({axes[0]: np.int32(i), **where, **{x: slab[:, c] for c, x in enumerate(last)}})
+
+    return spark.range(0, n, 1, n).mapInPandas(rows, ", ".join([*(f"{a} int" for a in axes), *(f"{x} double" for x in last)]))
 
 
 def main(argv: list[str] | None = None) -> None:

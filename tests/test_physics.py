@@ -107,3 +107,27 @@ def test_noise_is_reproducible(spark):
     a = ensemble.noise_field(spark, (2, 3, 2), 4, 5.0).orderBy("i", "j", "k").collect()
     want = np.random.default_rng(46).normal(0.0, np.sqrt(5.0), (2, 3, 2)).astype(np.float32).ravel()
     assert [r.noise for r in a] == pytest.approx(want.tolist())
+
+
+def test_nearest_of_many_targets(spark):
+    """By cells as by all points: ties, targets far outside, points in a line and in one place; no product in the plan."""
+    from cirrostrat.operators import neighbours
+
+    rng = np.random.default_rng(9)
+    grids = {
+        "lattice": [(j, i, -35 + 0.1 * j, -60 + 0.1 * i) for j in range(30) for i in range(40)],
+        "clusters": [(n, 0, float(a), float(b)) for n, (a, b) in enumerate(np.concatenate((rng.normal(0, 0.01, (300, 2)), rng.uniform(-5, 5, (50, 2)))))],
+        "line": [(n, 0, 1.0, 0.5 * n) for n in range(50)],
+        "place": [(1, 2, 3.0, 4.0), (1, 1, 3.0, 4.0)],
+    }
+    targets = [(f"t{n}", float(a), float(b)) for n, (a, b) in enumerate(rng.uniform(-70, 10, (60, 2)))]
+    targets += [(f"m{n}", -35 + 0.05 * n, -59.95) for n in range(20)] + [("far", 5000.0, -9000.0), ("in", 0.0, 0.0)]
+    t = spark.createDataFrame(targets, "name string, lat double, lon double")
+    for name, rows in grids.items():
+        p = spark.createDataFrame(rows, "j int, i int, lat double, lon double")
+        key = lambda df: {r["name"]: (r.j, r.i) for r in df.collect()}
+        got = neighbours.nearest(p, t)
+        assert key(got) == key(neighbours.nearest(p, t, few=1000)), name
+    assert "Nested" not in got._jdf.queryExecution().toString()
+    none = spark.createDataFrame([], "j int, i int, lat double, lon double")
+    assert neighbours.nearest(none, t).count() == 0

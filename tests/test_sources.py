@@ -39,6 +39,19 @@ def test_prepared_file(spark, tmp_path):
         extract.import_prepared(spark, str(tmp_path / "q.npz"))
 
 
+@pytest.mark.parametrize(("order", "save"), [("C", np.savez), ("F", np.savez), ("C", np.savez_compressed)])
+def test_prepared_file_by_slabs(spark, tmp_path, monkeypatch, order, save):
+    """Several tasks read an uncompressed archive, each its slab; a compressed one has the same rows."""
+    monkeypatch.setattr(extract, "SLAB_BYTES", 1000)
+    x = np.random.default_rng(5).normal(size=(6, 3, 2, 4, 8)).astype(np.float32)
+    save(tmp_path / "p.npz", pos_km=np.random.default_rng(3).normal(size=(6, 3, 2, 3)), state_ensemble=np.asarray(x, order=order))
+    state, grid = extract.import_prepared(spark, str(tmp_path / "p.npz"))
+    got = {(r.i, r.j, r.k, r.m): tuple(r[v] for v in VARIABLES) for r in state.collect()}
+    assert got == {at: tuple(x[at].astype(float)) for at in np.ndindex(x.shape[:4])} and grid.count() == 36
+    slabs = extract._slabs(spark, str(tmp_path / "p.npz"), "state_ensemble", ("i", "j", "k", "m"), VARIABLES)
+    assert slabs.rdd.getNumPartitions() == (1 if save is np.savez_compressed else min(6, -(-x.nbytes // 1000)))
+
+
 def test_valid_times(spark):
     assert extract.valid_times(spark, "2024-01-01 00:00:00", "2024-01-01 03:00:00", "1 hour").count() == 4
 
