@@ -46,6 +46,8 @@ from . import common, components, filters, words
 
 #: Cells of the table of counts: one for about CELL_BYTES of text, between 2**FEWEST_BITS and 2**MOST_BITS cells of 4 bytes.
 CELL_BYTES, FEWEST_BITS, MOST_BITS = 512, 16, 23
+#: The largest number a cell holds; counts stay there.
+MOST_COUNTED = 2**32 - 1
 BIG = 128
 CELLS = 32
 HIGHEST = 2**63 - 1
@@ -94,7 +96,8 @@ def _counted(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[p
         for _, column in words.slices(batch):
             g, _ = shingles(column, n, powers)
             at, times = np.unique(g & np.uint64((1 << bits) - 1), return_counts=True)
-            cells[at.astype(np.int64)] += times.astype(np.uint32)
+            at = at.astype(np.int64)
+            cells[at] = np.minimum(cells[at].astype(np.int64) + times, MOST_COUNTED)
             some = True
     if some:
         yield filters.packed(cells)
@@ -103,7 +106,7 @@ def _counted(batches: Iterator[pa.RecordBatch], n: int, bits: int) -> Iterator[p
 def _added(total: np.ndarray, cells: np.ndarray) -> np.ndarray:
     """The sum, which stays at the largest number a cell can hold."""
     total += cells
-    total[total < cells] = np.iinfo(np.uint32).max
+    total[total < cells] = MOST_COUNTED
     return total
 
 

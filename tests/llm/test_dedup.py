@@ -157,3 +157,16 @@ def test_counts_over_several_slices(spark):
     assert (got == want).all() and want.sum() == 3 * 299_999
     full = np.full(2, np.iinfo(np.uint32).max - 1, np.uint32)
     assert jaccard._added(full, np.array([1, 7], np.uint32)).tolist() == [2**32 - 1, 2**32 - 1]
+
+
+def test_counts_stay_at_the_largest_number(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from cirrostrat.llm import filters, jaccard
+
+    monkeypatch.setattr(jaccard, "MOST_COUNTED", 5)
+    batch = pa.RecordBatch.from_arrays([pa.array(["one two three four five six seven eight nine ten"] * 3)], ["text"])
+    (out,) = jaccard._counted(iter([batch, batch]), 1, 2)
+    cells = filters.unpacked(out.column(0)[0].as_py(), np.uint32)
+    assert cells.max() == 5 and len(cells) == 4
