@@ -14,8 +14,16 @@ them.
    windows of 13 words go.
 5. pack: pieces of token ids, gapless in sequences of 1024.
 
-An empty table passes through all stages and gives no pieces. SQL can't express
-the classifier or the tokenizer, so there is no SQL for the whole.
+Defined cases: an empty table passes through all stages and gives no pieces. A
+null text counts as empty: the classifier scores it like any text (it is rejected
+where that is below the cutoff), null and empty texts are copies of each other,
+and one that stays has the end id alone. A null identifier is the smallest in
+stage 2 and the largest in stage 3; of rows that are equal in all of that one
+stays. Equal scores are treated alike, as the cutoff is a number. Very long texts
+are scored, compared, scanned and packed whole. Columns beside identifier and
+text pass through unchanged up to the last stage, whatever their names; that one
+returns pieces. SQL can't express the classifier or the tokenizer, so there is no
+SQL for the whole.
 """
 
 from __future__ import annotations
