@@ -5,7 +5,10 @@ within tasks and summed by Spark. From them the models of all languages are
 made: one table of sorted hashes for each order with a log-probability (and for
 contexts a back-off weight) for each language. A text goes to the language with
 the lowest cross-entropy for a character; an entropy above what its language
-had on training texts is a rejection.
+had on texts that the tables don't know is a rejection. Those are a share of the
+training texts, told by a hash of the text (so copies stay together), which is
+left out of the counts and calibrates limits and scores. A language of few
+documents keeps them all in its counts; its limit is that of all languages.
 
 Letters are lower-cased, each run of other characters is one blank. The tables
 hold every n-gram counted and grow with the input: they are files in the shared
@@ -14,8 +17,11 @@ workers look them up through memory maps. Only a caller's own ``max_grams``
 leaves rows out (those below the count that fits).
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
-rows without language or identifier teach nothing; without any training row
-all texts are ``und``; repeated rows count each; an empty table gives no rows.
+rows without language teach nothing; without any training row all texts are
+``und``; repeated rows count each; of languages with equal entropies the first
+by name is predicted; very long texts are counted and scored whole, one at a
+time; an empty table gives no rows; columns named lang_pred, score,
+cross_entropy and rejected are replaced, others of any name pass unchanged.
 """
 
 from __future__ import annotations
@@ -37,8 +43,10 @@ ORDER = 4
 #: Values (rows times languages) of a part of a table, about.
 PART_VALUES = 1 << 22
 DISCOUNT = 0.75
-#: Training documents for calibration, at about this many; taken by the hash of the identifier.
-CALIBRATION = 2000
+#: Training documents for calibration: about so many, and one in LEAST_SHARE at most.
+CALIBRATION, LEAST_SHARE = 2000, 10
+#: Languages of fewer documents keep them all in their counts; a limit of its own needs so many calibration texts.
+FEW_DOCUMENTS, FEW_TEXTS = 200, 20
 UNDETERMINED = "und"
 _HELD = 1 << 21
 
@@ -329,11 +337,15 @@ def stored_models(counts: DataFrame, langs: list[str], discount: float = DISCOUN
     return out
 
 
-def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_grams: int | None = None, calibration: int = CALIBRATION) -> Models | None:
+def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", max_grams: int | None = None, calibration: int = CALIBRATION) -> Models | None:
     """Models of the languages in docs; None without any. max_grams: a caller's own bound on the (language, 4-gram) rows."""
     letters = letter_table()
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    counts = rows.select("lang", "text").mapInArrow(lambda it: _count(it, letters), "lang string, gram long, n long")
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    documents = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
+    every = max(LEAST_SHARE, sum(documents.values()) // calibration)
+    large = [x for x, n in documents.items() if n >= FEW_DOCUMENTS]
+    aside = F.col("lang").isin(large) & (F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    counts = rows.where(~aside).select("lang", "text").mapInArrow(lambda it: _count(it, letters), "lang string, gram long, n long")
     counts = common.stored(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
     if max_grams is not None and counts.count() > max_grams:
         kinds, least = 0, None
@@ -347,7 +359,6 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     if not langs:
         return None
     out = stored_models(counts, langs)
-    every = max(1, rows.count() // calibration)
     shared = common.Shared(rows.sparkSession, (out, letters))
 
     def entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,7 +368,9 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
                 h, n = models.entropies(column.to_pylist(), table)
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(h.tolist(), pa.list_(pa.float64())), pa.array(n, pa.int64())], ["lang", "h", "n"])
 
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("lang", "text").mapInArrow(entropies, "lang string, h array<double>, n long").where("n > 0").toPandas()
+    if not large:  # nothing is unknown to the tables: calibration on what there is
+        aside = F.pmod(F.xxhash64("text"), F.lit(every)) == 0
+    some = rows.where(aside).select("lang", "text").mapInArrow(entropies, "lang string, h array<double>, n long").where("n > 0").toPandas()
     some = some[some["lang"].isin(langs)]
     if len(some):
         h = np.array(some["h"].tolist())
@@ -369,10 +382,10 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
             return float((z[at, true] - np.logaddexp.reduce(z, axis=1)).mean())
 
         out.sharpness = max((2.0**i for i in range(-1, 8)), key=likelihood)
+        limit = lambda own: np.quantile(own, 0.995) + own.std()
         for i in range(len(langs)):
             own = h[true == i, i]
-            if len(own) >= 20:
-                out.entropy_limit[i] = np.quantile(own, 0.995) + own.std()
+            out.entropy_limit[i] = limit(own if len(own) >= FEW_TEXTS else h[at, true])
     return out
 
 

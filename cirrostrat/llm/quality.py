@@ -13,7 +13,11 @@ label). Features are counted over whole texts.
 Defined cases: null texts count as empty; an empty text has all features 0;
 rows without identifier or label teach nothing; without documents of both
 labels the score is the share of label 1 (0.5 without labels); repeated rows
-are scored each; an empty table gives no rows.
+are scored each, and teach as often as the table of documents has them; of
+contradicting labels the largest holds; equal gains of a tree go to its later cut
+between groups and its first within one; very long texts are measured whole; an
+empty table gives no rows. ``score`` replaces a column named score, ``keep_good``
+gives back all columns of its rows as they were, whatever their names.
 """
 
 from __future__ import annotations

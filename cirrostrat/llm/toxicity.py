@@ -22,14 +22,19 @@ identifier. Only labels of rows passed as training labels are read.
 
 Defined cases: null and empty texts have no window and the lowest score; rows
 without identifier or label teach nothing; without toxic and ordinary documents
-in both parts of the training labels all scores are 0; repeated rows are scored
-each; very long texts are scored whole; an empty table gives no rows; columns
-named score, windows and toxic_windows are replaced.
+in both parts of the training labels all scores are 0; where labels are so few
+that no word is more common in toxic texts, all words of toxic texts are taken,
+and where zstandard can't train, the words themselves (both with a warning);
+repeated rows are scored each; of contradicting labels the largest holds; equal
+thresholds are settled for the smallest; very long texts are scored whole; an
+empty table gives no rows; columns named score, windows and toxic_windows are
+replaced, others of any name pass unchanged.
 """
 
 from __future__ import annotations
 
 import struct
+import warnings
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -105,12 +110,22 @@ _OFFSETS = struct.pack("<III", 1, 4, 8)
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """The content that zstandard's training picks from the samples; with too few of them, the samples themselves."""
+    """The content that zstandard's training picks from the samples. Where it refuses (it wants some kilobytes of
+    several samples) a warning says so, and the content is the samples themselves, each once: as few as that fit whole."""
     try:
         trained = zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
+    except zstandard.ZstdError as e:
+        warnings.warn(f"a dictionary of {len(samples)} samples is not trained ({e}); it holds the samples", stacklevel=2)
         return b"".join(dict.fromkeys(samples))[-size:]
-    return trained[trained.find(_OFFSETS, 8) + len(_OFFSETS) :]
+    return _content(trained)
+
+
+def _content(trained: bytes) -> bytes:
+    """What stands behind a trained dictionary's tables."""
+    at = trained.find(_OFFSETS, 8)
+    if at < 0:
+        raise ValueError("a trained dictionary without the offsets that end its tables")
+    return trained[at + len(_OFFSETS) :]
 
 
 def _rounds(counts: dict[bytes, int], most: int) -> list[bytes]:
@@ -154,7 +169,10 @@ def dictionaries(sample: DataFrame, window: int = WINDOW) -> Distance | None:
     seen = {label: Counter(w for own in group for w in set(own)) for label, group in texts.items()}
     n = {label: len(group) for label, group in texts.items()}
     least = min(max(3, SUPPORT * n[1]), n[1])
-    marks = {w: k for w, k in seen[1].items() if k >= least and k / n[1] >= ODDS * (seen[0][w] + 0.5) / n[0]} or seen[1]
+    marks = {w: k for w, k in seen[1].items() if k >= least and k / n[1] >= ODDS * (seen[0][w] + 0.5) / n[0]}
+    if not marks and seen[1]:
+        warnings.warn(f"no word is more common in {n[1]} toxic texts than in {n[0]} ordinary ones; all words are taken", stacklevel=2)
+        marks = dict(seen[1])
     if not marks or not seen[0]:
         return None
     size = min(64 << 10, max(1024, 3 * sum(len(w) + 2 for w in marks)))

@@ -14,8 +14,11 @@ it and hold no payload.
 
 Defined cases: a null payload is empty; a null identifier orders below all
 others and is left out of the record; rows that repeat identifier and payload
-are a response and revisits of the same identifier; an empty table gives a
-manifest without files; a null address is left out of the record.
+are a response and revisits of the same identifier (of rows that are equal in
+both, which one is the response makes no difference); a very long payload is
+one record, compressed as it is written; an empty table gives a manifest without
+files; a null address is left out of the record. Only identifier, address and
+payload are read, so other columns of any name don't matter.
 """
 
 from __future__ import annotations

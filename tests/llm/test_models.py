@@ -1,6 +1,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -89,6 +90,68 @@ def test_language_identification(spark):
     assert len(small.seen[language_id.ORDER].keys) <= 20
 
 
+def naive_symbols(text, letters):
+    """Lower-cased letters with each run of others as one blank, three blanks before and one behind."""
+    out = []
+    for c in text:
+        low = c.lower()[0] if c.isalpha() and len(c.lower()) else c
+        s = low if c.isalpha() else " "
+        if s != " " or (out and out[-1] != " "):
+            out.append(s)
+    if out and out[-1] != " ":
+        out.append(" ")
+    return [" "] * 3 + out
+
+
+def test_texts_against_a_slow_version(spark):
+    """Predicted language and cross-entropy of whole texts, from counts of letters in plain Python."""
+    rng = random.Random(21)
+    own = {"xx": ["ka", "tö", "mi", "a"], "yy": ["ka", "en", "mu"], "zz": ["ж", "зу", "ka"]}
+    rows = [(i, prose(rng, own[lang], 12) + rng.choice(["", "!", " 1 ", "\n"]), lang) for i, lang in enumerate([*own] * 12)]
+    models = language_id.train(docs(spark, rows))
+    counts, alphabet = {}, set()
+    for lang in own:
+        grams = Counter()
+        for _, text, spoken in rows:
+            if spoken == lang:
+                s = naive_symbols(text, None)
+                grams.update(tuple(s[i : i + 4]) for i in range(len(s) - 3))
+        counts[lang] = {4: grams} | {k: {g[4 - k :]: 1 for g in grams} for k in (1, 2, 3)}
+        alphabet |= set(counts[lang][1])
+    texts = [t for _, t, _ in rows[:6]] + ["Ka ka; ka", "ж", "  12 !", "", "tö KA mi x", "unknown wörds"]
+    got = language_id.identify(docs(spark, list(enumerate(texts))), models).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        s = naive_symbols(texts[r.doc_id], None)
+        if len(s) == 3:
+            assert r.lang_pred == "und" and r.score == 0
+            continue
+        h = {}
+        for lang in sorted(own):
+            p = naive_kneser_ney(counts[lang], language_id.DISCOUNT, len(alphabet))
+            h[lang] = float(np.mean([-np.log(p(tuple(s[i : i + 4]))) for i in range(len(s) - 3)]))
+        assert r.lang_pred == min(h, key=h.get)
+        assert r.cross_entropy == pytest.approx(min(h.values()), rel=1e-5)
+        share = {k: np.exp(-(v - min(h.values())) * models.sharpness) for k, v in h.items()}
+        assert r.score == pytest.approx(1 / sum(share.values()), rel=1e-4)
+
+
+def test_limits_come_from_texts_the_tables_do_not_know(spark):
+    """A large language leaves a share of its texts out of the counts, copies together; a small one keeps all, and has a limit too."""
+    rng = random.Random(22)
+    syllables = ["ka", "to", "mi", "len", "shu", "ro", "pe", "da"]
+    rows = [(i, prose(rng, syllables, 30), "big") for i in range(600)] + [(1000 + i, prose(rng, ["я", "ж", "зу"], 30), "small") for i in range(30)]
+    rows += [(2000 + i, rows[7][1], "big") for i in range(40)]
+    models = language_id.train(docs(spark, rows))
+    counted = common.stored(docs(spark, rows).where("lang = 'big'"), "t")
+    aside = counted.where(F.pmod(F.xxhash64("text"), F.lit(10)) == 0)
+    assert 20 <= aside.select("text").distinct().count() < 120
+    assert np.isfinite(models.entropy_limit).all() and models.langs == ["big", "small"]
+    fresh = [(i, prose(rng, syllables, 30)) for i in range(200)]
+    out = language_id.identify(docs(spark, fresh + [(900, "qxzv wvqx zzqj xqvw jjqz " * 5)]), models).collect()
+    assert sum(r.rejected for r in out if r.doc_id < 200) <= 6 and all(r.rejected for r in out if r.doc_id == 900)
+
+
 def test_tables_in_parts_are_those_of_all_rows(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(i, prose(rng, s, 60), lang) for i, (lang, s) in enumerate([("xx", ["ka", "to", "mi"]), ("yy", ["sch", "en", "to"])] * 20)] + [(99, "ый", "rare")]
@@ -141,6 +204,25 @@ def test_toxicity(spark):
     assert toxicity.score(docs(spark, []), model).count() == 0
 
 
+def test_dictionaries_of_few_samples_say_so():
+    with pytest.warns(UserWarning, match="is not trained"):
+        assert toxicity._dictionary([b" one ", b" two ", b" one "], 1024) == b" one  two "
+    rng = random.Random(4)
+    samples = [prose(rng, ["ka", "to", "mi", "len"], 20).encode() for _ in range(300)]
+    content = toxicity._dictionary(samples, 2048)
+    assert 100 < len(content) <= 2048 and content[-8:] in b"".join(samples)
+    with pytest.raises(ValueError, match="offsets"):
+        toxicity._content(b"\x37\xa4\x30\xec" + bytes(100))
+
+
+def test_few_labels_take_all_words(spark):
+    rows = [(0, "alpha beta gamma"), (1, "alpha beta gamma delta"), (2, "beta alpha"), (3, "")]
+    sample = docs(spark, rows).selectExpr("doc_id", "cast(doc_id = 1 as int) as label", "text")
+    with pytest.warns(UserWarning, match="all words are taken"):
+        found = toxicity.dictionaries(sample)
+    assert b" delta " in found.toxic and b" alpha " in found.ordinary
+
+
 def test_windows_cover_all_words():
     d = toxicity.Distance(b" plain text and much more of it ", b" terribly nasty remarks ", window=3)
     texts = [b"", b"one", b"one two three", b"a b c d nasty", b"terribly nasty remarks " * 10]
@@ -181,6 +263,70 @@ def test_additive_model_finds_interactions():
     assert labelled.ranking(plain.score(x[2000:]), y[2000:]) < 0.7
 
 
+def slow_fit(x, y, weight, rounds, pair_rounds, n_pairs, bins):
+    """Boosting as described, a sample and a cut at a time."""
+    ridge, rate, n, d = quality.RIDGE, quality.RATE, len(x), len(x[0])
+    p = sum(w * v for w, v in zip(weight, y, strict=True)) / sum(weight)
+    margin = [np.log(p / (1 - p))] * n
+    edges = {k: [sorted(set(np.quantile([r[j] for r in x], [i / k for i in range(1, k)]))) for j in range(d)] for k in (bins, quality.PAIR_BINS)}
+    at = lambda k, j, v: sum(v >= e for e in edges[k][j])
+
+    def leaf(members):
+        q = {i: 1 / (1 + np.exp(-margin[i])) for i in members}
+        g, h = sum(weight[i] * (y[i] - q[i]) for i in members), sum(weight[i] * q[i] * (1 - q[i]) for i in members)
+        return g, h
+
+    def worth(members):
+        g, h = leaf(members)
+        return g * g / (h + ridge)
+
+    for _ in range(rounds):
+        for j in range(d):
+            place = [at(bins, j, r[j]) for r in x]
+            groups = [(0, len(edges[bins][j]) + 1)]
+            inside = lambda lo, hi, place=place: [i for i in range(n) if lo <= place[i] < hi]
+            for _ in range(2):
+                options = [(worth(inside(lo, c)) + worth(inside(c, hi)) - worth(inside(lo, hi)), c, lo, hi) for lo, hi in groups for c in range(lo + 1, hi)]
+                if not options:
+                    break
+                gain, c, lo, hi = max(options, key=lambda o: (round(o[0], 12), -o[1]))
+                if gain <= 1e-9:
+                    break
+                groups = sorted([*(g for g in groups if g != (lo, hi)), (lo, c), (c, hi)])
+            steps = [(inside(*g), leaf(inside(*g))) for g in groups]
+            for members, (g, h) in steps:
+                for i in members:
+                    margin[i] += rate * g / (h + ridge)
+    cells = {}
+    for a, b in [(a, b) for a in range(d) for b in range(a + 1, d)]:
+        by = {}
+        for i, r in enumerate(x):
+            by.setdefault((at(quality.PAIR_BINS, a, r[a]), at(quality.PAIR_BINS, b, r[b])), []).append(i)
+        cells[a, b] = sum(worth(m) for m in by.values())
+    for _ in range(pair_rounds):
+        for a, b in sorted(cells, key=lambda ab: -cells[ab])[:n_pairs]:
+            place = [(at(quality.PAIR_BINS, a, r[a]), at(quality.PAIR_BINS, b, r[b])) for r in x]
+            options = []
+            for c in range(1, len(edges[quality.PAIR_BINS][a]) + 1):
+                for e in range(1, len(edges[quality.PAIR_BINS][b]) + 1):
+                    quarters = [[i for i in range(n) if (place[i][0] >= c, place[i][1] >= e) == q] for q in ((False, False), (False, True), (True, False), (True, True))]
+                    options.append((round(sum(worth(m) for m in quarters), 12), -c, -e, quarters))
+            steps = [(m, leaf(m)) for m in max(options, key=lambda o: o[:3])[3]]
+            for members, (g, h) in steps:
+                for i in members:
+                    margin[i] += rate * g / (h + ridge)
+    return 1 / (1 + np.exp(-np.array(margin)))
+
+
+def test_boosting_against_a_slow_version():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.random((50, 3)), 2)
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.4)).astype(float)
+    weight = np.where(y == 1, 1.5, 0.5)
+    model = quality.fit(x, y, weight, rounds=3, pair_rounds=2, n_pairs=2, bins=6)
+    assert model.score(x) == pytest.approx(slow_fit(x.tolist(), y.tolist(), weight.tolist(), 3, 2, 2, 6), abs=1e-9)
+
+
 def test_quality(spark):
     rng = random.Random(7)
     rows = [(100 + i, prose(rng, ["ka", "to", "mi"], 60) if i % 3 else "BUY!! NOW!! " * 30) for i in range(300)]

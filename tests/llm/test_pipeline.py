@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from cirrostrat.llm import common, registry
 
-from .helpers import DOCS
+from .helpers import DOCS, ODD
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
@@ -21,7 +21,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test
 def test_query_against_sql(spark, name):
     got = registry.QUERIES[name](spark, SF).toPandas()
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = c.sql(registry.ORACLE_SQL[name]).df()
     names = sorted(want.columns)
@@ -72,3 +72,22 @@ def test_stages_on_nothing(spark, tables):
     for _, stage in corpus_pipeline.STAGES:
         docs = common.stored(stage(spark, docs, tables), "test")
     assert docs.count() == 0
+
+
+def test_odd_rows_pass_the_stages(spark, tables):
+    """Nulls, empty and very long texts and repeated rows, with a column whose name the operators use themselves."""
+    docs = common.read_table(spark, tables, "documents").unionByName(spark.createDataFrame([(*r, None, None, None) for r in ODD], DOCS)).selectExpr("*", "doc_id * 2 as score", "text as original")
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = common.stored(stage(spark, before, tables), "test")
+        assert after.columns == docs.columns
+        assert after.where("not (score <=> doc_id * 2) or not (original <=> text)").count() == 0
+        assert after.exceptAll(before).count() == 0, name
+        before = after
+    exact = common.stored(corpus_pipeline.exact_dedup_stage(spark, docs, tables), "test")
+    assert exact.where("coalesce(text, '') = ''").count() == 1 and exact.where("text = 'same text'").count() == 1
+    assert exact.where("text = 'same text'").first().doc_id == 5
+    near = corpus_pipeline.near_dedup_stage(spark, exact, tables)
+    assert near.where("doc_id in (7, 8)").count() == 2  # very long texts have no company
+    pieces = common.stored(corpus_pipeline.pack_stage(spark, exact, tables), "test")
+    assert pieces.where("doc_id = 7").agg({"length": "sum"}).first()[0] == pieces.where("doc_id = 7").first().doc_tokens > 60000
