@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import folders
 from ..functions import physics, tempering
 from ..schema import POINT, VARIABLES
 
@@ -243,12 +244,11 @@ class Analysis:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the checkpoint folder, where there is one; a step's state is used twice by the next."""
+    """df with its lineage cut in the shared folder; a step's state is used twice by the next."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return df.checkpoint() if base else df.persist()
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folders.shared_folder(spark))
+    return df.checkpoint()
 
 
 def assimilate(state: DataFrame, obs: DataFrame, grid: DataFrame, *, method: str = "TEnKF", ntemp: int = 1, alpha_s: float = 2.0, scales: tuple[float, float, float] = (10.0, 10.0, 4.0), cut=stored, **options) -> Analysis:

@@ -631,3 +631,49 @@ def experiment_comparison(spark, sf_dir):
     obs, truth, prior = _obs(spark, sf_dir, 2)
     rows = single_obs.sweep(obs, _combos(spark, _MANY[:2]), fx.grid(spark), prior, truth, steps=2)
     return slices.pivoted(rows, ["obs_id", "var"], "ntemp", [1, 2], "rmse_a")
+
+
+@query(f"WITH {o.STATE}, {_Y}, t AS (SELECT * FROM y WHERE m = 3) SELECT 'x' AS plane, j AS a, k AS b, {_r('y')} FROM t WHERE i = 1 UNION ALL SELECT 'y', i, k, {_r('y')} FROM t WHERE j = 2 UNION ALL SELECT 'z', i, j, {_r('y')} FROM t WHERE k = 1")
+def plane_sections(spark, sf_dir):
+    """A section along each axis."""
+    y = ensemble.truth_of(ensemble.with_reflectivity(fx.state(spark, sf_dir)), fx.TRUTH)
+    parts = [slices.plane(y, **{axis: at}).select(F.lit(name).alias("plane"), F.col(a).alias("a"), F.col(b).alias("b"), "y") for name, axis, at, a, b in (("x", "i", 1, "j", "k"), ("y", "j", 2, "i", "k"), ("z", "k", 1, "i", "j"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"SELECT l_linenumber, count(nullif(l_discount, 0)) AS n, {_r('avg(nullif(l_discount, 0)) AS mean', 'min(nullif(l_tax, 0)) AS least')} FROM lineitem GROUP BY l_linenumber")
+def zeros_left_out(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "lineitem").select("l_linenumber", slices.without_zero(F.col("l_discount")).alias("d"), slices.without_zero(F.col("l_tax")).alias("t"))
+    return rows.groupBy("l_linenumber").agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.min("t").alias("least"))
+
+
+_QC = [(e, t, m) for e in (False, True) for t in (False, True) for m in ("and", "or") if m == "and" or (e and t)]
+
+
+def _sql_qc() -> str:
+    parts = []
+    for e, t, m in _QC:
+        tests = [*(["most >= 33"] if e else []), *(["tr.y >= 33"] if t else [])]
+        name = "none" if not tests else f"ET_{m}" if len(tests) == 2 else "E" if e else "T"
+        parts.append(f"SELECT '{name}' AS code, count(*) FILTER (WHERE {f' {m} '.join(tests) or 'TRUE'}) AS n FROM seen")
+    return f"WITH {o.STATE}, {o.SPLIT}, tr AS (SELECT *, {o.h()} AS y FROM truth), seen AS (SELECT * FROM tr JOIN (SELECT i, j, k, max({o.h()}) AS most FROM prior GROUP BY i, j, k) USING (i, j, k)) {' UNION ALL '.join(parts)}".replace("tr.y >=", "y >=")
+
+
+@query(_sql_qc())
+def quality_control_codes(spark, sf_dir):
+    """Observations that each setting of quality control lets pass, by its code."""
+    _, truth, prior = _split(spark, sf_dir)
+    out = None
+    for e, t, m in _QC:
+        obs = ensemble.observations(truth, prior, fx.grid(spark), dbz_min=33.0, filter_ensemble=e, filter_truth=t, mode=m)
+        part = obs.agg(F.count(F.lit(1)).alias("n")).select(F.lit(slices.qc_code(e, t, m)).alias("code"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"WITH {_BASE}, {o.combos(_ONE)}, {o.PAIRS} SELECT obs_id, combo_id, gi, gj, gk, {_r('d2', 'rho')} FROM (SELECT p.*, g.z_km AS gz FROM pairs p JOIN grid g ON g.i = gi AND g.j = gj AND g.k = gk) WHERE abs(gi - i) <= ceil(0.5e0 * lx / 2) AND abs(gj - j) <= ceil(0.5e0 * ly / 2) AND abs(gz - z_km) <= 0.5e0 * lz")
+def subdomain_box(spark, sf_dir):
+    """Pairs within an index box about each observation, of half a scale."""
+    obs, *_ = _obs(spark, sf_dir)
+    grid = fx.grid(spark)
+    return neighbours.in_box(neighbours.localised_pairs(obs, _combos(spark, _ONE), grid), grid, 0.5).select("obs_id", "combo_id", "gi", "gj", "gk", "d2", "rho")

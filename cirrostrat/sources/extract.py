@@ -263,11 +263,16 @@ def job_members(spark: SparkSession, config: dict) -> DataFrame:
     first, last = (datetime.strptime(paths[k], DATES) for k in ("init_date", "end_date"))
     times = pd.date_range(first, last, freq=str(paths.get("freq", "1h")).replace("H", "h"))
     names = member_names(ensemble["mem_ini"], ensemble["mem_end"], ensemble.get("pad", 0))
-    rows = []
-    for when in times.to_pydatetime():
-        found = member_paths(pattern, names, when, init=paths.get("start", ""), date_format=paths.get("date_fmt", DATES))
-        rows += [(when, n, m, p) for n, (m, p) in enumerate(found)]
-    return spark.createDataFrame(rows, "valid_time timestamp, m int, member string, path string")
+    start, form = paths.get("start", ""), paths.get("date_fmt", DATES)
+
+    def named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for when in b["valid_time"]:
+                found = member_paths(pattern, names, when.to_pydatetime(), init=start, date_format=form)
+                yield pd.DataFrame({"valid_time": when, "m": np.arange(len(found), dtype=np.int32), "member": [m for m, _ in found], "path": [p for _, p in found]})
+
+    # The driver lists times; members of a time are named by tasks.
+    return spark.createDataFrame([(t,) for t in times.to_pydatetime()], "valid_time timestamp").mapInPandas(named, "valid_time timestamp, m int, member string, path string")
 
 
 def job(spark: SparkSession, config: dict) -> str:
