@@ -2,14 +2,18 @@
 
 Each task collects digests of its rows in a memtable, which folds repeated
 digests together and is flushed as a sorted run (so a hot text leaves a task
-once a flush, not once a row). Runs are Parquet files with Bloom filters on the
-digest. Compaction merges runs to one level, sorted and dealt by digest, with
-the extreme identifier and the number of rows for each digest.
-
-A lookup asks a small filter of the digests that several rows have. Rows that
+once a flush, not once a row). Runs are Parquet files; each has a filter of its
+digests, made when it is first asked. Compaction merges runs to two of level 1,
+sorted and dealt by digest, with the extreme identifier and the number of rows
+for each digest: the digests that one row has, and those that several have.
+
+A lookup asks the runs' filters first; only digests that one may hold are joined
+with that run. Where all rows of a table are in the index, each has its digest
+there, so the filter of the run of several rows is the one that tells: rows that
 it rules out are the only ones of their text. The rest are verified by their
 bytes against the row that stays; a digest shared by different texts is
-resolved by grouping on the texts themselves.
+resolved by grouping on the texts themselves. ``unseen`` looks up the rows of
+another table, and verifies its hits by their bytes too.
 
 Defined cases: null texts count as empty; null identifiers order below all
 others; of repeated rows with the extreme identifier one stays; an empty table
@@ -76,6 +80,26 @@ def _flushed(batches: Iterator[pa.RecordBatch], keep: str, capacity: int) -> Ite
         yield run(flush()[0])
 
 
+ENTRIES = "key long, best long, n long"
+
+
+class Run:
+    """A sorted run in a folder, and the filter of its digests."""
+
+    def __init__(self, spark, path: str) -> None:
+        self.spark, self.path = spark, path
+        self._filter: filters.KeyFilter | None = None
+
+    def entries(self) -> DataFrame:
+        """key, best identifier, rows. A run that got no rows has no files."""
+        return self.spark.read.schema(ENTRIES).parquet(self.path)
+
+    def filter(self, most_bits: int = filters.MOST_BITS) -> filters.KeyFilter:
+        if self._filter is None or self._filter.bits > most_bits:
+            self._filter = filters.filter_of(self.entries(), "key", most_bits=most_bits)
+        return self._filter
+
+
 class DigestIndex:
     """A log-structured merge index of a folder: level 0 has runs as flushed, level 1 what compaction made of them."""
 
@@ -84,36 +108,82 @@ class DigestIndex:
             raise ValueError("keep: smallest or largest")
         self.spark, self.path, self.keep, self.bits, self.memtable = spark, path, keep, bits, memtable
         self.written = 0
-        self.runs: list[str] = []
-        self.level1: str | None = None
+        self.runs: list[Run] = []
+        self.level1: dict[str, Run] = {}
 
-    def _write(self, df: DataFrame, level: int) -> str:
-        at = f"{self.path}/level{level}-{self.written}"
+    def _folder(self, level: int) -> str:
         self.written += 1
-        df.write.option("parquet.bloom.filter.enabled#key", "true").option("compression", "zstd").parquet(at)
-        return at
+        return f"{self.path}/level{level}-{self.written}"
+
+    def _best(self):
+        return F.max("best") if self.keep == "largest" else F.min("best")
 
     def insert(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> None:
         """Flushes the digests of docs as level-0 runs."""
         keep, memtable = self.keep, self.memtable
         pairs = docs.select(digest(_text(text), self.bits).alias("key"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LOWEST)).alias("id"))
-        self.runs.append(self._write(pairs.mapInArrow(lambda it: _flushed(it, keep, memtable), "key long, best long, n long"), 0))
+        run = Run(self.spark, self._folder(0))
+        pairs.mapInArrow(lambda it: _flushed(it, keep, memtable), ENTRIES).write.option("compression", "zstd").parquet(run.path)
+        self.runs.append(run)
 
     def compact(self) -> None:
-        """Merges level 1 and all level-0 runs to a new level 1."""
-        old = self.runs + [x for x in (self.level1,) if x]
-        best = F.max("best") if self.keep == "largest" else F.min("best")
-        merged = self.spark.read.schema("key long, best long, n long").parquet(*old).groupBy("key").agg(best.alias("best"), F.sum("n").alias("n"))
-        self.level1 = self._write(merged.sortWithinPartitions("key"), 1)
-        for x in old:
+        """Merges all runs to a new level 1, in one pass."""
+        old = [r.path for r in [*self.runs, *self.level1.values()]]
+        merged = self.spark.read.schema(ENTRIES).parquet(*old).groupBy("key").agg(self._best().alias("best"), F.sum("n").alias("n"))
+        top = self._folder(1)
+        split = merged.withColumn("rows", F.when(F.col("n") > 1, "several").otherwise("one")).sortWithinPartitions("rows", "key")
+        split.write.option("compression", "zstd").partitionBy("rows").parquet(top)
+        self.level1 = {}
+        for name in ("one", "several"):
+            run = Run(self.spark, f"{top}/rows={name}")
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run.path)
+            files = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+            files.mkdirs(at)  # there may be no such digest
+            self.level1[name] = run
+        for x in {x.partition("/rows=")[0] for x in old}:
             common.delete_folder(self.spark, x)
         self.runs = []
 
     def entries(self) -> DataFrame:
         """key, best identifier, rows; compacted."""
+        return self.of_one().entries().unionByName(self.of_several().entries())
+
+    def of_one(self) -> Run:
+        """The compacted run of digests that one row has."""
         if self.runs or not self.level1:
             self.compact()
-        return self.spark.read.schema("key long, best long, n long").parquet(self.level1)
+        return self.level1["one"]
+
+    def of_several(self) -> Run:
+        """The compacted run of digests that several rows have."""
+        if self.runs or not self.level1:
+            self.compact()
+        return self.level1["several"]
+
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """key, best identifier and rows of the keys (a column of longs) that are in the index, compacted or not. Each
+        run's filter is asked before its entries are joined."""
+        found = None
+        for run in [*self.runs, *self.level1.values()]:
+            some = keys.select("key").where(filters.may_hold(self.spark, run.filter())("key"))
+            part = run.entries().join(some, "key", "left_semi")
+            found = part if found is None else found.unionByName(part)
+        if found is None:
+            return self.spark.createDataFrame([], ENTRIES)
+        return found.groupBy("key").agg(self._best().alias("best"), F.sum("n").alias("n"))
+
+
+def unseen(docs: DataFrame, index: DigestIndex, earlier: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs whose text no row of earlier has, as they were. index: of earlier, compacted or not. Hits are
+    verified by their bytes; texts of earlier rows are read only where the index says that a digest meets."""
+    spark = docs.sparkSession
+    rows, (_, body), back = common.renamed(docs, doc_id, text)
+    rows = rows.withColumn("key", digest(_text(body), index.bits))
+    hits = common.stored(index.lookup(rows).select("key"), "dedup-lookup")
+    may_hold = filters.may_hold(spark, filters.filter_of(hits, "key"))
+    texts = earlier.select(digest(_text(text), index.bits).alias("key"), _text(text).alias("body")).where(may_hold("key")).distinct()
+    known = rows.where(may_hold("key")).join(texts, (rows["key"] == texts["key"]) & (_text(body) == texts["body"]), "left_anti")
+    return rows.where(~may_hold("key")).select(back).unionByName(known.select(back))
 
 
 def exact_groups(docs: DataFrame, *, keep: str = "smallest", doc_id: str = "doc_id", text: str = "text", bits: int = KEY_BITS, memtable: int = MEMTABLE, filter_bits: int = filters.MOST_BITS) -> DataFrame:
@@ -122,8 +192,9 @@ def exact_groups(docs: DataFrame, *, keep: str = "smallest", doc_id: str = "doc_
     docs = docs.drop("keep_id", "group_size", "kept")
     index = DigestIndex(spark, common.new_folder(spark, "digests"), keep=keep, bits=bits, memtable=memtable)
     index.insert(docs, doc_id=doc_id, text=text)
-    several = index.entries().where("n > 1")
-    may_hold = filters.may_hold(spark, filters.filter_of(several, "key", most_bits=filter_bits))
+    run = index.of_several()
+    several = run.entries()
+    may_hold = filters.may_hold(spark, run.filter(filter_bits))
 
     # Columns of docs travel in a struct, so that no name of theirs meets a name of ours.
     others = F.struct(F.lit(0), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text))

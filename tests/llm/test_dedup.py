@@ -51,6 +51,33 @@ def test_runs_and_compaction(spark, tmp_path):
     assert got == {digest(str(i)): (i, 5) for i in range(10) if i != 3} | {digest("3"): (-1, 6), digest("new"): (99, 1)}
 
 
+@pytest.mark.parametrize("bits", [64, 3])
+def test_lookups_ask_the_runs(spark, tmp_path, bits, monkeypatch):
+    """Rows of a later table against an index of compacted and of fresh runs; collisions of digests are told apart."""
+    rng = random.Random(6)
+    earlier = [(i, f"text {rng.randrange(60)}") for i in range(100)] + [(200, None), (201, "only one")]
+    later = [*((1000 + i, f"text {rng.randrange(120)}") for i in range(80)), (None, "only one"), (2000, ""), (2001, "never"), (2001, "never"), *ODD]
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", bits=bits, memtable=8)
+    index.insert(docs(spark, earlier[:50]))
+    index.compact()
+    index.insert(docs(spark, earlier[50:]))
+    assert len(index.runs) == 1 and set(index.level1) == {"one", "several"}
+    asked = []
+    ask = filters.may_hold
+    monkeypatch.setattr(filters, "may_hold", lambda spark, found: asked.append(found) or ask(spark, found))
+    keys = docs(spark, later).select(exact_dedup.digest(exact_dedup._text("text"), bits).alias("key"))
+    index.lookup(keys).count()
+    assert asked == [r.filter() for r in [*index.runs, *index.level1.values()]]
+    for _ in range(2):
+        seen = {t or "" for _, t in earlier}
+        out = exact_dedup.unseen(docs(spark, later).selectExpr("*", "1 as key", "'x' as body"), index, docs(spark, earlier))
+        assert out.columns[-2:] == ["key", "body"]
+        assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(r for r in later if (r[1] or "") not in seen)
+        index.compact()
+    empty = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/empty")
+    assert exact_dedup.unseen(docs(spark, later), empty, docs(spark, [])).count() == len(later)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(a, a + 1) for a in range(0, 60) if a % 20] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(5, 5)]
