@@ -88,6 +88,7 @@ def test_odd_rows_pass_the_stages(spark, tables):
     assert exact.where("coalesce(text, '') = ''").count() == 1 and exact.where("text = 'same text'").count() == 1
     assert exact.where("text = 'same text'").first().doc_id == 5
     near = corpus_pipeline.near_dedup_stage(spark, exact, tables)
-    assert near.where("doc_id in (7, 8)").count() == 2  # very long texts have no company
+    assert near.where("doc_id in (7, 8) and length(text) > 100000").count() == 2  # very long texts have no company
     pieces = common.stored(corpus_pipeline.pack_stage(spark, exact, tables), "test")
-    assert pieces.where("doc_id = 7").agg({"length": "sum"}).first()[0] == pieces.where("doc_id = 7").first().doc_tokens > 60000
+    long = pieces.where("doc_id = 7 and doc_tokens > 60000")
+    assert long.agg({"length": "sum"}).first()[0] == long.first().doc_tokens
