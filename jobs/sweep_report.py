@@ -72,6 +72,7 @@ def run(spark: SparkSession, tables: str, out: str, config: dict | None = None,
     """Analyses, writes metrics and report, and returns the report."""
     config = config or load()
     state, grid = fixtures.domain(spark, tables)
+    say(1, "read %s/orders.parquet: %d grid points", tables, grid.count())
     metrics = analyse(state, grid, config, only)
     metrics.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("method", "ntemp").parquet(f"{out}/metrics")
     stored = spark.read.schema(metrics.schema).parquet(f"{out}/metrics")
