@@ -11,10 +11,12 @@ n-grams, and pairs go through
 
 - the length filter: the smaller set has the threshold's part of the larger;
 - the positional filter: what can follow the shared n-gram in both is enough;
-- the suffix filter: sets are cut into ``CELLS`` parts by hash, and the sum of
-  the smaller parts bounds what both share. It cuts the whole sets, not what
-  follows the shared n-gram, so that a class has one row of parts and not one
-  for each n-gram of its prefix;
+- the suffix filter: both sets are cut at the first shared n-gram. What is before
+  it in one can only be met before it in the other, and what follows it only in
+  what follows; both sides are cut again into ``CELLS`` parts by hash, and the sum
+  of the smaller parts, and one for the n-gram, bounds what both share. A class
+  has one row of parts and a byte for each n-gram of its prefix, from which the
+  parts at any place come;
 
 then each pair left is verified once, on the whole sets of the two texts.
 
@@ -140,6 +142,10 @@ def _list(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
+def _binary(values: np.ndarray, offsets: np.ndarray) -> pa.BinaryArray:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
 def _edges(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)))
 
@@ -167,13 +173,16 @@ def _sets(batches: Iterator[pa.RecordBatch], how: Similarity, shared) -> Iterato
             edge = _edges(size)
             total = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(words.mix(g * np.uint64(m) + np.uint64(1))))) for m in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)]
             d1, d2 = (pa.array((t[edge[1:]] - t[edge[:-1]]).view(np.int64)) for t in total)
-            parts = np.bincount(doc * CELLS + (g >> np.uint64(64 - 5)).astype(np.int64), minlength=n_docs * CELLS).astype(np.int32)
+            # Bits that neither the order nor the table of counts goes by.
+            cell = (g >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
+            parts = np.bincount(doc * CELLS + cell, minlength=n_docs * CELLS).astype(np.int32)
             p = how.prefix(size)
             at = np.arange(len(g)) - edge[doc]
-            head = g[at < p[doc]].view(np.int64)
+            begins = at < p[doc]
+            head = g[begins].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*(rows.column(c) for c in ("doc_id", "h", "h2")), pa.array(size), d1, d2, _list(head, _edges(p)), _list(parts, np.arange(n_docs + 1) * CELLS)],
-                ["doc_id", "h", "h2", "n", "d1", "d2", "prefix", "parts"],
+                [*(rows.column(c) for c in ("doc_id", "h", "h2")), pa.array(size), d1, d2, _list(head, _edges(p)), _list(parts, np.arange(n_docs + 1) * CELLS), _binary(cell[begins].astype(np.uint8), _edges(p))],
+                ["doc_id", "h", "h2", "n", "d1", "d2", "prefix", "parts", "cells"],
             )
 
 
@@ -188,6 +197,40 @@ def _entries(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBat
     words.give_back()
 
 
+def _cut_parts(b: pa.RecordBatch, side: str) -> np.ndarray:
+    """For each row 2 * CELLS numbers: the parts of the side's set before the n-gram at its place, and after it."""
+    rows = np.arange(b.num_rows)
+    cells = b.column(f"{side}_cells").cast(pa.binary())
+    _, offsets, data = cells.buffers()
+    start = np.frombuffer(offsets, np.int32)[cells.offset : cells.offset + b.num_rows].astype(np.int64)
+    values = np.frombuffer(data, np.uint8)
+    pos = b.column(f"{side}_pos").to_numpy().astype(np.int64)
+    row = np.repeat(rows, pos)
+    head = values[start[row] + np.arange(len(row)) - np.repeat(np.cumsum(pos) - pos, pos)].astype(np.int64)
+    before = np.bincount(row * CELLS + head, minlength=b.num_rows * CELLS).reshape(-1, CELLS)
+    after = _flat(b.column(f"{side}_parts"))[0].reshape(-1, CELLS) - before
+    after[rows, values[start + pos]] -= 1
+    return np.concatenate((before, after), axis=1).astype(np.int32)
+
+
+def _cut_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of side a, cut at the shared n-gram."""
+    for b in batches:
+        if b.num_rows:
+            cut = _cut_parts(b, "a").reshape(-1)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "b_pos", "a_n")), _list(cut, np.arange(b.num_rows + 1) * 2 * CELLS)], ["a", "b", "b_pos", "a_n", "a_cut"])
+
+
+def _suffix_filter(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets, cut at the shared n-gram, leave room for enough in common."""
+    for b in batches:
+        if b.num_rows:
+            a_cut = _flat(b.column("a_cut"))[0].reshape(-1, 2 * CELLS)
+            most = np.minimum(a_cut, _cut_parts(b, "b")).sum(axis=1, dtype=np.int64) + 1
+            both = b.column("a_n").to_numpy() + b.column("b_n").to_numpy()
+            yield b.select(["a", "b"]).filter(pa.array(most * (how.num + how.den) >= both * how.num))
+
+
 def _arrays(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """The whole set of each text, as sorted hashes."""
     powers = words.Powers()
@@ -243,7 +286,7 @@ class Join:
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         shared = common.Shared(self.spark, counts(self.docs, how.n, count_bits or count_cells(self.docs)))
-        schema = "doc_id long, h long, h2 long, n long, d1 long, d2 long, prefix array<long>, parts array<int>"
+        schema = "doc_id long, h long, h2 long, n long, d1 long, d2 long, prefix array<long>, parts array<int>, cells binary"
         h, h2 = row_hashes()
         rows = self.docs.select("doc_id", h.alias("h"), h2.alias("h2"), "text").mapInArrow(lambda it: _sets(it, how, shared), schema)
         self.sets = common.stored(rows.withColumn("row", F.monotonically_increasing_id()), "jaccard-sets")
@@ -267,26 +310,30 @@ class Join:
         return self.how.lengths(a, c) & (F.least(a - F.col("pos"), c - F.col(f"{b}pos")) >= self.how.overlap(a, c))
 
     def _pairs(self, left: DataFrame, right: DataFrame, *extra: Column) -> DataFrame:
+        """Pairs of classes that share a prefix n-gram, once for each: a, b, a_pos, b_pos."""
         names = [x for x in right.columns if x != "token"]
         joined = left.join(right.select("token", *(F.col(x).alias(f"b_{x}") for x in names)), "token")
         for x in (self._may_match(), *extra):
             joined = joined.where(x)
-        return joined.select(F.least("c", "b_c").alias("a"), F.greatest("c", "b_c").alias("b")).where("a <> b").distinct()
+        low, pos, other = F.col("c") < F.col("b_c"), F.col("pos"), F.col("b_pos")
+        places = (F.when(low, pos).otherwise(other).alias("a_pos"), F.when(low, other).otherwise(pos).alias("b_pos"))
+        return joined.where("c <> b_c").select(F.least("c", "b_c").alias("a"), F.greatest("c", "b_c").alias("b"), *places)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs of classes (a < b) that are similar enough, with their intersection and union."""
         how = self.how
-        found = common.stored(pairs, "jaccard-pairs")
+        # All sets have one order, so the smallest places on both sides are those of the first n-gram they share.
+        found = common.stored(pairs.groupBy("a", "b").agg(F.min("a_pos").alias("a_pos"), F.min("b_pos").alias("b_pos")), "jaccard-pairs")
         # A class of a large group may be in very many pairs.
         some = common.stored(found.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").count(), "jaccard-degrees")
         crowded = filters.crowded_filter(some.where(F.col("count") > filters.HOT), "row")
         # Suffix filter, before any text is fetched.
-        parts = self.sets.select("row", "n", "parts").join(some.select("row"), "row")
-        pairs = found
-        for side in ("a", "b"):
-            pairs = filters.spread_join(pairs, parts.select(F.col("row").alias(side), F.col("n").alias(f"{side}_n"), F.col("parts").alias(f"{side}_parts")), (side,), ("a", "b"), crowded)
-        most = F.aggregate(F.zip_with("a_parts", "b_parts", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-        candidates = common.stored(pairs.where(most >= how.overlap(F.col("a_n"), F.col("b_n"))).select("a", "b"), "jaccard-candidates")
+        parts = self.sets.select("row", "n", "parts", "cells").join(some.select("row"), "row")
+        own = lambda side: parts.select(F.col("row").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", "parts", "cells")))
+        pairs = filters.spread_join(found, own("a"), ("a",), ("a", "b"), crowded)
+        pairs = pairs.mapInArrow(_cut_first, "a long, b long, b_pos int, a_n long, a_cut array<int>")
+        pairs = filters.spread_join(pairs, own("b"), ("b",), ("a", "b"), crowded)
+        candidates = common.stored(pairs.mapInArrow(lambda it: _suffix_filter(it, how), "a long, b long"), "jaccard-candidates")
         classes = candidates.select(F.explode(F.array("a", "b")).alias("row")).distinct()
         wanted = common.stored(self.sets.select("row", "h", "h2").join(classes, "row"), "jaccard-wanted")
         may_hold = filters.may_hold(self.spark, filters.filter_of(wanted, "h"))
@@ -310,7 +357,7 @@ class Join:
         small = self.entries.where(F.col("size") <= self.big)
         large = self.entries.where(F.col("size") > self.big)
         pivots = large.groupBy("token").agg(F.min(F.struct("pos", "c", "n", "size")).alias("p")).select("token", "p.pos", "p.c", "p.n", "p.size")
-        pairs = self._pairs(small, small, F.col("c") < F.col("b_c")).unionByName(self._pairs(large, pivots)).distinct()
+        pairs = self._pairs(small, small, F.col("c") < F.col("b_c")).unionByName(self._pairs(large, pivots))
         links = self.verified(pairs).select("a", "b")
         known = common.stored(components.connected(links), "jaccard-components")
         if large.limit(1).count():
