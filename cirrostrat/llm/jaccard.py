@@ -213,20 +213,11 @@ def _cut_parts(b: pa.RecordBatch, side: str) -> np.ndarray:
     return np.concatenate((before, after), axis=1).astype(np.int32)
 
 
-def _cut_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of side a, cut at the shared n-gram."""
-    for b in batches:
-        if b.num_rows:
-            cut = _cut_parts(b, "a").reshape(-1)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "b_pos", "a_n")), _list(cut, np.arange(b.num_rows + 1) * 2 * CELLS)], ["a", "b", "b_pos", "a_n", "a_cut"])
-
-
 def _suffix_filter(batches: Iterator[pa.RecordBatch], how: Similarity) -> Iterator[pa.RecordBatch]:
     """The pairs whose sets, cut at the shared n-gram, leave room for enough in common."""
     for b in batches:
         if b.num_rows:
-            a_cut = _flat(b.column("a_cut"))[0].reshape(-1, 2 * CELLS)
-            most = np.minimum(a_cut, _cut_parts(b, "b")).sum(axis=1, dtype=np.int64) + 1
+            most = np.minimum(_cut_parts(b, "a"), _cut_parts(b, "b")).sum(axis=1, dtype=np.int64) + 1
             both = b.column("a_n").to_numpy() + b.column("b_n").to_numpy()
             yield b.select(["a", "b"]).filter(pa.array(most * (how.num + how.den) >= both * how.num))
 
@@ -330,9 +321,9 @@ class Join:
         # Suffix filter, before any text is fetched.
         parts = self.sets.select("row", "n", "parts", "cells").join(some.select("row"), "row")
         own = lambda side: parts.select(F.col("row").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", "parts", "cells")))
-        pairs = filters.spread_join(found, own("a"), ("a",), ("a", "b"), crowded)
-        pairs = pairs.mapInArrow(_cut_first, "a long, b long, b_pos int, a_n long, a_cut array<int>")
-        pairs = filters.spread_join(pairs, own("b"), ("b",), ("a", "b"), crowded)
+        pairs = found
+        for side in ("a", "b"):  # one Python pass after both joins: workers of each pass stay alive beside the engine
+            pairs = filters.spread_join(pairs, own(side), (side,), ("a", "b"), crowded)
         candidates = common.stored(pairs.mapInArrow(lambda it: _suffix_filter(it, how), "a long, b long"), "jaccard-candidates")
         classes = candidates.select(F.explode(F.array("a", "b")).alias("row")).distinct()
         wanted = common.stored(self.sets.select("row", "h", "h2").join(classes, "row"), "jaccard-wanted")
