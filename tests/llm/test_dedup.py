@@ -1,5 +1,4 @@
 import hashlib
-import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -161,47 +160,6 @@ def test_all_links(spark):
     assert sorted((r.both, r.either) for r in links.collect()) == want
 
 
-def test_suffix_filter_by_brute_force():
-    """The bound is that of both sets cut at the shared n-gram, never below what they share, and no pair is lost."""
-    rng = random.Random(12)
-    how, sets = jaccard.Similarity(1, 4, 5), []
-    for _ in range(8):
-        base = rng.sample(range(1000), rng.randrange(1, 120))
-        sets += [sorted({rng.randrange(1000) if rng.random() < 0.08 else x for x in base}) for _ in range(6)]
-    cell = lambda x: x * 7 % jaccard.CELLS
-    count = lambda xs: [sum(cell(x) == c for x in xs) for c in range(jaccard.CELLS)]
-    prefix = [s[: int(how.prefix(np.array([len(s)]))[0])] for s in sets]
-    found = []
-    for i, j in itertools.combinations(range(len(sets)), 2):
-        shared = sorted(set(prefix[i]) & set(prefix[j]))
-        found += [(i, j, prefix[i].index(t), prefix[j].index(t), t) for t in (shared[:1] + shared[-1:])]  # any shared one will do
-    column = lambda values, kind: pa.array(values, kind)
-    side = lambda name, at, pos: {
-        name: column([r[at] for r in found], pa.int64()),
-        f"{name}_pos": column([r[pos] for r in found], pa.int32()),
-        f"{name}_n": column([len(sets[r[at]]) for r in found], pa.int64()),
-        f"{name}_parts": column([count(sets[r[at]]) for r in found], pa.list_(pa.int32())),
-        f"{name}_cells": column([bytes(map(cell, prefix[r[at]])) for r in found], pa.binary()),
-    }
-    joined = pa.RecordBatch.from_pydict(side("a", 0, 2) | side("b", 1, 3))
-    passed = Counter()
-    for piece in (joined.slice(0, 7), joined.slice(7)):  # columns with an offset
-        for out in jaccard._suffix_filter(iter([piece]), how):
-            passed.update(zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True))
-    want, whole = Counter(), 0
-    for i, j, _, _, t in found:
-        halves = [([x for x in sets[k] if x < t], [x for x in sets[k] if x > t]) for k in (i, j)]
-        most = 1 + sum(min(x, y) for h in (0, 1) for x, y in zip(count(halves[0][h]), count(halves[1][h]), strict=True))
-        both = len(set(sets[i]) & set(sets[j]))
-        assert most >= both
-        enough = lambda n: n * 9 >= 4 * (len(sets[i]) + len(sets[j]))
-        whole += enough(sum(map(min, count(sets[i]), count(sets[j]))))
-        want[i, j] += enough(most)
-        if both * 5 >= 4 * len(set(sets[i]) | set(sets[j])):
-            assert passed[i, j]
-    assert passed == +want and sum(want.values()) < whole
-
-
 def test_keep_one(spark):
     rows = ODD + near_copies(random.Random(4), 8, 6, 1)
     clash = docs(spark, rows).selectExpr("*", "1 as h", "2 as n", "3 as component_id")
