@@ -107,6 +107,16 @@ def update_points(x: np.ndarray, has: np.ndarray, at: np.ndarray, obs_at: np.nda
     return out
 
 
+def tile_size(grid: DataFrame, reach: float, most: int) -> float:
+    """The side of a tile: twice the reach at least, and as wide as points that stand evenly give three quarters of most
+    (runs a job; the driver holds the extent of the grid)."""
+    x0, x1, y0, y1, n = grid.agg(F.min("x_km"), F.max("x_km"), F.min("y_km"), F.max("y_km"), F.count(F.lit(1))).first()
+    if x0 is None or y0 is None:
+        return 2 * reach
+    width, height, share = x1 - x0, y1 - y0, 0.75 * most / n
+    return max(2 * reach, math.sqrt(width * height * share) if width and height else max(width, height) * share)
+
+
 def parts_of(grid: DataFrame, size: float, most: int) -> tuple[DataFrame, DataFrame]:
     """grid with the columns part_x, part_y, level (a cell of the tile grid of that size, halved level times), and the
     parts with their tile (tx, ty). Tiles are cut in four where they have more than most points."""

@@ -25,6 +25,7 @@ from ..schema import POINT, VARIABLES
 
 KEYS = ("obs_id", "combo_id")
 CELL = (*KEYS, "gi", "gj", "gk")
+META = ("method", "ntemp", "alpha_s", "lx", "ly", "lz", "yo", "yo_clean", "i", "j", "k")
 
 
 def with_members(pairs: DataFrame, prior: DataFrame) -> DataFrame:
@@ -91,18 +92,24 @@ def metrics(cells: DataFrame) -> DataFrame:
         for tag in "fa":
             e, s = F.col(f"m{tag}_{x}") - F.col(f"t_{x}"), F.col(f"s{tag}_{x}")
             aggregates += [stats.rmse(e).alias(f"rmse_{tag}_{x}"), F.avg(s).alias(f"spread_{tag}_{x}"), stats.weighted_rmse(e, F.col("rho")).alias(f"rmse_{tag}_w_{x}"), stats.weighted(s, F.col("rho")).alias(f"spread_{tag}_w_{x}")]
-    meta = ("method", "ntemp", "alpha_s", "lx", "ly", "lz", "yo", "yo_clean", "i", "j", "k")
-    wide = cells.groupBy(*KEYS).agg(*aggregates, *(F.first(c).alias(c) for c in meta))
+    return _by_quantity(cells.groupBy(*KEYS).agg(*aggregates, *(F.first(c).alias(c) for c in META)))
+
+
+def _by_quantity(wide: DataFrame) -> DataFrame:
+    """A row for each quantity of a row of metrics."""
     measures = [f"{a}_{t}{w}" for t in "fa" for a, w in (("rmse", ""), ("spread", ""), ("rmse", "_w"), ("spread", "_w"))]
-    each = F.array(*(F.struct(F.lit(x).alias("var"), *(F.col(f"{m}_{x}").alias(m) for m in measures)) for x in names))
-    out = wide.withColumn("e", F.explode(each)).select(*KEYS, *meta, "hxf_mean", "hxa_mean", F.col("e.*"))
+    each = F.array(*(F.struct(F.lit(x).alias("var"), *(F.col(f"{m}_{x}").alias(m) for m in measures)) for x in (*VARIABLES, "ref")))
+    out = wide.withColumn("e", F.explode(each)).select(*KEYS, *META, "hxf_mean", "hxa_mean", F.col("e.*"))
     return out.withColumns({"dep_b": F.col("yo") - F.col("hxf_mean"), "dep_a": F.col("yo") - F.col("hxa_mean")})
 
 
 def sweep(obs: DataFrame, combos: DataFrame, grid: DataFrame, prior: DataFrame, truth: DataFrame, *, steps: int, cutoff: str = "reference") -> DataFrame:
-    """Every observation is an analysis of its own, for every combination."""
-    from . import neighbours
+    """Every observation is an analysis of its own, for every combination. Zones near their observation are analysed
+    by parts of the domain; without a horizontal scale a zone is the whole domain and its rows go through windows."""
+    from . import neighbours, zones
 
+    if zones.fits(combos):
+        return _by_quantity(zones.sweep(obs, combos, grid, prior, truth, most_steps=steps, cutoff=cutoff).join(F.broadcast(combos), "combo_id"))
     pairs = neighbours.localised_pairs(obs, combos, grid, cutoff=cutoff)
     return metrics(with_truth(moments(analyse(with_members(pairs, prior), steps)), truth))
 
