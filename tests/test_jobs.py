@@ -9,10 +9,11 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from cirrostrat.operators import verification
-from cirrostrat.plans import catalog
+from cirrostrat.operators import combos, ensemble, neighbours, verification
+from cirrostrat.plans import catalog, fixtures
 from cirrostrat.streaming import departures
 from jobs import departure_monitor, sweep_report
+from tests.test_zones import shuffled
 
 SF = "/root/testdata/sf0.001"
 FIELDS = ("feed", "period", "station", "n", "mean", "std", "least", "most", "n_large", "large_share", "bin", "n_bin")
@@ -145,6 +146,16 @@ def test_sweep_report_goes_on_method_by_method(spark, tmp_path):
     assert sorted(os.listdir(f"{out}/metrics"))[-3:] == ["method=AOEI", "method=LETKF", "method=TEnKF"]
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_sweep_report_shuffles_no_zone(spark, tmp_path):
+    """What is shuffled grows with the ensemble, not with every observation's zone, combination and member."""
+    state, grid = fixtures.domain(spark, SF)
+    prior = ensemble.prior_of(state, 3, 6)
+    obs = ensemble.observations(ensemble.truth_of(state, 3), prior, grid, stride=2)
+    zone = neighbours.localised_pairs(obs, combos.combo_table(spark, sweep_report.load()["sweep"]), grid).count() * 6
+    assert 0 < shuffled(spark, lambda: sweep_report.run(spark, SF, str(tmp_path / "out"))) < zone / 2
+
+
 def test_command_lines(tmp_path):
     """The command line makes its own session and takes plain paths."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

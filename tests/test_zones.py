@@ -35,6 +35,19 @@ def split(state):
     return state.where(F.col("m") < NE), state.where(F.col("m") == NE).drop("m")
 
 
+def shuffled(spark, act):
+    """Rows that act shuffles."""
+    sc, jvm = spark.sparkContext, spark._jvm
+
+    def written():
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s := stages.apply(n)).stageId(): s.shuffleWriteRecords() for n in range(stages.size())}
+
+    before = written()
+    act()
+    return sum(v for k, v in written().items() if k not in before)
+
+
 @pytest.mark.parametrize("scales", [(1.0, 1.0, 1.0), (1.5, 0.7, 0.0)])
 @pytest.mark.parametrize("cutoff", ["reference", "consistent"])
 def test_parts_equal_windows(spark, domain, monkeypatch, scales, cutoff):  # noqa: F811
@@ -87,15 +100,6 @@ def test_shuffles_no_zone(spark, domain):  # noqa: F811
     prior, truth = split(state)
     obs = make_obs(spark, domain, [(i, j, k) for i in range(N) for j in range(N) for k in range(2)])
     table = combos(spark, (2.0, 2.0, 2.0), METHODS[:4])
-    sc, jvm = spark.sparkContext, spark._jvm
-
-    def shuffled(df):
-        stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
-        size = lambda: {(s := every.apply(n)).stageId(): s.shuffleWriteRecords() for every in [stages()] for n in range(every.size())}
-        before = size()
-        df.collect()
-        return sum(v for k, v in size().items() if k not in before)
-
     zone = neighbours.localised_pairs(obs, table, grid).count() * NE
-    assert shuffled(by_windows(obs, table, grid, prior, truth, 3)) >= zone
-    assert shuffled(single_obs.sweep(obs, table, grid, prior, truth, steps=3)) < zone / 10
+    assert shuffled(spark, by_windows(obs, table, grid, prior, truth, 3).collect) >= zone
+    assert shuffled(spark, single_obs.sweep(obs, table, grid, prior, truth, steps=3).collect) < zone / 10
