@@ -1,7 +1,9 @@
 """Analyses with many observations: a local ensemble transform at every grid point.
 
-Grid points have tiles of twice the reach of the localisation; a tile with very
-many points is cut in four, and again, until no part has more than MOST_POINTS.
+Grid points have tiles of twice the reach of the localisation at least, wider
+where few points are in reach; a tile with very many points is cut in four, and
+again, until no part has more than MOST_POINTS. So a part has about as many
+points whatever the reach is, and as few of its observations are another's too.
 Observations are repeated to the parts that their cutoff touches, with the
 ensemble of the observed quantity as an array. Without a horizontal scale each
 observation reaches every point, so points are dealt to parts by their indices
@@ -29,6 +31,8 @@ from ..schema import POINT, VARIABLES
 BLOCK = 512
 #: Grid points of a part at most (unless more of them stand in one place), and how often a tile is cut in four.
 MOST_POINTS, DEPTH = 4096, 6
+#: How often a tile is doubled at most: less than it is cut, so that parts of dense places are still below the reach.
+WIDER = 4
 FAR = 1e30
 
 
@@ -69,9 +73,15 @@ def update_points(x: np.ndarray, has: np.ndarray, at: np.ndarray, obs_at: np.nda
     members], of which each observation knows some (known). A point uses the members that it and all observations in
     its own reach have; with fewer than two it stays as it is. The other members of a point stay as they are."""
     out = Points(x.copy(), np.zeros(len(x), np.int64), [])
-    lacks = (~known).astype(np.float32)
+    every = obs_at, y, (~known).astype(np.float32), yo, r
     for lo in range(0, len(x), BLOCK):
         block = slice(lo, lo + BLOCK)
+        close = np.ones(len(every[0]), bool)
+        for axis, s in enumerate(scales):
+            if s > physics.NO_SCALE:
+                reach = s * math.sqrt(limit) * (1 + 1e-9)
+                close &= (every[0][:, axis] >= np.fmin.reduce(at[block, axis]) - reach) & (every[0][:, axis] <= np.fmax.reduce(at[block, axis]) + reach)
+        obs_at, y, lacks, yo, r = (v[close] for v in every)  # what the block's points may reach
         d2 = np.zeros((len(x[block]), len(obs_at)))
         for axis, s in enumerate(scales):
             if s > physics.NO_SCALE:
@@ -108,13 +118,13 @@ def update_points(x: np.ndarray, has: np.ndarray, at: np.ndarray, obs_at: np.nda
 
 
 def tile_size(grid: DataFrame, reach: float, most: int) -> float:
-    """The side of a tile: twice the reach at least, and as wide as points that stand evenly give three quarters of most
-    (runs a job; the driver holds the extent of the grid)."""
-    x0, x1, y0, y1, n = grid.agg(F.min("x_km"), F.max("x_km"), F.min("y_km"), F.max("y_km"), F.count(F.lit(1))).first()
-    if x0 is None or y0 is None:
-        return 2 * reach
-    width, height, share = x1 - x0, y1 - y0, 0.75 * most / n
-    return max(2 * reach, math.sqrt(width * height * share) if width and height else max(width, height) * share)
+    """The side of a tile: twice the reach, doubled while tiles with the mean number of points stay below three quarters
+    of most (runs a job). Tiles without points don't count, so a far point changes nothing."""
+    base = 2 * reach
+    tiles = grid.groupBy(F.floor(F.col("x_km") / base), F.floor(F.col("y_km") / base)).count()
+    n, points = tiles.agg(F.count(F.lit(1)), F.sum("count")).first()
+    wider = 0.75 * most * n / points if n else 1.0
+    return base * 2 ** min(WIDER, max(0, math.floor(math.log2(wider) / 2)))
 
 
 def parts_of(grid: DataFrame, size: float, most: int) -> tuple[DataFrame, DataFrame]:
@@ -136,25 +146,33 @@ def parts_of(grid: DataFrame, size: float, most: int) -> tuple[DataFrame, DataFr
     return placed.join(cells, ["fx", "fy"]).drop("fx", "fy", "tx", "ty"), cells.select("tx", "ty", "level", "part_x", "part_y").distinct()
 
 
-def _meet(state: DataFrame, obs: DataFrame, grid: DataFrame, reach: list[float | None], tile_km: float | None, most: int):
-    """Points with members, and observations, both with the part they meet in."""
+#: The key of a part.
+PART = ["part_x", "part_y", "level"]
+
+
+def deal(obs: DataFrame, grid: DataFrame, reach: list[float | None], tile_km: float | None, most: int) -> tuple[DataFrame, DataFrame]:
+    """Grid points with their part, and observations (o_ and PART's names) with each part they reach."""
     own = grid.select(*POINT, "x_km", "y_km", "z_km")
     spread = obs.select(F.col("x_km").alias("ox"), F.col("y_km").alias("oy"), F.col("z_km").alias("oz"), "yo", "r", "y", "ym")
-    keys = ["part_x", "part_y", "level"]
     if any(x is None for x in reach[:2]):
         n = max(1, -(-grid.count() // most))
         own = own.withColumns({"part_x": F.pmod(F.xxhash64("i", "j", "k"), F.lit(n)), "part_y": F.lit(0), "level": F.lit(0)})
         spread = spread.withColumns({"part_x": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))), "part_y": F.lit(0), "level": F.lit(0)})
     else:
-        size = tile_km or 2 * max(reach[:2])
+        size = tile_km or tile_size(own, max(reach[:2]), most)
         own, parts = parts_of(own, size, most)
         ends = lambda c, d: F.explode(F.sequence(F.floor((F.col(c) - d) / size), F.floor((F.col(c) + d) / size)))
         spread = spread.withColumn("tx", ends("ox", reach[0])).withColumn("ty", ends("oy", reach[1])).join(parts, ["tx", "ty"])
         edge = F.lit(size) / F.pow(F.lit(2), F.col("level"))
         touches = lambda o, part, d: (F.col(o) + d >= F.col(part) * edge) & (F.col(o) - d <= (F.col(part) + 1) * edge)
         spread = spread.where(touches("ox", "part_x", reach[0]) & touches("oy", "part_y", reach[1])).drop("tx", "ty")
-    spread = spread.select(*(F.col(c).alias(f"o_{c}" if c in keys else c) for c in spread.columns))  # not the points' own columns
-    return state.select(*POINT, "m", *VARIABLES).join(own, list(POINT)).groupBy(*keys).cogroup(spread.groupBy(*(f"o_{c}" for c in keys)))
+    return own, spread.select(*(F.col(c).alias(f"o_{c}" if c in PART else c) for c in spread.columns))  # not the points' own columns
+
+
+def _meet(state: DataFrame, obs: DataFrame, grid: DataFrame, reach: list[float | None], tile_km: float | None, most: int):
+    """Points with members, and observations, both with the part they meet in."""
+    own, spread = deal(obs, grid, reach, tile_km, most)
+    return state.select(*POINT, "m", *VARIABLES).join(own, list(POINT)).groupBy(*PART).cogroup(spread.groupBy(*(f"o_{c}" for c in PART)))
 
 
 def _arrays(p: pd.DataFrame, o: pd.DataFrame):

@@ -32,7 +32,6 @@ OBSERVATIONS, BLOCK = 256, 1 << 17
 NAMES = (*VARIABLES, "ref")
 #: A kernel's columns of a row: hxa_mean, hxf_mean, then for each quantity and f and a: error and spread, weighted too.
 OUT = ("hxa_mean", "hxf_mean", *(c for x in NAMES for t in "fa" for c in (f"rmse_{t}_{x}", f"spread_{t}_{x}", f"rmse_{t}_w_{x}", f"spread_{t}_w_{x}")))
-PARTS = ["part_x", "part_y", "level"]
 OBS = ("obs_id", "yo", "yo_clean", "i", "j", "k")
 
 
@@ -291,7 +290,7 @@ def sweep(obs: DataFrame, combos: DataFrame, grid: DataFrame, prior: DataFrame,
     for a in "xy":
         seen = seen.withColumn(f"f{a}", F.floor(F.col(f"{a}_km") / (size / fine)).cast("long")).withColumn(f"t{a}", F.floor(F.col(f"f{a}") / fine))
     seen = seen.join(parts, ["tx", "ty"]).where((F.floor(F.col("fx") / width) == F.col("part_x")) & (F.floor(F.col("fy") / width) == F.col("part_y")))
-    seen = seen.select(*OBS, "x_km", "y_km", "z_km", "r0", *(F.col(c).alias(f"o_{c}") for c in PARTS))
+    seen = seen.select(*OBS, "x_km", "y_km", "z_km", "r0", *(F.col(c).alias(f"o_{c}") for c in multi_obs.PART))
     types = dict(obs.dtypes)
     fields = ", ".join([f"obs_id {types['obs_id']}", "combo_id int", *(f"{c} {types[c]}" for c in OBS[1:]), *(f"{c} double" for c in OUT)])
-    return points.groupBy(*PARTS).cogroup(seen.groupBy(*(f"o_{c}" for c in PARTS))).applyInArrow(_kernel(few, most_steps, cutoff), fields)
+    return points.groupBy(*multi_obs.PART).cogroup(seen.groupBy(*(f"o_{c}" for c in multi_obs.PART))).applyInArrow(_kernel(few, most_steps, cutoff), fields)

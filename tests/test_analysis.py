@@ -89,6 +89,16 @@ def test_tiles_lose_nothing(spark, domain):
         assert all(np.array_equal(runs[0][k], other[k]) for k in runs[0])
 
 
+def test_parts_are_wide_where_the_reach_is_short(spark):
+    """A part has points enough to be worth a kernel's call, and few observations go to several parts."""
+    grid = spark.range(60 * 60).selectExpr("int(id % 60) as i", "int(id div 60) as j", "0 as k", "2.0d * (id % 60) as x_km", "2.0d * (id div 60) as y_km", "0.0d as z_km")
+    obs = grid.where("i % 2 = 0 and j % 2 = 0").selectExpr("x_km", "y_km", "z_km", "30.0d as yo", "5.0d as r", "array(1.0d) as y", "array(0) as ym")
+    own, spread = multi_obs.deal(obs, grid, [2.6, 2.6, 2.6], None, 900)
+    parts = own.groupBy(*multi_obs.PART).count().toPandas()["count"]
+    assert len(parts) <= 25 and parts.max() <= 900 and parts.sum() == 3600
+    assert 900 < spread.count() < 1.5 * 900
+
+
 def single(spark, domain, method, ntemp, point=(2, 2, 1), steps=None, scale=2.0):
     _, state, grid = domain
     obs = make_obs(spark, domain, [point])
