@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,3 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path of its own in the shared folder; nothing is created."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df as files in the shared folder, for what is used several times; df itself on a cluster that has no such folder."""
+    try:
+        path = new_folder(df.sparkSession, label)
+    except ValueError:
+        return df
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -146,6 +146,19 @@ def parts_of(grid: DataFrame, size: float, most: int) -> tuple[DataFrame, DataFr
     return placed.join(cells, ["fx", "fy"]).drop("fx", "fy", "tx", "ty"), cells.select("tx", "ty", "level", "part_x", "part_y").distinct()
 
 
+def parts_alone(grid: DataFrame, size: float, most: int) -> DataFrame:
+    """The parts of parts_of (runs a job). Tiles that aren't cut are only counted; cells are looked at in crowded ones."""
+    fine = 1 << DEPTH
+    tile = lambda c: F.floor(F.floor(F.col(c) / (size / fine)).cast("long") / fine)
+    tiled = grid.select("x_km", "y_km", tile("x_km").alias("tx"), tile("y_km").alias("ty"))
+    counts = folders.kept(tiled.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("points")), "tiles")
+    whole = counts.where(F.col("points") <= most).select("tx", "ty", F.lit(0).alias("level"), F.col("tx").alias("part_x"), F.col("ty").alias("part_y"))
+    crowded = counts.where(F.col("points") > most).select("tx", "ty")
+    if not crowded.limit(1).count():
+        return whole
+    return whole.unionByName(parts_of(tiled.join(crowded, ["tx", "ty"], "left_semi").select("x_km", "y_km"), size, most)[1])
+
+
 #: The key of a part.
 PART = ["part_x", "part_y", "level"]
 

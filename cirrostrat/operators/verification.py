@@ -94,7 +94,12 @@ def conditional(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("var").agg(stats.conditional_rmse(F.col("mean") - F.col("truth"), test).alias("rmse"), F.count_if(test).alias("n"))
 
 
+def change(rmse: Column, base: Column) -> Column:
+    """Percent change of an error against a baseline's; null where that is 0."""
+    return (rmse - base) * 100.0 / F.nullif(base, F.lit(0.0))
+
+
 def change_of_rmse(errors: DataFrame, baseline: str) -> DataFrame:
     """Percent change of each method's error against the baseline's. errors: var, method, rmse."""
     base = errors.where(F.col("method") == baseline).select("var", F.col("rmse").alias("base"))
-    return errors.join(base, "var").select("var", "method", ((F.col("rmse") - F.col("base")) * 100.0 / F.nullif(F.col("base"), F.lit(0.0))).alias("change"))
+    return errors.join(base, "var").select("var", "method", change(F.col("rmse"), F.col("base")).alias("change"))

@@ -6,7 +6,9 @@ few around an edge twice, the others once. So what is shuffled is the ensemble,
 with a row for each point, and not a row for each observation, point of its zone
 and member. A part's observations and points meet in one numpy kernel, which
 pairs them, goes through the steps of every combination and sums each
-observation's metrics, in blocks of observations and of pairs.
+observation's metrics, in blocks of observations and of pairs. Pairs that no
+step updates (most of them, by the reference's cutoff) are summed once for all
+combinations of the same scales, as they stay what they were.
 
 The formulas are those of ``single_obs``, null for null: the observed ensemble
 before each step follows from the observation's own point; mean, variance and
@@ -23,16 +25,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import folders
 from ..functions import physics, tempering
 from ..schema import POINT, REFLECTIVITY_INPUTS, VARIABLES
 from . import multi_obs, steps
 
 #: Observations that are paired at once, and values (pairs x members x variables) that are worked on at once.
 OBSERVATIONS, BLOCK = 256, 1 << 17
+#: Observations that are held against the points between them along x.
+NEAR = 64
 NAMES = (*VARIABLES, "ref")
 #: A kernel's columns of a row: hxa_mean, hxf_mean, then for each quantity and f and a: error and spread, weighted too.
 OUT = ("hxa_mean", "hxf_mean", *(c for x in NAMES for t in "fa" for c in (f"rmse_{t}_{x}", f"spread_{t}_{x}", f"rmse_{t}_w_{x}", f"spread_{t}_w_{x}")))
 OBS = ("obs_id", "yo", "yo_clean", "i", "j", "k")
+#: Tasks of the kernel for each core, and the parts that a task has at most (unless hashes of parts meet).
+WAVES, PARTS = 4, 32
 
 
 def _held(v: np.ndarray, there: np.ndarray | None) -> np.ndarray:
@@ -69,6 +76,8 @@ class _Schedule:
         self.method, self.own, self.alpha = method, None, alpha
         self.steps = min(most, {"LETKF": 1, "AOEI": 1, "ATEnKF": tempering.MOST_STEPS}.get(method, ntemp))
         self.weights = _weights(ntemp, alpha) if method in ("TEnKF", "TAOEI") else np.ones(1)
+        #: Schedules with the same key have the same errors: LETKF and TEnKF of one step, say.
+        self.key = (method == "ATEnKF" and alpha, method in ("AOEI", "TAOEI"), self.steps, *self.weights)
 
     def error(self, step: int, r0: np.ndarray, adaptive: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
         """Error of a step (from 0), nan where the observation is not used in it, and the steps that ATEnKF needs."""
@@ -165,27 +174,64 @@ def _sums(error: np.ndarray, spread: np.ndarray, rho: np.ndarray, starts: np.nda
 def _pairs(points: _Points, at: np.ndarray, scales: tuple, limit: float):
     """Pairs of observations (places at, in order of x) and points in their zones: observation, point, squared distance, whether it is updated."""
     reach = scales[0] * math.sqrt(physics.SUPPORT2) * (1 + 1e-9)
-    lo, hi = np.searchsorted(points.at[0], at[0, 0] - reach), np.searchsorted(points.at[0], at[0, -1] + reach, side="right")
-    d2 = np.zeros((at.shape[1], hi - lo))
-    for axis, s in enumerate(scales):
-        if s is not None and s > physics.NO_SCALE:
-            d2 += ((points.at[axis, lo:hi] - at[axis][:, None]) / s) ** 2
-    o, p = np.nonzero(d2 <= physics.SUPPORT2)
-    d2 = d2[o, p]
-    return o, p + lo, d2, d2 <= limit
-
-
-def _analyse(points: _Points, obs: dict[str, np.ndarray], pairs, schedule: _Schedule):
-    """For each observation: sums of _sums before and after [2, 8, quantities, observations], whether it has pairs that
-    count, and its mean reflectivity after and before."""
-    o, p, d2, updated = pairs
-    n, members = len(obs["yo"]), points.x.shape[1]
-    at_obs = (points.index[:, p] == obs["index"][:, o]).all(axis=0)
-    own = np.full(n, -1)
-    own[o[at_obs]] = np.flatnonzero(at_obs)
-    here = np.flatnonzero(own >= 0)
+    out = []
+    for first in range(0, at.shape[1], NEAR):
+        few = at[:, first : first + NEAR]
+        lo, hi = np.searchsorted(points.at[0], few[0, 0] - reach), np.searchsorted(points.at[0], few[0, -1] + reach, side="right")
+        d2 = np.zeros((few.shape[1], hi - lo))
+        for axis, s in enumerate(scales):
+            if s is not None and s > physics.NO_SCALE:
+                d2 += ((points.at[axis, lo:hi] - few[axis][:, None]) / s) ** 2
+        place = np.flatnonzero(d2 <= physics.SUPPORT2)
+        o, p = np.divmod(place, max(1, hi - lo))
+        out.append((o + first, p + lo, d2.ravel()[place]))
+    o, p, d2 = (np.concatenate(c) for c in zip(*out, strict=True))
+    return o, p, d2, d2 <= limit
+
+
+def _add_sums(total: np.ndarray, o: np.ndarray, error: np.ndarray, spread: np.ndarray, d2: np.ndarray) -> None:
+    """Adds the sums of pairs, in order of their observations o, to total [8, quantities, observations]."""
+    if len(o):
+        starts = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
+        total[:, :, o[starts]] += _sums(error, spread, np.exp(-0.5 * d2), starts)
+
+
+class _Zones:
+    """Pairs of a block of observations under one set of scales, and what all schedules share: sums before the analysis
+    (before) and those of the pairs that no step updates (still, [8, quantities, observations]), which stay as they are."""
+
+    def __init__(self, points: _Points, obs: dict[str, np.ndarray], pairs):
+        n = len(obs["yo"])
+        o, p, d2, updated = pairs
+        at_obs = (points.index[:, p] == obs["index"][:, o]).all(axis=0)
+        own = np.full(n, -1)
+        own[o[at_obs]] = np.flatnonzero(at_obs)
+        #: Observations that have a point, and its place, distance and whether it is updated.
+        self.here = np.flatnonzero(own >= 0)
+        own = own[self.here]
+        self.own, self.own_d2, self.own_updated = p[own], d2[own], updated[own]
+        counted = points.counts[p]
+        self.some, self.hx = np.zeros(n, bool), np.full(n, np.nan)
+        self.some[o[counted]] = True
+        mine = counted & at_obs
+        self.hx[o[mine]] = points.before[2][p[mine]]
+        self.still, self.before = np.zeros((8, len(NAMES), n)), np.zeros((8, len(NAMES), n))
+        size = max(1, BLOCK // len(NAMES))
+        for total, rows in ((self.still, np.flatnonzero(counted & ~updated)), (self.before, np.flatnonzero(counted & updated))):
+            for lo in range(0, len(rows), size):
+                r = rows[lo : lo + size]
+                _add_sums(total, o[r], points.before[0][:, p[r]], points.before[1][:, p[r]], d2[r])
+        self.before += self.still
+        self.columns = None  # of before, once they are asked for
+        moved = counted & updated
+        self.o, self.p, self.d2, self.at_obs = o[moved], p[moved], d2[moved], at_obs[moved]
+
+
+def _analyse(points: _Points, obs: dict[str, np.ndarray], zones: _Zones, schedule: _Schedule) -> tuple[np.ndarray, np.ndarray]:
+    """For each observation: sums of _sums after the analysis [8, quantities, observations], and its mean reflectivity."""
+    n, members, here = len(obs["yo"]), points.x.shape[1], zones.here
     # The observed ensemble before each step; a member that the observation's point lacks has none.
-    x, there, has = points.take(p[own[here]])
+    x, there, has = points.take(zones.own)
     seen = None
     if has is not None or len(here) < n:
         seen = np.zeros((members, n), bool)
@@ -195,47 +241,57 @@ def _analyse(points: _Points, obs: dict[str, np.ndarray], pairs, schedule: _Sche
         y = np.zeros((members, n))
         y[:, here] = _reflectivity(x, there)
         ys.append(y)
-        x, there, needs = _step(x, there, y[:, here], None if seen is None else seen[:, here], obs["yo"][here], obs["r0"][here], d2[own[here]], updated[own[here]], schedule, s, needs)
-    counted = np.flatnonzero(points.counts[p])
-    total, some, after, before = np.zeros((2, 8, len(NAMES), n)), np.zeros(n, bool), np.full(n, np.nan), np.full(n, np.nan)
+        x, there, needs = _step(x, there, y[:, here], None if seen is None else seen[:, here], obs["yo"][here], obs["r0"][here], zones.own_d2, zones.own_updated, schedule, s, needs)
+    total, after = zones.still.copy(), zones.hx.copy()
     size = max(1, BLOCK // max(1, members * len(VARIABLES)))
-    for lo in range(0, len(counted), size):
-        rows = counted[lo : lo + size]
-        po, pp = o[rows], p[rows]
+    for lo in range(0, len(zones.o), size):
+        rows = slice(lo, lo + size)
+        po, pp, d2 = zones.o[rows], zones.p[rows], zones.d2[rows]
         x, there, has = points.take(pp)
         both = has if seen is None else seen[:, po] if has is None else seen[:, po] & has
-        needs = None
+        needs, updated = None, np.ones(len(po), bool)
         for s in range(schedule.steps):
-            x, there, needs = _step(x, there, np.take(ys[s], po, axis=1), both, obs["yo"][po], obs["r0"][po], d2[rows], updated[rows], schedule, s, needs)
+            x, there, needs = _step(x, there, np.take(ys[s], po, axis=1), both, obs["yo"][po], obs["r0"][po], d2, updated, schedule, s, needs)
         error, spread, ref = points.scores(x, there, has, pp)
-        starts = np.flatnonzero(np.r_[True, po[1:] != po[:-1]])
-        rho = np.exp(-0.5 * d2[rows])
-        some[po] = True
-        total[0][:, :, po[starts]] += _sums(points.before[0][:, pp], points.before[1][:, pp], rho, starts)
-        total[1][:, :, po[starts]] += _sums(error, spread, rho, starts)
-        mine = at_obs[rows]
-        after[po[mine]], before[po[mine]] = ref[mine], points.before[2][pp[mine]]
-    return total, some, after, before
+        _add_sums(total, po, error, spread, d2)
+        mine = zones.at_obs[rows]
+        after[po[mine]] = ref[mine]
+    return total, after
+
+
+def _column(v: np.ndarray, null: np.ndarray) -> pa.Array:
+    return pa.array(v, mask=null) if null.any() else pa.array(v)
+
+
+def _columns(total: np.ndarray, some: np.ndarray) -> list[list[pa.Array]]:
+    """For each quantity error, spread and both weighted, of those observations, from sums of _sums."""
+    t = total if some.all() else total[:, :, some]
+    number = t[1::2]
+    values, nulls = t[0::2] / number, number == 0
+    values[0::2] = np.sqrt(values[0::2])
+    return [[_column(values[n, q], nulls[n, q]) for n in range(4)] for q in range(len(NAMES))]
 
 
 def _metrics_of(points: _Points, obs: dict[str, np.ndarray], combos: list[tuple], most: int, cutoff: str):
-    """For each combination: its number, the observations that have pairs, and the columns of OUT (values, which are null)."""
-    paired: dict[tuple, tuple] = {}
+    """For each combination: its number, the observations that have pairs, and the columns of OUT.
+    Combinations of the same scales share their pairs, those of the same errors too share all."""
+    paired: dict[tuple, _Zones] = {}
+    done: dict[tuple, tuple] = {}
     for combo, method, ntemp, alpha, *scales in combos:
-        key = tuple(scales)
+        key, schedule = tuple(scales), _Schedule(method, ntemp, alpha, most)
         if key not in paired:
             limit = max(s or 0.0 for s in key) * math.sqrt(physics.SUPPORT2) if cutoff == "reference" else physics.SUPPORT2
-            paired[key] = _pairs(points, obs["at"], key, limit)
-        total, some, after, before = _analyse(points, obs, paired[key], _Schedule(method, ntemp, alpha, most))
-        rows = np.flatnonzero(some)
-        values = [after[rows], before[rows]]
-        nulls = [np.isnan(v) for v in values]
-        for q in range(len(NAMES)):
-            for t in range(2):
-                e2, ne, s, ns, we2, we, ws, wsn = total[t][:, q][:, rows]
-                values += [np.sqrt(e2 / ne), s / ns, np.sqrt(we2 / we), ws / wsn]
-                nulls += [ne == 0, ns == 0, we == 0, wsn == 0]
-        yield combo, rows, values, nulls
+            paired[key] = _Zones(points, obs, _pairs(points, obs["at"], key, limit))
+        zones = paired[key]
+        if (key, schedule.key) not in done:
+            total, after = _analyse(points, obs, zones, schedule)
+            if zones.columns is None:
+                zones.columns = _columns(zones.before, zones.some)
+            columns = [_column(v[zones.some], np.isnan(v[zones.some])) for v in (after, zones.hx)]
+            for f, a in zip(zones.columns, _columns(total, zones.some), strict=True):
+                columns += f + a
+            done[key, schedule.key] = np.flatnonzero(zones.some), columns
+        yield combo, *done[key, schedule.key]
 
 
 def _numbers(t: pa.Table, name: str) -> np.ndarray:
@@ -253,11 +309,11 @@ def _kernel(combos: list[tuple], most: int, cutoff: str):
             part = o.slice(lo, OBSERVATIONS)
             values = {"yo": _numbers(part, "yo"), "r0": _numbers(part, "r0"), "at": np.stack([_numbers(part, f"{a}_km") for a in "xyz"]), "index": np.stack([_numbers(part, a) for a in POINT])}
             with np.errstate(all="ignore"):
-                for combo, rows, columns, nulls in _metrics_of(points, values, combos, most, cutoff):
+                for combo, rows, columns in _metrics_of(points, values, combos, most, cutoff):
                     kept = part.take(pa.array(rows))
-                    done.append(pa.table([kept.column("obs_id"), pa.array(np.full(len(rows), combo, np.int32)), *(kept.column(c) for c in OBS[1:]), *(pa.array(v, mask=m) for v, m in zip(columns, nulls, strict=True))], names=names))
+                    done.append(pa.table([kept.column("obs_id"), pa.array(np.full(len(rows), combo, np.int32)), *(kept.column(c) for c in OBS[1:]), *columns], names=names))
         none = [pa.array([], pa.int32()), *(o.slice(0, 0).column(c) for c in OBS[1:]), *(pa.array([], pa.float64()) for _ in OUT)]
-        return pa.concat_tables(done) if done else pa.table([o.slice(0, 0).column("obs_id"), *none], names=names)
+        return pa.concat_tables(done).combine_chunks() if done else pa.table([o.slice(0, 0).column("obs_id"), *none], names=names)
 
     return run
 
@@ -274,8 +330,12 @@ def sweep(obs: DataFrame, combos: DataFrame, grid: DataFrame, prior: DataFrame,
     few = [tuple(r) for r in combos.select("combo_id", "method", "ntemp", "alpha_s", "lx", "ly", "lz").collect()]
     reach = math.sqrt(physics.SUPPORT2) * max((max(r[4], r[5]) for r in few), default=1.0) * (1 + 1e-9)
     size = multi_obs.tile_size(grid, reach, most_points)
+    obs = folders.kept(obs.select(*OBS, "x_km", "y_km", "z_km", "r0"), "observations")
     # An observation may stand where no point is.
-    _, parts = multi_obs.parts_of(grid.select("x_km", "y_km").unionByName(obs.select("x_km", "y_km")), size, most_points)
+    parts = folders.kept(multi_obs.parts_alone(grid.select("x_km", "y_km").unionByName(obs.select("x_km", "y_km")), size, most_points), "parts")
+    # A part is much work for its bytes, so the number of tasks follows from parts and cores.
+    n = parts.count()
+    tasks = max(1, min(n, WAVES * grid.sparkSession.sparkContext.defaultParallelism), n // PARTS)
     edge = F.lit(size) / F.pow(F.lit(2), F.col("level"))
     ends = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / size), F.floor((F.col(c) + reach) / size)))
     touches = lambda c, part: (F.col(c) + reach >= F.col(part) * edge) & (F.col(c) - reach <= (F.col(part) + 1) * edge)
@@ -286,11 +346,12 @@ def sweep(obs: DataFrame, combos: DataFrame, grid: DataFrame, prior: DataFrame,
     points = known.join(dealt, ["gi", "gj", "gk"])
     fine = 1 << multi_obs.DEPTH
     width = F.pow(F.lit(2), F.lit(multi_obs.DEPTH) - F.col("level")).cast("long")
-    seen = obs.select(*OBS, "x_km", "y_km", "z_km", "r0")
+    seen = obs
     for a in "xy":
         seen = seen.withColumn(f"f{a}", F.floor(F.col(f"{a}_km") / (size / fine)).cast("long")).withColumn(f"t{a}", F.floor(F.col(f"f{a}") / fine))
     seen = seen.join(parts, ["tx", "ty"]).where((F.floor(F.col("fx") / width) == F.col("part_x")) & (F.floor(F.col("fy") / width) == F.col("part_y")))
     seen = seen.select(*OBS, "x_km", "y_km", "z_km", "r0", *(F.col(c).alias(f"o_{c}") for c in multi_obs.PART))
     types = dict(obs.dtypes)
     fields = ", ".join([f"obs_id {types['obs_id']}", "combo_id int", *(f"{c} {types[c]}" for c in OBS[1:]), *(f"{c} double" for c in OUT)])
-    return points.groupBy(*multi_obs.PART).cogroup(seen.groupBy(*(f"o_{c}" for c in multi_obs.PART))).applyInArrow(_kernel(few, most_steps, cutoff), fields)
+    own = [f"o_{c}" for c in multi_obs.PART]
+    return points.repartition(tasks, *multi_obs.PART).groupBy(*multi_obs.PART).cogroup(seen.repartition(tasks, *own).groupBy(*own)).applyInArrow(_kernel(few, most_steps, cutoff), fields)

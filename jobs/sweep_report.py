@@ -60,11 +60,9 @@ def summarise(metrics: DataFrame, baseline: str) -> DataFrame:
     """The report: a row for each variable and combination."""
     by = ("var", "method", "ntemp", "alpha_s", "lx", "ly", "lz")
     means = metrics.groupBy(*by).agg(F.count(F.lit(1)).alias("n_obs"), *(F.avg(c).alias(c) for c in MEASURES), stats.rmse(F.col("dep_b")).alias("dep_b"), stats.rmse(F.col("dep_a")).alias("dep_a"))
-    # The baseline's first combination stands for it; its error is set against all others'.
-    first = means.where(F.col("method") == baseline).groupBy("var").agg(F.min_by("rmse_a", F.struct("ntemp", "alpha_s", "lx", "ly", "lz")).alias("rmse"))
-    labelled = means.select("var", F.to_json(F.struct(*by[1:])).alias("method"), F.col("rmse_a").alias("rmse"))
-    change = verification.change_of_rmse(labelled.unionByName(first.select("var", F.lit(baseline).alias("method"), "rmse")), baseline)
-    out = means.withColumn("label", F.to_json(F.struct(*by[1:]))).join(change.select("var", F.col("method").alias("label"), "change"), ["var", "label"], "left").drop("label")
+    # The baseline's first combination stands for it; its error is set against all others'. Windows, as joins of the means would read the metrics again.
+    first = F.min(F.when(F.col("method") == baseline, F.struct(*by[2:], "rmse_a"))).over(Window.partitionBy("var"))
+    out = means.withColumn("change", verification.change(F.col("rmse_a"), first["rmse_a"]))
     return out.withColumn("place", F.row_number().over(Window.partitionBy("var").orderBy(F.round("rmse_a", 6), *by[1:])))
 
 

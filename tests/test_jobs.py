@@ -156,6 +156,17 @@ def test_sweep_report_shuffles_no_zone(spark, tmp_path):
     assert 0 < shuffled(spark, lambda: sweep_report.run(spark, SF, str(tmp_path / "out"))) < zone / 2
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_sweep_report_reads_metrics_once(spark, tmp_path):
+    """The report is made by one pass over the metrics, not by joins of their means with each other."""
+    out = str(tmp_path / "out")
+    sweep_report.run(spark, SF, out)
+    metrics = spark.read.parquet(f"{out}/metrics")
+    report = sweep_report.summarise(metrics, "LETKF")
+    assert report._jdf.queryExecution().sparkPlan().toString().count("FileScan parquet") == 1
+    assert {r.change for r in report.where("method = 'LETKF'").collect()} == {0.0}
+
+
 def test_command_lines(tmp_path):
     """The command line makes its own session and takes plain paths."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

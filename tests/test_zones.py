@@ -1,9 +1,12 @@
 """Metrics of many analyses with one observation by parts of the domain, against windows over every zone."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
-from cirrostrat.operators import neighbours, single_obs, zones
+from cirrostrat.operators import multi_obs, neighbours, single_obs, zones
 from cirrostrat.schema import COMBOS, VARIABLES
 from tests.test_analysis import NE, N, domain, make_obs  # noqa: F401  a fixture
 
@@ -103,3 +106,41 @@ def test_shuffles_no_zone(spark, domain):  # noqa: F811
     zone = neighbours.localised_pairs(obs, table, grid).count() * NE
     assert shuffled(spark, by_windows(obs, table, grid, prior, truth, 3).collect) >= zone
     assert shuffled(spark, single_obs.sweep(obs, table, grid, prior, truth, steps=3).collect) < zone / 10
+
+
+def part_of_domain(n, members):
+    """Points of a grid of 2 km and 1 km, as the kernel gets them, and observations at every other one."""
+    rng = np.random.default_rng(3)
+    i, j, k = (a.ravel().astype(np.int32) for a in np.meshgrid(np.arange(n), np.arange(n), np.arange(3), indexing="ij"))
+    values = lambda v: rng.random((len(i), members)) * (0.002 if v.startswith("q") else 1.0) + {"t": 273.0, "p": 60000.0}.get(v, 0.0)
+    at = {"gi": i, "gj": j, "gk": k, "gx": i * 2.0, "gy": j * 2.0, "gz": k * 1.0}
+    arrays = {"ms": pa.array([list(range(members))] * len(i), pa.list_(pa.int32())), **{v: pa.array(list(values(v))) for v in VARIABLES}}
+    points = pa.table({**at, **arrays, **{f"t_{v}": values(v)[:, 0] for v in (*VARIABLES, "ref")}, "counts": np.ones(len(i), bool)})
+    o = np.flatnonzero((i % 2 == 0) & (j % 2 == 0))
+    obs = pa.table({"obs_id": o, "yo": rng.random(len(o)) * 40, "yo_clean": rng.random(len(o)), "i": i[o], "j": j[o], "k": k[o], "x_km": i[o] * 2.0, "y_km": j[o] * 2.0, "z_km": k[o] * 1.0, "r0": np.full(len(o), 5.0)})
+    return points, obs
+
+
+def test_steps_only_what_they_update(monkeypatch):
+    """Pairs beyond the cutoff stay as they are and go through no step; combinations that do the same are done once."""
+    members, stepped = 6, []
+    points, obs = part_of_domain(8, members)
+    real = zones._step
+    monkeypatch.setattr(zones, "_step", lambda x, *a: stepped.append(x.shape[2]) or real(x, *a))
+    scales = (1.0, 1.0, 1.0)
+    table = [(0, "LETKF", 1, 1.0, *scales), (1, "TEnKF", 1, 1.0, *scales), (2, "TEnKF", 2, 1.0, *scales), (3, "AOEI", 1, 1.0, *scales)]
+    out = zones._kernel(table, 2, "reference")(points, obs)
+    # A column has 3 points 1 km apart, of which an observation updates the 2 or 3 that are no further than 1 km; LETKF is TEnKF's one step.
+    columns = obs.num_rows // 3
+    assert sum(stepped) == (columns * 7 + columns * 3) * (1 + 2 + 1)
+    of = lambda n: out.filter(pa.compute.equal(out.column("combo_id"), n)).drop_columns(["combo_id"])
+    assert of(0).equals(of(1)) and not of(0).equals(of(2)) and out.num_rows == 4 * obs.num_rows
+
+
+def test_parts_alone(spark):
+    rows = [(float(n % 50), float(n // 50)) for n in range(2000)] + [(200.0 + n / 100, 7.0) for n in range(300)]
+    grid = spark.createDataFrame(rows, "x_km double, y_km double")
+    for most in (20, 300, 5000):
+        want = multi_obs.parts_of(grid, 32.0, most)[1].select("tx", "ty", "level", "part_x", "part_y")
+        got = multi_obs.parts_alone(grid, 32.0, most)
+        assert sorted(got.collect()) == sorted(want.collect()) and got.dtypes == want.dtypes
